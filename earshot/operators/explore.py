@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from earshot.functions import lexicons as lx
 from earshot.functions import scoring, text as tx
 from earshot.operators import filters, rank
+from earshot.sources.shared import cut
 
 MAX_PINS = 12
 
@@ -249,47 +250,60 @@ def by_level(records: DataFrame, levels: Iterable[str] = filters.LEVELS) -> Data
     )
 
 
-def level_counts(records: DataFrame, levels: Iterable[str] = filters.LEVELS) -> DataFrame:
+CATEGORIES = ("classification", *filters.TAXONOMY, "risk_tags", "severity", "sentiment")
+
+
+def category_cube(records: DataFrame) -> DataFrame:
+    """Row counts ``n`` per combination of all category columns, written once.
+
+    Everything about issues (ranks, rates, modes, distinct counts) follows from this table, so any
+    number of issues costs one scan of the records.
+    """
+    return cut(records.groupBy(*CATEGORIES).agg(F.count("*").alias("n")), "categories")
+
+
+def level_counts(cube: DataFrame, levels: Iterable[str] = filters.LEVELS) -> DataFrame:
     """``(level, value, n, n_scoped)``: taxonomy levels are scoped to suggestions, tags to everything."""
     scoped = (F.col("level") == "risk_primary") | (F.col("classification") == "Suggestion")
-    slim = records.select("classification", *[c for c in filters.TAXONOMY], "risk_tags")
-    return by_level(slim, levels).groupBy("level", "value").agg(
-        F.count("*").alias("n"), F.count_if(scoped).alias("n_scoped")
+    return by_level(cube, levels).groupBy("level", "value").agg(
+        F.sum("n").alias("n"), F.sum(F.when(scoped, F.col("n")).otherwise(0)).alias("n_scoped")
     )
 
 
 def rank_among(records: DataFrame, pins: Sequence[tuple[str, str]]) -> DataFrame:
     """``(level, value, rank, total)`` for the given issues."""
     wanted = pins_frame(records.sparkSession, pins)
-    return rank.value_ranks(level_counts(records, {level for level, _ in pins}), wanted.select("level", "value"))
+    counts = level_counts(category_cube(records), {level for level, _ in pins})
+    return rank.value_ranks(counts, wanted.select("level", "value"))
 
 
-def _modal(scoped: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
-    """Most frequent non-null value per key, the smallest on ties; two aggregates, any number of values."""
-    counts = scoped.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))
-    most = counts.groupBy(*keys).agg(F.max("n").alias("n"))
-    return counts.join(most, [*keys, "n"]).groupBy(*keys).agg(F.min(column).alias(name))
+def _modal(scoped: DataFrame, column: str, name: str) -> DataFrame:
+    """Most frequent non-null value per pin, the smallest on ties."""
+    counts = scoped.filter(F.col(column).isNotNull()).groupBy("pin", column).agg(F.sum("n").alias("n"))
+    most = counts.groupBy("pin").agg(F.max("n").alias("n"))
+    return counts.join(most, ["pin", "n"]).groupBy("pin").agg(F.min(column).alias(name))
 
 
 def issue_details(records: DataFrame, pins: Sequence[tuple[str, str]]) -> DataFrame:
-    """Size, rank, modal parent and topic, rates and distinct counts of the given issues, in one pass for all."""
-    spark = records.sparkSession
-    wanted = pins_frame(spark, pins)
+    """Size, rank, modal parent and topic, rates and distinct counts of the given issues, from one scan for all."""
+    wanted = pins_frame(records.sparkSession, pins)
     levels = {level for level, _ in pins}
-    slim = records.select("classification", *filters.TAXONOMY, "risk_tags", "severity", "sentiment")
-    scoped = by_level(slim, levels).join(F.broadcast(wanted), ["level", "value"])
+    cube = category_cube(records)
+    # At most MAX_PINS rows on the broadcast side, here and below.
+    scoped = by_level(cube, levels).join(F.broadcast(wanted), ["level", "value"])
+    n = F.col("n")
     main = scoped.groupBy("pin", "level", "value").agg(
-        F.count("*").alias("count"),
-        (_share(_high()) * 100).alias("high_pct"),
-        (_share(_negative()) * 100).alias("negative_pct"),
+        F.sum(n).alias("count"),
+        (F.sum(F.when(_high(), n).otherwise(0)) / F.sum(n) * 100).alias("high_pct"),
+        (F.sum(F.when(_negative(), n).otherwise(0)) / F.sum(n) * 100).alias("negative_pct"),
         F.count_distinct("child_issue").alias("n_children"),
         F.count_distinct("parent_issue").alias("n_parents"),
     )
-    ranks = rank.value_ranks(level_counts(records, levels), wanted.select("level", "value"))
+    ranks = rank.value_ranks(level_counts(cube, levels), wanted.select("level", "value"))
     return (
         main.join(F.broadcast(ranks), ["level", "value"])
-        .join(F.broadcast(_modal(scoped, ["pin"], "parent_issue", "top_parent")), "pin", "left")
-        .join(F.broadcast(_modal(scoped, ["pin"], "raw_topic", "top_raw_topic")), "pin", "left")
+        .join(F.broadcast(_modal(scoped, "parent_issue", "top_parent")), "pin", "left")
+        .join(F.broadcast(_modal(scoped, "raw_topic", "top_raw_topic")), "pin", "left")
         .select(
             "pin", "level", "value", "rank", "total", "count", "high_pct", "negative_pct",
             F.coalesce("top_parent", F.lit("—")).alias("top_parent"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from earshot.functions import lexicons as lx
 from earshot.functions import scoring, text as tx
 from earshot.operators import rank
+from earshot.sources.shared import cut
 
 NOISE = -1
 SIGNALS = ("payment", "trust", "blocker", "religious")
@@ -43,11 +44,12 @@ def issue_cube(
     """Sums per (cluster, parent, time bucket) over non-noise rows.
 
     The only step that touches rows: one scan and one hash aggregate whose map side already shrinks a
-    cluster of any size to a few rows.  Every metric below is derived from this small table.
+    cluster of any size to a few rows.  The small result is written once, because every metric below
+    reads it and each would otherwise scan the rows again.
     """
     live = rows.filter(F.col(cluster_col) != NOISE)
     bucketed = live.withColumn("time_bucket", rank.time_bucket(live, n_buckets=n_buckets, id_col=id_col))
-    return (
+    sums = (
         score_rows(bucketed, text_col=text_col, lexicon=lexicon)
         .groupBy(F.col(cluster_col).alias("cluster_id"), F.col(parent_col).alias("parent_id"), "time_bucket")
         .agg(
@@ -58,6 +60,7 @@ def issue_cube(
             *[F.sum(f"signal_{s}").alias(s) for s in SIGNALS],
         )
     )
+    return cut(sums, "cube")
 
 
 def growth(cube: DataFrame, *, dense_buckets: bool = False) -> DataFrame:

@@ -100,8 +100,8 @@ def representatives(
 
     The first is closest to the centroid; each next one maximises ``balance * closeness - (1 - balance) *
     similarity to the nearest one already picked``.  Clusters of at most ``k`` rows return all, in row
-    order.  One scan and one arg-max aggregate per position serve all clusters together; only the picks
-    are kept between rounds, so rows are neither shuffled nor rewritten.
+    order.  One scan and one arg-max aggregate per position serve all clusters together; between rounds
+    only the picks change, so rows are written once and never shuffled again.
     """
     units = vec.l2_normalize(
         df.filter(F.col(cluster_col) != NOISE).select(
@@ -110,8 +110,10 @@ def representatives(
         vec_col="v",
     )
     centers = cut(vec.cluster_centroids(units, vec_col="v"), "centers")
-    rows = units.join(centers, "cluster_id")
-    large = rows.filter(F.col("size") > k).withColumn("closeness", vx.dot("v", "centroid")).drop("centroid", "size")
+    rows = cut(
+        units.join(centers, "cluster_id").withColumn("closeness", vx.dot("v", "centroid")).drop("centroid"), "rows"
+    )
+    large = rows.filter(F.col("size") > k)
     picks = None
     for _ in range(k):
         if picks is None:
@@ -152,13 +154,14 @@ def cluster_mix(df: DataFrame, column: str, *, cluster_col: str = "cluster_id")
     )
 
 
-def _mix_list(df: DataFrame, column: str, name: str) -> DataFrame:
+def _mix_list(facts: DataFrame, column: str, name: str) -> DataFrame:
     """Value counts of a closed domain as an array, most frequent first."""
+    counts = facts.filter(F.col(column).isNotNull()).groupBy("cluster_id", column).agg(F.sum("n").alias("n"))
     pairs = F.transform(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "value"))),
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(column).alias("value")))),
         lambda s: F.struct(s.value.alias("value"), (-s.m).alias("n")),
     )
-    return cluster_mix(df, column).groupBy("cluster_id").agg(pairs.alias(name))
+    return counts.groupBy("cluster_id").agg(pairs.alias(name))
 
 
 def cluster_contexts(
@@ -174,7 +177,9 @@ def cluster_contexts(
     **term_options,
 ) -> DataFrame:
     """``(cluster_id, size, representatives, top_terms, sentiment_mix, severity_mix)`` per non-noise cluster."""
-    sizes = df.filter(F.col("cluster_id") != NOISE).groupBy("cluster_id").agg(F.count("*").alias("size"))
+    live = df.filter(F.col("cluster_id") != NOISE)
+    facts = cut(live.groupBy("cluster_id", "sentiment", "severity").agg(F.count("*").alias("n")), "facts")
+    sizes = facts.groupBy("cluster_id").agg(F.sum("n").alias("size"))
     picked = representatives(df, k=n_representatives, balance=balance, vec_col=vec_col, id_col=id_col)
     texts = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
     # At most n_representatives and n_terms entries per cluster.
@@ -192,8 +197,8 @@ def cluster_contexts(
     return (
         sizes.join(quotes, "cluster_id", "left")
         .join(terms, "cluster_id", "left")
-        .join(_mix_list(df, "sentiment", "sentiment_mix"), "cluster_id", "left")
-        .join(_mix_list(df, "severity", "severity_mix"), "cluster_id", "left")
+        .join(_mix_list(facts, "sentiment", "sentiment_mix"), "cluster_id", "left")
+        .join(_mix_list(facts, "severity", "severity_mix"), "cluster_id", "left")
         .withColumns(
             {"representatives": F.coalesce("representatives", none), "top_terms": F.coalesce("top_terms", none)}
         )

@@ -23,8 +23,20 @@ TAGS = {
 }
 
 
+# Text tables and their keys.
+_SPREAD = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A generated table.  Text that arrives in fewer splits than there are cores is spread by key.
+
+    The generated files hold one row group each, hence one split; a table of many files is left as it lies.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _SPREAD and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, _SPREAD[name])
+    return df
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
