@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from earshot.functions import vectors as vx
 from earshot.operators import dedup, rank, vectors as vec
 from earshot.operators.graph import connected_components
-from earshot.sources.shared import cut
+from earshot.sources.shared import cut, cut_measured
 
 NOISE = -1
 
@@ -159,20 +159,21 @@ def parent_themes(centroids: DataFrame, *, n_parents: int = 12, block_bytes: int
     for average linkage this gives the same tree as merging one pair at a time, in about log K rounds.
     The tree is then cut where ``n_parents`` groups are left.  Parents are numbered by their smallest cluster.
     """
-    groups = cut(
-        centroids.select(F.col("cluster_id").cast("bigint").alias("g"), F.col("centroid").alias("mean"), F.lit(1).cast("bigint").alias("n")),
-        "groups",
+    first = centroids.select(
+        F.col("cluster_id").cast("bigint").alias("g"), F.col("centroid").alias("mean"), F.lit(1).cast("bigint").alias("n")
     )
-    total = left = groups.count()
-    if not total:
-        return centroids.select("cluster_id", F.lit(0).alias("parent_id"))
+    count = F.count(F.lit(1))
+    groups, size = cut_measured(first, "groups", n=count, dim=F.max(F.size("mean")))
+    total = left = size["n"]
     merges, step = None, 0
     while total > n_parents and left > 1:
-        mutual = cut(_mutual_nearest(groups, block_bytes), "mutual")
-        found = mutual.select("a", "b", (1 - F.col("sim")).alias("height"), F.lit(step).alias("step"))
-        merges = found if merges is None else merges.unionAll(found)
-        groups = cut(_merge(groups, mutual), "groups")
-        left, step = groups.count(), step + 1
+        nearest = _mutual_nearest(groups, block_bytes, left, size["dim"])
+        mutual, found = cut_measured(nearest, "mutual", n=count)
+        tagged = mutual.select("a", "b", (1 - F.col("sim")).alias("height"), F.lit(step).alias("step"))
+        merges = tagged if merges is None else merges.unionAll(tagged)
+        left, step = left - found["n"], step + 1
+        if left > 1:
+            groups = cut(_merge(groups, mutual), "groups")
     leaves = centroids.select(F.col("cluster_id").cast("bigint").alias("node"))
     if merges is None:
         comps = leaves.select("node", F.col("node").alias("component"))
@@ -188,10 +189,10 @@ def parent_themes(centroids: DataFrame, *, n_parents: int = 12, block_bytes: int
     )
 
 
-def _mutual_nearest(groups: DataFrame, block_bytes: int) -> DataFrame:
+def _mutual_nearest(groups: DataFrame, block_bytes: int, n: int, dim: int) -> DataFrame:
     """Pairs ``(a, b, sim)``, a < b, of groups that are each other's nearest; ties go to the smallest id."""
     parts = []
-    for ids, means in vec.dense_blocks(groups, "g", "mean", block_bytes=block_bytes):
+    for ids, means in vec.dense_blocks(groups, "g", "mean", block_bytes=block_bytes, n=n, dim=dim):
         parts.append(groups.select("g", _nearest_other(groups, ids, means)("g", "mean").alias("x")).select("g", "x.*"))
     near = parts[0]
     for part in parts[1:]:

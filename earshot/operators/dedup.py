@@ -1,4 +1,4 @@
-"""Near-duplicate comments: MinHash candidates, exact Jaccard, transitive groups."""
+"""Near-duplicate comments: MinHash candidates, full-set Jaccard, transitive groups."""
 
 from __future__ import annotations
 
@@ -97,15 +97,12 @@ def _bands(prepared: Column, n: int, permutations: int, seed: int, band_rows: in
     return band(prepared)
 
 
-def exact_copies(df: DataFrame, *, text_col: str = "text_clean", id_col: str = "row_id") -> DataFrame:
+def exact_copies(signed: DataFrame) -> DataFrame:
     """``(id, first_id)``: the smallest row with the same prepared text.  Only digests are shuffled."""
-    keyed = df.select(F.col(id_col).alias("id"), F.sha2(tx.gram_text(F.col(text_col)), 256).alias("digest"))
+    first = signed.groupBy("digest").agg(F.min("id").alias("first_id"))
     # An empty text has no n-grams and resembles nothing, not even another empty text.
-    empty = F.sha2(F.lit(""), 256)
-    first = keyed.groupBy("digest").agg(F.min("id").alias("first_id"))
-    return keyed.join(first, "digest").select(
-        "id", F.when(F.col("digest") == empty, F.col("id")).otherwise(F.col("first_id")).alias("first_id")
-    )
+    own = F.when(F.col("n_grams") == 0, F.col("id")).otherwise(F.col("first_id"))
+    return signed.select("id", "digest", "n_grams").join(first, "digest").select("id", own.alias("first_id"))
 
 
 def near_duplicate_edges(
@@ -132,11 +129,16 @@ def near_duplicate_edges(
       are compared, exactly, with all big-bucket rows they share a rare n-gram with (a set with Jaccard
       t must share one of its ``|x| - ceil(t|x|) + 1`` rarest n-grams).
     """
-    copies = cut(exact_copies(df, text_col=text_col, id_col=id_col), "copies")
+    prepared = df.select(F.col(id_col).alias("id"), tx.gram_text(F.col(text_col)).alias("t"))
+    signed = cut(
+        prepared.withColumns(
+            {"digest": F.sha2("t", 256), "_b": _bands(F.col("t"), n, permutations, seed, band_rows)}
+        ).select("id", "t", "digest", "_b.n_grams", "_b.bands"),
+        "signed",
+    )
+    copies = cut(exact_copies(signed), "copies")
     firsts = copies.filter(F.col("id") == F.col("first_id")).select("id")
-    texts = df.select(F.col(id_col).alias("id"), tx.gram_text(F.col(text_col)).alias("t")).filter("t <> ''")
-    signed = texts.join(firsts, "id", "left_semi").withColumn("_b", _bands(F.col("t"), n, permutations, seed, band_rows))
-    docs = cut(signed.select("id", "t", "_b.n_grams", "_b.bands"), "signed")
+    docs = signed.filter("n_grams > 0").join(firsts, "id", "left_semi").drop("digest")
 
     members = docs.select("id", "n_grams", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("id").alias("pivot"))
@@ -175,15 +177,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, n: int) -> Da
     left = docs.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("n_grams").alias("na"))
     right = docs.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("n_grams").alias("nb"))
     joined = pairs.join(left, "a").join(right, "b").filter(_size_fits("na", "nb", threshold))
-    common = F.size(F.array_intersect(tx.char_ngrams(F.col("ta"), n), tx.char_ngrams(F.col("tb"), n)))
     return (
-        joined.select("a", "b", "na", "nb", common.alias("c"))
+        joined.select("a", "b", "na", "nb", _common(n)("ta", "tb").alias("c"))
         .withColumn("similarity", F.col("c") / (F.col("na") + F.col("nb") - F.col("c")))
         .filter(F.col("similarity") >= threshold)
         .select("a", "b", "similarity")
     )
 
 
+def _common(n: int):
+    """How many distinct n-grams two texts share (by 64-bit hash, like the set sizes)."""
+
+    @F.pandas_udf("int")
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        sizes = [
+            np.intersect1d(_gram_hashes(x, n), _gram_hashes(y, n), assume_unique=True).size for x, y in zip(a, b)
+        ]
+        return pd.Series(sizes, dtype="int32")
+
+    return common
+
+
 def _rare_gram_pairs(crowd: DataFrame, open_ids: DataFrame, threshold: float, n: int) -> DataFrame:
     """Candidate pairs between open rows and all crowd rows, by shared rare n-grams."""
     grams = crowd.select("id", "n_grams", F.explode(tx.char_ngrams(F.col("t"), n)).alias("g"))

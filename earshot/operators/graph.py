@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.sources.shared import cut
+from earshot.sources.shared import cut_measured
 
 
 def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
@@ -18,15 +18,14 @@ def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst"
     pairs = (
         edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).filter("hi <> lo").distinct()
     )
-    state, seen = cut(pairs, "edges"), None
+    marks = {"n": F.count(F.lit(1)), "mix": F.bit_xor(F.xxhash64("hi", "lo"))}
+    state, mark = cut_measured(pairs, "edges", **marks)
     for _ in range(max_rounds):
-        mark = state.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-        if mark == seen:
-            return state.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(
-                state.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-            )
-        seen = mark
-        state = cut(_small_star(_large_star(state)), "edges")
+        before = mark
+        state, mark = cut_measured(_small_star(_large_star(state)), "edges", **marks)
+        if mark == before:
+            roots = state.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
+            return state.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(roots)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

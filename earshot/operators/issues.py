@@ -43,15 +43,28 @@ def issue_cube(
 ) -> DataFrame:
     """Sums per (cluster, parent, time bucket) over non-noise rows.
 
-    The only step that touches rows: one scan and one hash aggregate whose map side already shrinks a
-    cluster of any size to a few rows.  The small result is written once, because every metric below
-    reads it and each would otherwise scan the rows again.
+    Texts are read once: scores, ids and time are written as a narrow table, from which bucket edges and
+    sums are taken.  The sums are one hash aggregate whose map side already shrinks a cluster of any
+    size to a few rows; the small result is written, since every metric below reads it.
     """
     live = rows.filter(F.col(cluster_col) != NOISE)
-    bucketed = live.withColumn("time_bucket", rank.time_bucket(live, n_buckets=n_buckets, id_col=id_col))
+    time_col = rank.choose_time_column(live.columns)
+    scored = cut(
+        score_rows(live, text_col=text_col, lexicon=lexicon).select(
+            F.col(id_col).alias("row_id"),
+            F.col(cluster_col).alias("cluster_id"),
+            F.col(parent_col).alias("parent_id"),
+            "severity",
+            "sentiment",
+            "row_urgency",
+            *[f"signal_{s}" for s in SIGNALS],
+            *([time_col] if time_col else []),
+        ),
+        "scored",
+    )
     sums = (
-        score_rows(bucketed, text_col=text_col, lexicon=lexicon)
-        .groupBy(F.col(cluster_col).alias("cluster_id"), F.col(parent_col).alias("parent_id"), "time_bucket")
+        scored.withColumn("time_bucket", rank.time_bucket(scored, n_buckets=n_buckets))
+        .groupBy("cluster_id", "parent_id", "time_bucket")
         .agg(
             F.count("*").alias("n"),
             F.sum("row_urgency").alias("urgency"),

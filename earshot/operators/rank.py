@@ -63,12 +63,15 @@ def time_parse_coverage(df: DataFrame, column: str, *, min_rows: int = 100, min_
     )
 
 
-def order_key(df: DataFrame, *, id_col: str = "row_id") -> tuple[Column, str | None]:
-    """The column rows are bucketed by: event time when usable, else the row id."""
+def order_key(df: DataFrame, *, id_col: str = "row_id") -> tuple[Column, int]:
+    """The column rows are bucketed by (event time when usable, else the row id) and its non-null count."""
     name = choose_time_column(df.columns)
-    if name is not None and time_parse_coverage(df, name).first()["usable"]:
-        return as_utc_time(df, name), name
-    return F.col(id_col), None
+    if name is not None:
+        found = time_parse_coverage(df, name).first()
+        if found["usable"]:
+            return as_utc_time(df, name), found["parsed"]
+        return F.col(id_col), found["rows"]
+    return F.col(id_col), df.count()
 
 
 def time_bucket(df: DataFrame, *, n_buckets: int = 8, id_col: str = "row_id") -> Column:
@@ -78,18 +81,19 @@ def time_bucket(df: DataFrame, *, n_buckets: int = 8, id_col: str = "row_id") ->
     time have no bucket.  Only the q-1 rows that open a bucket are looked up, through a rank over the
     two key columns; rows themselves are then bucketed where they lie, without a shuffle or a join.
     """
-    key, _ = order_key(df, id_col=id_col)
-    ranked = global_rank(df.select(key.alias("k"), F.col(id_col).alias("i")).filter("k is not null"), ["k", "i"])
-    n = ranked.count()
-    first_rank = {b: b * (n - 1) // n_buckets + 2 for b in range(1, n_buckets)}
-    firsts = sorted({r for r in first_rank.values() if r <= n})
-    edges = {r["rank"]: r for r in ranked.filter(F.col("rank").isin(firsts)).collect()} if firsts else {}
-    kind, row_id = dict(ranked.dtypes)["k"], F.col(id_col)
+    key, n = order_key(df, id_col=id_col)
+    first_rank = [b * (n - 1) // n_buckets + 2 for b in range(1, n_buckets)]
+    wanted = sorted({r for r in first_rank if r <= n})
     bucket = F.lit(0)
-    for rank in first_rank.values():
-        if rank in edges:
-            at = F.lit(edges[rank]["k"]).cast(kind)
-            later = (key > at) | ((key == at) & (row_id >= F.lit(edges[rank]["i"])))
+    if wanted:
+        keys = df.select(key.alias("k"), F.col(id_col).alias("i")).filter("k is not null")
+        ranked = global_rank(keys, ["k", "i"])
+        kind, row_id = dict(ranked.dtypes)["k"], F.col(id_col)
+        # At most n_buckets - 1 rows.
+        edges = {r["rank"]: r for r in ranked.filter(F.col("rank").isin(wanted)).collect()}
+        for at in (edges[r] for r in first_rank if r <= n):
+            opening = F.lit(at["k"]).cast(kind)
+            later = (key > opening) | ((key == opening) & (row_id >= F.lit(at["i"])))
             bucket = bucket + later.cast("int")
     return F.when(key.isNotNull(), bucket)
 

@@ -88,16 +88,19 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def dense_blocks(
-    df: DataFrame, id_col: str, vec_col: str, *, block_bytes: int = BLOCK_BYTES
+    df: DataFrame, id_col: str, vec_col: str, *, block_bytes: int = BLOCK_BYTES, n: int | None = None, dim: int | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(ids, matrix)`` blocks of a side that is small or is taken in passes, ids ascending in a block.
 
-    The size is measured first; a block never exceeds ``block_bytes`` by more than chance unevenness.
+    The size is measured first unless it is known; a block never exceeds ``block_bytes`` by more than
+    chance unevenness.
     """
-    size = df.agg(F.count("*").alias("n"), F.max(F.size(vec_col)).alias("dim")).first()
-    if not size["n"]:
+    if n is None or dim is None:
+        size = df.agg(F.count("*").alias("n"), F.max(F.size(vec_col)).alias("dim")).first()
+        n, dim = size["n"], size["dim"]
+    if not n:
         return
-    blocks = -(-size["n"] * size["dim"] * 8 // block_bytes)
+    blocks = -(-n * dim * 8 // block_bytes)
     for b in range(blocks):
         part = df if blocks == 1 else df.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
         rows = part.select(id_col, vec_col).orderBy(id_col).collect()

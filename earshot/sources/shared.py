@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``cut`` plus aggregates of the written rows, taken while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    return out, seen.get
+
+
 def fingerprint(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row ``(n_rows, digest)``; order-free, so it is a plain partial + final aggregate.
 
