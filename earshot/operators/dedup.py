@@ -49,16 +49,18 @@ def _gram_hashes(text: str, n: int) -> np.ndarray:
 
 def _permutations(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    odd = rng.integers(0, 1 << 63, size=count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return odd, rng.integers(0, 1 << 63, size=count, dtype=np.uint64)
+    odd = rng.integers(0, 1 << 31, size=count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return odd, rng.integers(0, 1 << 32, size=count, dtype=np.uint32)
 
 
-def _signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 4096) -> np.ndarray:
-    out = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for start in range(0, len(hashes), step):
-        block = hashes[start : start + step]
-        np.minimum(out, (block[None, :] * a[:, None] + b[:, None]).min(axis=1), out=out)
-    return out
+def _signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 8192) -> np.ndarray:
+    """Minimum of every permutation over the upper hash halves; 32-bit lanes keep the loop vectorised."""
+    halves = (hashes >> np.uint64(32)).astype(np.uint32)
+    out = np.full(len(a), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for start in range(0, len(halves), step):
+        block = halves[start : start + step]
+        np.minimum(out, [(block * x + y).min() for x, y in zip(a, b)], out=out, casting="unsafe")
+    return out.astype(np.uint64)
 
 
 def minhash_signature(prepared: Column, *, n: int = NGRAM, permutations: int = PERMUTATIONS, seed: int = SEED) -> Column:
@@ -163,8 +165,12 @@ def near_duplicate_edges(
     ).select("id").distinct()
     crowd = docs.join(big.select("id").distinct(), "id", "left_semi")
     rest = _rare_gram_pairs(crowd, cut(open_ids, "open"), threshold, n)
-    known = edges.select("a", "b")
-    more = _verified(rest.join(known, ["a", "b"], "left_anti"), docs, threshold, n)
+    rest = rest.join(edges.select("a", "b"), ["a", "b"], "left_anti")
+    # Like all candidates these have to share a band; checked on the keys before texts are fetched.
+    keys_a = crowd.select(F.col("id").alias("a"), F.col("bands").alias("ka"))
+    keys_b = crowd.select(F.col("id").alias("b"), F.col("bands").alias("kb"))
+    alike = rest.join(keys_a, "a").join(keys_b, "b").filter(F.arrays_overlap("ka", "kb")).select("a", "b")
+    more = _verified(alike, docs, threshold, n)
     return copies, edges.unionAll(cut(more, "near"))
 
 
