@@ -67,7 +67,8 @@ def issue_cube(
         .groupBy("cluster_id", "parent_id", "time_bucket")
         .agg(
             F.count("*").alias("n"),
-            F.sum("row_urgency").alias("urgency"),
+            # Exact decimal sums do not depend on the order rows arrive in.
+            F.sum(F.col("row_urgency").cast("decimal(12,9)")).alias("urgency"),
             F.count_if(F.col("severity") == "High").alias("high"),
             F.count_if(F.col("sentiment") == "Negative").alias("negative"),
             *[F.sum(f"signal_{s}").alias(s) for s in SIGNALS],
@@ -138,7 +139,7 @@ def issue_metrics(cube: DataFrame, *, dense_buckets: bool = False) -> DataFrame:
     """One row per cluster with its 16 metrics; order by priority and count where an order is wanted."""
     per_cluster = cube.groupBy("cluster_id").agg(
         F.sum("n").alias("count"),
-        F.sum("urgency").alias("urgency"),
+        F.sum("urgency").cast("double").alias("urgency"),
         F.sum("high").alias("high"),
         F.sum("negative").alias("negative"),
         *[F.sum(s).alias(s) for s in SIGNALS],

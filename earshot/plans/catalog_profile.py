@@ -224,7 +224,8 @@ METRICS_SQL = f"""{SCORED_SQL}, {fx.CLUSTERS_SQL}, live AS (
   SELECT cluster_id, parent_id FROM (
     SELECT cluster_id, parent_id, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, parent_id) AS k
     FROM live GROUP BY cluster_id, parent_id) WHERE k = 1), base AS (
-  SELECT cluster_id, count(*) AS count, avg(row_urgency) AS urgency_score,
+  SELECT cluster_id, count(*) AS count,
+    sum(CAST(row_urgency AS DECIMAL(12, 9)))::DOUBLE / count(*) AS urgency_score,
     avg(CAST(severity = 'High' AS INTEGER)) AS pct_high, avg(CAST(sentiment = 'Negative' AS INTEGER)) AS pct_negative,
     avg(signal_payment) AS signal_payment_rate, avg(signal_trust) AS signal_trust_rate,
     avg(signal_blocker) AS signal_blocker_rate, avg(signal_religious) AS signal_religious_rate
