@@ -1,4 +1,5 @@
 import unicodedata
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,11 +68,9 @@ def test_risk_signals(spark):
 
 def test_urgency_grid(spark):
     flags = ["signal_payment", "signal_trust", "signal_blocker", "signal_religious"]
-    sev = spark.createDataFrame([("Low",), ("Medium",), ("High",), (None,)], "severity string")
-    sent = spark.createDataFrame([("Positive",), ("Neutral",), ("Negative",), ("odd",)], "sentiment string")
-    df = sev.join(sent)
-    for f in flags:
-        df = df.join(spark.createDataFrame([(0,), (1,)], f"{f} int"))
+    severities, sentiments = ("Low", "Medium", "High", None), ("Positive", "Neutral", "Negative", "odd")
+    grid = [(*c, *f) for c in product(severities, sentiments) for f in product((0, 1), repeat=4)]
+    df = spark.createDataFrame(grid, "severity string, sentiment string, " + ", ".join(f"{f} int" for f in flags))
     rows = df.withColumn("u", scoring.row_urgency(F.col("severity"), F.col("sentiment"), {f: F.col(f) for f in flags})).collect()
     assert len(rows) == 256
     for r in rows:
