@@ -7,7 +7,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from earshot.llm import chat, decontaminate, language, mixing, secrets, tokens, topk, toxicity
+from earshot.llm import (
+    chat,
+    decontaminate,
+    language,
+    mixing,
+    neardup,
+    secrets,
+    substring,
+    tokens,
+    topk,
+    toxicity,
+)
 from earshot.llm.common import crc_fold
 from earshot.plans.registry import Catalog
 
@@ -193,3 +204,54 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOG.add("op9_token_output", op9_token_output)
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+_PLAIN_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+CATALOG.add(
+    "op1_substring_dedup",
+    op1_substring_dedup,
+    f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_PLAIN_WORDS} AS w FROM documents),
+    starts AS (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35),
+    wins AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS win FROM starts),
+    dup AS (SELECT win FROM wins GROUP BY win HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS p FROM wins JOIN dup USING (win)),
+    words AS (SELECT r, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM d),
+    kept AS (SELECT words.r, count(*) AS n, string_agg(word, ' ' ORDER BY words.p) AS t
+             FROM words LEFT JOIN gone ON words.r = gone.r AND words.p = gone.p WHERE gone.p IS NULL GROUP BY words.r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+           sha256(coalesce(kept.t, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r)
+    """,
+)
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_FOLDED_WORDS = f"regexp_extract_all(coalesce({_LOWER.format('text')}, ''), '[^\\x20\\x09-\\x0D]+')"
+
+CATALOG.add(
+    "op10_near_duplicates",
+    op10_near_duplicates,
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_FOLDED_WORDS} AS w FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS g
+        FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+               GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT x, y FROM shared JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * m >= 85 * (p.n + q.n - m)),
+    reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+    least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
+    """,
+)
