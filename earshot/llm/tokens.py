@@ -3,7 +3,7 @@
 ``write_tokens`` lays down two Parquet tables in a folder that any executor can reach:
 
 * ``dictionary``: one row with the zstandard dictionary and its SHA-256;
-* ``blocks``: one row per block of consecutive documents: their ids, for each its number of token ids and
+* ``blocks``: one row per block of consecutive documents, by part and place in it: their ids, for each its number of token ids and
   the end of its frame (the offset index), the SHA-256 of the dictionary, and ``payload``, the frames end
   to end.  A frame holds one document's ids as little-endian unsigned integers of ``width`` bytes, so a
   single short document is read with one slice and one call.
@@ -15,7 +15,6 @@ dictionary is trained on a documented number of documents; everything else is do
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,44 +29,88 @@ from earshot.sources.shared import new_path
 
 END_ID = 0
 _BLOCKS = (
-    "part int, seq int, ids array<bigint>, counts array<int>, ends array<bigint>, width int, dictionary string, payload binary"
+    "part int, seq int, first bigint, ids array<bigint>, counts array<int>, ends array<bigint>, width int, dictionary string, payload binary"
 )
 #: Blocks are closed once their payload has this many bytes; one document is never split.
 BLOCK_BYTES = 1 << 20
-#: What makes the space-by-space way of encoding differ from encoding the text at once.
-_UNEVEN = re.compile("[^\\S \n]|[\\x00\u180e\u200b\ufeff]|  | \n|\n |^ | $|<\\|")
+#: Strings that make encoding piece by piece differ from encoding the text at once: white space other than
+#: single blanks and line ends between other characters, and what special tokens begin with.
+_UNEVEN = (
+    "  ", "\n\n", " \n", "\n ", "<|", "\x00", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0",
+    "\u1680", "\u180e", *map(chr, range(0x2000, 0x200C)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\ufeff",
+)
 
 
-class Encoder:
-    """Ids of whole texts, equal to encoding each text at once.
+#: The characters that stand for bytes in a byte-level vocabulary: visible Latin-1 characters stand for
+#: themselves, the other bytes, in order, for characters from U+0100 on.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_UNITS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+
+def cut_pieces(text: str) -> list[str] | None:
+    """The text in pieces that encode on their own, or None if it has to be encoded at once.
 
-    This vocabulary never joins a space to what precedes it, so a text cut before each single space
-    between two other characters has the ids of its pieces.  Pieces repeat, so their ids are remembered
-    (for a bounded number of pieces) and only new ones are encoded, all of a batch together.  Texts with
-    runs of white space or special-token brackets are encoded at once.
+    The vocabulary's pattern joins a blank to what follows it and never to what precedes it, and a single
+    line end to nothing.
     """
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _UNEVEN):
+        return None
+    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+
+
+class Pieces(dict):
+    """Ids of pieces met lately as bytes, in two generations of bounded size; new pieces are encoded."""
+
+    def __init__(self, tokenizer, dtype: str, most: int):
+        super().__init__()
+        self.tokenizer, self.model, self.dtype, self.most = tokenizer, tokenizer.model, dtype, most
+        self.older: dict[str, bytes] = {}
+        self.stops = {x: self.encode([x])[0] for x in ".,"}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self._learn(piece)
+        self[piece] = ids
+        return ids
+
+    def _learn(self, piece: str) -> bytes:
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isalpha():
+            # Letters, perhaps after a blank, are one unit of the vocabulary's pattern: the merges apply as they are.
+            units = piece.encode().decode("latin-1").translate(_BYTE_UNITS)
+            return np.array([t.id for t in self.model.tokenize(units)], self.dtype).tobytes()
+        if word[-1:] in self.stops and word[:-1].isalpha():
+            # A full stop or comma after a letter is a piece of its own.
+            return self[piece[:-1]] + self.stops[word[-1]]
+        return self.encode([piece])[0]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
+
+class Encoder:
+    """Ids of whole texts, equal to encoding each text at once; pieces repeat and are remembered."""
 
     def __init__(self, path: str, dtype: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype, self.most = dtype, most
-        self.known: dict[str, bytes] = {}
+        self.pieces = Pieces(Tokenizer.from_file(path), dtype, most)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if not t or _UNEVEN.search(t) else t.replace(" ", "\x00 ").split("\x00") for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = {p for ps in pieces if ps for p in ps}.difference(self.known)
-        whole = [t for t, ps in zip(texts, pieces) if ps is None]
-        self.known.update(zip(new, self._encode(list(new))))
-        at_once = iter(self._encode(whole))
-        get = self.known.__getitem__
-        return [next(at_once) if ps is None else b"".join(map(get, ps)) for ps in pieces]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        self.pieces.age()
+        get = self.pieces.__getitem__
+        out = []
+        for text in texts:
+            pieces = cut_pieces(text)
+            out.append(self.pieces.encode([text])[0] if pieces is None else b"".join(map(get, pieces)))
+        return out
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -120,7 +163,7 @@ def write_tokens(
     end_id: int | None = END_ID,
     sample_rows: int = 1000,
     dictionary_bytes: int = 64 << 10,
-    level: int = 3,
+    level: int = 1,
 ) -> str:
     """Encode ``docs`` into ``path`` and return it.  A null text is empty."""
     spark = docs.sparkSession
@@ -154,13 +197,14 @@ def _block_writer(tokenizer_path: str, dictionary: bytes, digest: str, end_id: i
         ids: list[int | None] = []
         counts: list[int] = []
         frames: list[bytes] = []
-        held = seq = part_no = 0
+        held = seq = part_no = first = 0
 
         def close() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict(
                 {
                     "part": pa.array([part_no], pa.int32()),
                     "seq": pa.array([seq], pa.int32()),
+                    "first": pa.array([first], pa.int64()),
                     "ids": pa.array([ids], pa.list_(pa.int64())),
                     "counts": pa.array([counts], pa.list_(pa.int32())),
                     "ends": pa.array([np.cumsum([len(f) for f in frames])], pa.list_(pa.int64())),
@@ -181,6 +225,7 @@ def _block_writer(tokenizer_path: str, dictionary: bytes, digest: str, end_id: i
                     held += len(frames[-1])
                     if held >= BLOCK_BYTES or len(ids) >= 4096:
                         yield close()
+                        first += sum(counts)
                         ids, counts, frames, held, seq = [], [], [], 0, seq + 1
         if ids:
             yield close()
@@ -214,15 +259,15 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> Da
     """
     digest, dictionary = read_dictionary(spark, path)
     blocks = spark.read.parquet(f"{path}/blocks")
-    # Sums per block give each block its start: a window per part, and one over one row per part.
-    sizes = blocks.select("part", "seq", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n"))
-    in_part = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
+    # A block knows where it starts in its part; parts are as many as the write had tasks, and each is one
+    # number here, so the window and the broadcast are small whatever the table holds.
+    count = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    ends = blocks.select("part", (F.col("first") + count).alias("end")).groupBy("part").agg(F.max("end").alias("n"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("part_start"))
-    begin = sizes.select("part", "seq", F.coalesce(F.sum("n").over(in_part), F.lit(0)).alias("in_part")).join(starts, "part")
-    begin = begin.select("part", "seq", (F.col("in_part") + F.col("part_start")).alias("start"))
-    joined = blocks.join(begin, ["part", "seq"]).select("start", "ids", "counts", "ends", "width", "dictionary", "payload")
+    parts = ends.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    joined = blocks.join(F.broadcast(parts), "part").select(
+        (F.col("ahead") + F.col("first")).alias("start"), "ids", "counts", "ends", "width", "dictionary", "payload"
+    )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = opener(dictionary)
