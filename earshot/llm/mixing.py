@@ -29,6 +29,7 @@ from earshot.sources.shared import cut
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_SOURCES = 1_000_000
+SEED = 17
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -100,7 +101,7 @@ def mix_quotas(
     block_words: int = 16,
     shard_words: int = 20_000,
     max_shards: int = 4096,
-    seed: int = 17,
+    seed: int = SEED,
 ) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, taken`` and its place in the mix.
 
@@ -190,19 +191,25 @@ def mix(docs: DataFrame, *, block_words: int = 16, length_col: str = "n_chars",
     space.  ``length_col``, if there is one, is set anew.  Rows that take no word are left out, except
     that documents without words stay.
     """
-    ids, keys = ["doc_id", "mark"], options.get("seed", 17)
-    plan = mix_quotas(docs, block_words=block_words, **options).select(
-        *ids, "size", "taken", "blocks", "quota", "offset", "first"
-    )
+    facts = ("size", "taken", "blocks", "quota", "offset", "first")
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    plan = mix_quotas(docs, block_words=block_words, **options)
     # Rows that are alike in id and text are told apart by a running number on either side.
     alike = Window.partitionBy("doc_id", "mark").orderBy("first")
-    numbered = plan.withColumn("_nth", F.row_number().over(alike))
-    marked = docs.withColumn("_mark", F.xxhash64(F.lit(keys), F.col("doc_id"), F.col("text")))
-    same = Window.partitionBy("doc_id", "_mark").orderBy(F.xxhash64(*docs.columns))
-    left = marked.withColumn("_nth2", F.row_number().over(same))
+    plan = plan.select(
+        F.col("doc_id").alias("_mix_id"),
+        F.col("mark").alias("_mix_mark"),
+        F.row_number().over(alike).alias("_mix_nth"),
+        *[F.col(f).alias(f"_mix_{f}") for f in facts],
+    )
+    mark = F.xxhash64(F.lit(options.get("seed", SEED)), F.col(id_col), F.col(text_col))
+    same = Window.partitionBy(id_col, "_mix_own").orderBy(F.xxhash64(*docs.columns))
+    left = docs.withColumn("_mix_own", mark).withColumn("_mix_own_nth", F.row_number().over(same))
     joined = left.join(
-        numbered.withColumnRenamed("doc_id", "_id"),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("mark")) & (F.col("_nth") == F.col("_nth2")),
+        plan,
+        F.col(id_col).eqNullSafe(F.col("_mix_id"))
+        & (F.col("_mix_own") == F.col("_mix_mark"))
+        & (F.col("_mix_own_nth") == F.col("_mix_nth")),
     )
     names = list(docs.columns)
     schema = docs.schema
@@ -211,10 +218,10 @@ def mix(docs: DataFrame, *, block_words: int = 16, length_col: str = "n_chars",
         for batch in batches:
             rows: list[int] = []
             texts: list[str | None] = []
-            texts_in = batch.column(names.index("text")).to_pylist()
-            facts = [batch.column(len(names) + i).to_pylist() for i in range(6)]
+            texts_in = batch.column(names.index(text_col)).to_pylist()
+            given = [batch.column(len(names) + i).to_pylist() for i in range(len(facts))]
             for i, text in enumerate(texts_in):
-                size, taken, blocks, quota, offset, first = (f[i] for f in facts)
+                size, taken, blocks, quota, offset, first = (g[i] for g in given)
                 if not size:
                     rows.append(i)
                     texts.append(text)
@@ -227,15 +234,14 @@ def mix(docs: DataFrame, *, block_words: int = 16, length_col: str = "n_chars",
                     rows.append(i)
                     texts.append(text if keep.all() else _kept(text, keep))
             out = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(len(names))]
-            out[names.index("text")] = pa.array(texts, pa.string())
+            out[names.index(text_col)] = pa.array(texts, pa.string())
             if length_col in names:
                 out[names.index(length_col)] = pa.array(
                     [None if t is None else len(t) for t in texts], pa.int64()
                 ).cast(out[names.index(length_col)].type)
             yield pa.RecordBatch.from_arrays(out, names)
 
-    facts = ["size", "taken", "blocks", "quota", "offset", "first"]
-    return joined.select(*names, *[F.col(f).alias(f"_{f}") for f in facts]).mapInArrow(build, schema)
+    return joined.select(*names, *[f"_mix_{f}" for f in facts]).mapInArrow(build, schema)
 
 
 def _kept(text: str, keep: np.ndarray) -> str:

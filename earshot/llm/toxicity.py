@@ -1,6 +1,6 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic regression on which words a text has.  Besides the loss on the labels it is penalised for
+A logistic regression on which words, and beginnings of words, a text has.  Besides the loss on the labels it is penalised for
 every change of score when the identity terms of a labelled text are swapped for their counterparts, so
 a neutral mention of a group does not raise the score.
 
@@ -14,7 +14,6 @@ and null labels are not learned from; without labelled rows of both kinds every
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -36,8 +35,10 @@ IDENTITY = (
 )
 
 
-def word_number(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+def features(text: str | None) -> set[bytes]:
+    """The different words of a text, and their beginnings of four and six bytes with a star."""
+    words = set(normal_words(text))
+    return words.union([w[:4] + b"*" for w in words if len(w) > 4], [w[:6] + b"*" for w in words if len(w) > 6])
 
 
 def _swaps(pairs: Sequence[tuple[str, str]]) -> dict[bytes, bytes]:
@@ -53,17 +54,17 @@ class ToxicityModel:
     intercept: float
     empty: bool = False
 
-    def score(self, words: Iterator[bytes] | list[bytes]) -> float:
+    def score(self, found: set[bytes]) -> float:
         if self.empty:
             return 0.0
-        z = self.intercept + sum(self.weights[w] for w in self.weights.keys() & words)
+        z = self.intercept + sum(map(self.weights.__getitem__, self.weights.keys() & found))
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            words = [sorted(set(normal_words(t))) for t in part.column(0).to_pylist()]
+            words = [sorted(features(t)) for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words, pa.list_(pa.binary())), part.column(1)], ["words", "label"]
             )
@@ -76,13 +77,16 @@ def fit_toxicity(
     label_col: str = "toxic",
     learn: Column | None = None,
     max_rows: int = 12_000,
-    max_words: int = 300,
-    min_rows: int = 8,
+    max_words: int = 600,
+    min_rows: int = 3,
     swap_penalty: float = 1.0,
-    shrink: float = 0.5,
+    shrink: float = 0.05,
     identity: Sequence[tuple[str, str]] = IDENTITY,
 ) -> ToxicityModel:
-    """Fit on at most ``max_rows`` texts (smallest hashes) of rows where ``learn`` holds."""
+    """Fit on at most ``max_rows`` texts (smallest hashes) of rows where ``learn`` holds.
+
+    ``max_words`` bounds the chosen words, ``min_rows`` is the least number of (unlike) rows that hold one.
+    """
     text, label = F.col(text_col), F.col(label_col)
     rows = labelled.filter(learn) if learn is not None else labelled
     rows = rows.filter(text.isNotNull() & label.isin(0, 1)).select(
@@ -102,16 +106,19 @@ def fit_toxicity(
     return _fit(table, y, max_words, min_rows, swap_penalty, shrink, _swaps(identity))
 
 
-def _fit(table, y, max_words, min_rows, swap_penalty, shrink, swaps) -> ToxicityModel:
+def _fit(table, y, max_words, min_rows, swap_penalty, shrink, swaps, margin=-4.0) -> ToxicityModel:
     words = table.column("words").combine_chunks()
     flat = words.flatten().dictionary_encode()
     code = flat.indices.to_numpy()
     names = flat.dictionary
     row = np.repeat(np.arange(len(y)), words.value_lengths().to_numpy())
-    n, t = np.bincount(code, minlength=len(names)), np.bincount(code, y[row], minlength=len(names))
-    gain = np.where(n >= min_rows, _likelihood_ratio(n, t, len(y), y.sum()), -1.0)
+    share = _shares(code, row, len(y), len(names))
+    n = np.bincount(code, share[row], minlength=len(names))
+    t = np.bincount(code, (share * y)[row], minlength=len(names))
+    gain = np.where(n >= min_rows, _likelihood_ratio(n, t, share.sum(), share @ y), -1.0)
+    # Of very many words some look telling by chance; a kept one has to beat their number.
     best = np.argsort(-gain, kind="stable")[:max_words]
-    kept = [names[int(i)].as_py() for i in best if gain[i] > 0]
+    kept = [names[int(i)].as_py() for i in best if gain[i] > np.log(len(names)) + margin]
     kept += [w for w in sorted(swaps) if w not in set(kept)]
     column = {w: j for j, w in enumerate(kept)}
     to = np.full(len(names), -1)
@@ -123,21 +130,36 @@ def _fit(table, y, max_words, min_rows, swap_penalty, shrink, swaps) -> Toxicity
     swapped = x.copy()
     for w, other in swaps.items():
         swapped[:, column[other]] = x[:, column[w]]
-    weights, intercept = _newton(x, y, x - swapped, swap_penalty, shrink)
+    weights, intercept = _newton(x, y, share, x - swapped, swap_penalty, shrink)
     return ToxicityModel(dict(zip(kept, weights.tolist())), float(intercept))
 
 
+def _shares(code: np.ndarray, row: np.ndarray, rows: int, names: int, hashes: int = 8) -> np.ndarray:
+    """What each row counts: rows that are much alike count as one together.
+
+    Rows with equal minwise words fall into one group per hash; unlike rows soon fall apart, so the smallest
+    of a row's groups is about as large as its set of near copies.
+    """
+    draw, size = np.random.default_rng(7), np.full(rows, float(rows))
+    for _ in range(hashes):
+        least = np.full(rows, names)
+        np.minimum.at(least, row, draw.permutation(names)[code])
+        size = np.minimum(size, np.bincount(least)[least])
+    return 1.0 / size
+
+
 def _likelihood_ratio(n, t, rows, positives):
     def part(k, m):
-        p = k / np.maximum(m, 1)
+        k, m = np.clip(k, 0, None), np.clip(m, 0, None)
+        p = np.clip(k / np.maximum(m, 1e-9), 0, 1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(k > 0, k * np.log(p), 0.0) + np.where(m - k > 0, (m - k) * np.log1p(-p), 0.0)
+            return np.where(k > 1e-9, k * np.log(p), 0.0) + np.where(m - k > 1e-9, (m - k) * np.log1p(-p), 0.0)
 
     return part(t, n) + part(positives - t, rows - n) - part(np.full_like(t, positives), np.full_like(n, rows))
 
 
-def _newton(x, y, change, swap_penalty, shrink, rounds: int = 30):
-    """Minimise log loss + swap_penalty * mean squared change of score under swaps + shrinkage.
+def _newton(x, y, share, change, swap_penalty, shrink, rounds: int = 30):
+    """Minimise log loss + swap_penalty * squared change of score under swaps + shrinkage.
 
     Shrinkage leaves the intercept alone; the step is halved until the objective falls.
     """
@@ -145,18 +167,18 @@ def _newton(x, y, change, swap_penalty, shrink, rounds: int = 30):
     change = np.hstack([change, np.zeros((len(x), 1))])
     ridge = np.full(x.shape[1], shrink)
     ridge[-1] = 0.0
-    fixed = 2 * swap_penalty * (change.T @ change) + np.diag(ridge)
+    fixed = 2 * swap_penalty * (change.T @ (change * share[:, None])) + np.diag(ridge)
     w = np.zeros(x.shape[1])
 
     def objective(v):
         z = x @ v
-        return np.logaddexp(0, z).sum() - y @ z + 0.5 * v @ fixed @ v
+        return share @ (np.logaddexp(0, z) - y * z) + 0.5 * v @ fixed @ v
 
     value = objective(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        slope = x.T @ (p - y) + fixed @ w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + fixed + 1e-9 * np.eye(len(w))
+        slope = x.T @ (share * (p - y)) + fixed @ w
+        curve = (x * (share * p * (1 - p))[:, None]).T @ x + fixed + 1e-9 * np.eye(len(w))
         step, size = np.linalg.solve(curve, slope), 1.0
         while (after := objective(w - size * step)) > value and size > 1e-6:
             size /= 2
@@ -177,10 +199,24 @@ def score_toxicity(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                found = np.array([model.score(set(normal_words(t))) for t in part.column(at).to_pylist()], float)
+                found = np.array([model.score(features(t)) for t in part.column(at).to_pylist()], float)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[: len(keep)], pa.array(found), pa.array((found >= threshold).astype(np.int32))],
                     part.schema.names,
                 )
 
     return out.mapInArrow(score, out.schema)
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The documents that score below the threshold."""
+    keep = docs.columns
+    at = keep.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                ok = [model.score(features(t)) < threshold for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(ok))
+
+    return docs.mapInArrow(clean, docs.schema)
