@@ -76,7 +76,7 @@ def fit_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     learn: Column | None = None,
-    max_rows: int = 12_000,
+    max_rows: int = 6_000,
     max_words: int = 600,
     min_rows: int = 3,
     swap_penalty: float = 1.0,
