@@ -84,7 +84,7 @@ class ContextTree:
 class PpmModel:
     """Context trees of several languages, and a table of the code lengths asked for before."""
 
-    SLOTS = 1 << 18
+    SLOTS = 1 << 19
 
     def __init__(self, trees: dict[str, ContextTree]):
         self.languages = sorted(trees)
@@ -99,16 +99,22 @@ class PpmModel:
             b = min(len(data), a + _CHUNK)
             keys = grams(data, a, b)
             slot = self._slots(keys)
+            # Grams whose slot another one holds are looked up in the trees, each different one once.
+            lost = np.nonzero(self.keys[slot] != keys)[0]
+            rest, of = np.unique(keys[lost], return_inverse=True)
             here = slice(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left")))
             lo, hi = np.maximum(starts[here], a) - a, np.minimum(ends[here], b) - a
             total = np.zeros(b - a + 1)
             for j in range(len(self.trees)):
-                np.cumsum(self._column(j, keys, slot), out=total[1:])
+                bits = self.values[j][slot]
+                if len(lost):
+                    bits[lost] = self.trees[j].bits(rest)[of]
+                np.cumsum(bits, out=total[1:])
                 out[here, j] += total[hi] - total[lo]
         return out
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         """The table's slot of each key, after entering what it does not hold yet."""
@@ -127,13 +133,6 @@ class PpmModel:
                 self.values[j, at[stayed]] = tree.bits(new[stayed])
         return slot
 
-    def _column(self, j: int, keys: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        out = self.values[j][slot]
-        lost = self.keys[slot] != keys
-        if lost.any():
-            out[lost] = self.trees[j].bits(keys[lost])
-        return out
-
     def predict(self, text_list: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(text_list), np.zeros(len(text_list))
         asked = [i for i, t in enumerate(text_list) if t and _LETTER.search(t)] if self.trees else []
