@@ -15,26 +15,19 @@ from collections.abc import Iterable
 VALID_SEVERITY = ("Low", "Medium", "High")
 VALID_SENTIMENT = ("Positive", "Neutral", "Negative")
 
-WEAK_LANGUAGE_MARKERS = tuple(
-    """
-    hai hain nahi nahin nai kya kyun kyu kaise kaisa kaisi
-    acha achha theek thik bohat bahut zyada kam sahi
-    namaz namaaz roza hadees hadith tafseer tafsir tarjuma
-    masla masail dua duaa allah rabb nabi
-    please plz app apk
-    krna karna krty krte hota hoti raha rahi gya gyi
-    mein main mai tum aap hum
-    jazak jazakallah mashallah mashaallah alhamdulillah inshallah
-    asalam salam wassalam
-    """.split()
-)
-STRONG_LANGUAGE_MARKERS = tuple(
-    """
-    hai hain nahi nahin kaise kaisa bohat bahut
-    namaz namaaz hadees tafseer tarjuma masla dua
-    krna karna hota hoti mein jazakallah mashallah alhamdulillah inshallah
-    """.split()
-)
+WEAK_LANGUAGE_MARKERS = (
+    "hai", "hain", "nahi", "nahin", "nai", "kya", "kyun", "kyu", "kaise", "kaisa", "kaisi", "acha", "achha",
+    "theek", "thik", "bohat", "bahut", "zyada", "kam", "sahi", "namaz", "namaaz", "roza", "hadees", "hadith",
+    "tafseer", "tafsir", "tarjuma", "masla", "masail", "dua", "duaa", "allah", "rabb", "nabi", "please", "plz",
+    "app", "apk", "krna", "karna", "krty", "krte", "hota", "hoti", "raha", "rahi", "gya", "gyi", "mein", "main",
+    "mai", "tum", "aap", "hum", "jazak", "jazakallah", "mashallah", "mashaallah", "alhamdulillah", "inshallah",
+    "asalam", "salam", "wassalam",
+)
+STRONG_LANGUAGE_MARKERS = (
+    "hai", "hain", "nahi", "nahin", "kaise", "kaisa", "bohat", "bahut", "namaz", "namaaz", "hadees", "tafseer",
+    "tarjuma", "masla", "dua", "krna", "karna", "hota", "hoti", "mein", "jazakallah", "mashallah",
+    "alhamdulillah", "inshallah",
+)
 
 RISK_SIGNALS = {
     "payment": (
@@ -137,34 +130,34 @@ QUICK_FILTERS = {
 }
 
 # Removed from finished term lists (after weighting).
-EXTRA_STOP_WORDS = tuple(
-    """
-    app apps plz pls please kindly good nice best thanks thx
-    ka ki ke ko se hai hain main mein aur ya
-    or and the to of in is it for on this that be with
-    should would could can may must have has had are was were
-    """.split()
-)
+EXTRA_STOP_WORDS = (
+    "app", "apps", "plz", "pls", "please", "kindly", "good", "nice", "best", "thanks", "thx", "ka", "ki", "ke",
+    "ko", "se", "hai", "hain", "main", "mein", "aur", "ya", "or", "and", "the", "to", "of", "in", "is", "it",
+    "for", "on", "this", "that", "be", "with", "should", "would", "could", "can", "may", "must", "have", "has",
+    "had", "are", "was", "were",
+)
 # ---------------------------------------------------------------------------
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
 # Removed before terms are formed: common English function words of three letters or more
 # (shorter ones are never tokens).  A parameter; pass any other list where one is wanted.
-STOP_WORDS = tuple(
-    """
-    about above after again against all also although always among and another any are around
-    because been before being below between both but can cannot could did does doing done down
-    during each either else enough even ever every few for from further get give had has have
-    having her here hers herself him himself his how however into its itself just keep least less
-    made make many may might mine more most much must myself neither never next nor not nothing now
-    off often once one only onto other others our ours ourselves out over own per perhaps please
-    quite rather really same see seem several she should since some still such take than that the
-    their theirs them themselves then there these they this those though through thus together too
-    toward under until upon very was well were what when where whether which while who whom whose
-    why will with within without would yet you your yours yourself yourselves
-    """.split()
-)
+STOP_WORDS = (
+    "about", "above", "after", "again", "against", "all", "also", "although", "always", "among", "and",
+    "another", "any", "are", "around", "because", "been", "before", "being", "below", "between", "both", "but",
+    "can", "cannot", "could", "did", "does", "doing", "done", "down", "during", "each", "either", "else",
+    "enough", "even", "ever", "every", "few", "for", "from", "further", "get", "give", "had", "has", "have",
+    "having", "her", "here", "hers", "herself", "him", "himself", "his", "how", "however", "into", "its",
+    "itself", "just", "keep", "least", "less", "made", "make", "many", "may", "might", "mine", "more", "most",
+    "much", "must", "myself", "neither", "never", "next", "nor", "not", "nothing", "now", "off", "often",
+    "once", "one", "only", "onto", "other", "others", "our", "ours", "ourselves", "out", "over", "own", "per",
+    "perhaps", "please", "quite", "rather", "really", "same", "see", "seem", "several", "she", "should",
+    "since", "some", "still", "such", "take", "than", "that", "the", "their", "theirs", "them", "themselves",
+    "then", "there", "these", "they", "this", "those", "though", "through", "thus", "together", "too", "toward",
+    "under", "until", "upon", "very", "was", "well", "were", "what", "when", "where", "whether", "which",
+    "while", "who", "whom", "whose", "why", "will", "with", "within", "without", "would", "yet", "you", "your",
+    "yours", "yourself", "yourselves",
+)
 
 
 def word_pattern(words: Iterable[str]) -> str:

@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,15 @@ def clean_text(text: Column, *, normalise: bool = True) -> Column:
     return F.trim(F.regexp_replace(t, LEADING_NOISE, ""))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is costly to compute.
+
+    A later filter on it stays above the one place that computes it, where a plain projection would have
+    the filter pushed below, with the whole expression repeated in it.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(f"[^{WS}]")
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.functions import vectors as vx
 from earshot.operators import dedup, rank, vectors as vec
 from earshot.operators.graph import connected_components
 from earshot.sources.shared import cut, cut_measured
@@ -29,54 +29,46 @@ def density_clusters(
     vec_col: str = "reduced",
     id_col: str = "row_id",
     grid_dims: int = 3,
+    block_points: int = 512,
 ) -> DataFrame:
     """``(row_id, cluster_id)``: connected groups of core rows at distance ``eps``; all other rows are -1.
 
     A row is core when at least ``min_samples`` rows, itself included, lie within ``eps``.  Groups with
     fewer than ``min_cluster_size`` core rows are dropped.  Clusters are numbered by their smallest row.
 
-    Exact, with the work kept down in three ways: equal vectors become one weighted point; points of one
-    fine cell (its diagonal is ``eps``) are neighbours by construction and are never paired, and a fine
-    cell holding ``min_samples`` rows is one node from then on; other pairs are looked for only in
-    adjacent coarse cells of the first ``grid_dims`` coordinates, since a coordinate differs by no more
-    than the distance.
+    Exact.  Equal vectors become one weighted point; points of one fine cell (its diagonal is ``eps``) are
+    neighbours by construction and are never compared, and a fine cell holding ``min_samples`` rows is one
+    node from then on.  Other points lie in blocks of at most ``block_points``: coarse grid cells, split
+    along their widest coordinate while they are too full.  Two blocks are compared only if their bounding
+    boxes come within ``eps``, as one matrix product in a task, first to count neighbours, then, among core
+    points, for a spanning set of links per pair of blocks.
     """
     rows = df.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double") + 0.0).alias("v"))
-    points = cut(_points(rows, eps, min_samples, grid_dims), "points")
-    links = cut(_links(points, eps, grid_dims), "links")
+    points = cut(_blocked(_points(rows, eps, min_samples, grid_dims), block_points, grid_dims), "points")
+    pairs = cut(block_pairs(points, eps, grid_dims), "block-pairs")
 
-    # A node is a dense fine cell (named by its first point) or a single point of a sparse one.
-    near = links.select(F.col("a").alias("node"), F.col("wb").alias("w")).unionAll(
-        links.select(F.col("b").alias("node"), F.col("wa").alias("w"))
-    )
-    around = near.groupBy("node").agg(F.sum("w").alias("around"))
-    nodes = points.groupBy("node").agg(
-        F.max("cell_weight").alias("cell_weight"), F.max("dense").alias("dense"), F.max("cell").alias("cell"),
-        F.sum("weight").alias("weight"),
-    )
+    near = _compared(points, pairs, _count_neighbours(eps), "p bigint, w bigint")
+    around = near.groupBy("p").agg(F.sum("w").alias("around"))
     core = cut(
-        nodes.join(around, "node", "left").filter(
+        points.join(around, "p", "left").filter(
             F.col("dense") | (F.col("cell_weight") + F.coalesce("around", F.lit(0)) >= min_samples)
-        ),
+        ).drop("around"),
         "core",
     )
-    edges = (
-        links.join(core.select(F.col("node").alias("a")), "a", "left_semi")
-        .join(core.select(F.col("node").alias("b")), "b", "left_semi")
-        .select("a", "b")
-    )
+    edges = _compared(core, pairs, _spanning_links(eps), "a bigint, b bigint")
+    nodes = core.groupBy("node").agg(F.max("cell").alias("cell"), F.sum("weight").alias("weight"))
     # Core points of one sparse fine cell are neighbours too (at most min_samples - 1 of them).
-    first = core.groupBy("cell").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    same_cell = core.join(first, "cell").filter("node <> a").select("a", F.col("node").alias("b"))
+    first = nodes.groupBy("cell").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    same_cell = nodes.join(first, "cell").filter("node <> a").select("a", F.col("node").alias("b"))
     comps = connected_components(edges.unionAll(same_cell), src="a", dst="b")
-    grouped = core.join(comps, "node", "left").select(
+    grouped = nodes.join(comps, "node", "left").select(
         "node", "weight", F.coalesce("component", "node").alias("component")
     )
     big = grouped.groupBy("component").agg(F.sum("weight").alias("size")).filter(F.col("size") >= min_cluster_size)
     # Nodes are named by row ids, so a component's smallest node is its smallest row.
     numbered = rank.global_rank(big.select("component"), ["component"], name="number")
     label = grouped.join(numbered, "component").select("node", (F.col("number") - 1).cast("int").alias("cluster_id"))
-    by_point = points.join(label, "node").select("v", "cluster_id")
+    by_point = core.join(label, "node").select("v", "cluster_id")
     return rows.join(by_point, "v", "left").select(
         F.col("id").alias("row_id"), F.coalesce("cluster_id", F.lit(NOISE)).alias("cluster_id")
     )
@@ -100,52 +92,133 @@ def _points(rows: DataFrame, eps: float, min_samples: int, grid_dims: int) -> Da
     )
 
 
-def _links(points: DataFrame, eps: float, grid_dims: int) -> DataFrame:
-    """``(a, b, wa, wb)``: nodes with points within ``eps`` across fine cells, and the weight seen from each side."""
+def _blocked(points: DataFrame, block_points: int, grid_dims: int) -> DataFrame:
+    """Add ``block``: the coarse cell, halved at the mean of its widest coordinate while it is too full."""
+    grid = [f"g{i}" for i in range(grid_dims)]
+    placed = cut(points.withColumn("block", F.xxhash64(*grid)), "placed")
+    while True:
+        full = placed.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > block_points).select("block")
+        spread = (
+            placed.join(full, "block", "left_semi")
+            .select("block", F.posexplode("v").alias("dim", "x"))
+            .groupBy("block", "dim")
+            .agg((F.max("x") - F.min("x")).alias("width"), F.avg("x").alias("middle"))
+        )
+        # One row per full block; none is left without width, as points differ.
+        halves, seen = cut_measured(
+            spread.groupBy("block").agg(F.max_by(F.struct("dim", "middle"), F.struct("width", -F.col("dim"))).alias("at")),
+            "halves",
+            n=F.count(F.lit(1)),
+        )
+        if not seen["n"]:
+            return placed
+        side = F.get("v", F.col("at.dim")) <= F.col("at.middle")
+        named = F.when(F.col("at").isNull(), F.col("block")).otherwise(F.xxhash64("block", side))
+        placed = cut(placed.join(halves, "block", "left").withColumn("block", named).drop("at"), "placed")
+
+
+def block_pairs(points: DataFrame, eps: float, grid_dims: int) -> DataFrame:
+    """``(left, right, n_left, n_right)``: pairs of blocks, each with itself too, whose boxes come within ``eps``."""
+    grid = [f"g{i}" for i in range(grid_dims)]
+    ends = points.select("block", *grid, F.posexplode("v").alias("dim", "x")).groupBy("block", "dim", *grid).agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")
+    )
+    box = F.transform(F.array_sort(F.collect_list(F.struct("dim", "lo", "hi"))), lambda s: F.struct(s.lo, s.hi))
+    boxes = cut(ends.groupBy("block", *grid).agg(box.alias("box"), F.max("n").alias("n")), "boxes")
+    # Each pair of cells once: an offset or its opposite, and within a cell in the order of the blocks.
     forward = [o for o in itertools.product((-1, 0, 1), repeat=grid_dims) if o >= (0,) * grid_dims]
-    here = [F.col(f"g{i}") for i in range(grid_dims)]
     shifts = F.array(
-        *[F.struct(*[(here[i] + o[i]).alias(f"g{i}") for i in range(grid_dims)], F.lit(not any(o)).alias("own")) for o in forward]
+        *[F.struct(*[(F.col(g) + d).alias(g) for g, d in zip(grid, o)], F.lit(not any(o)).alias("own")) for o in forward]
     )
-    left = points.select(
-        F.col("p").alias("pa"), F.col("v").alias("va"), F.col("weight").alias("wa"), F.col("cell").alias("ca"),
-        F.col("node").alias("na"), F.explode(shifts).alias("s"),
-    ).select("pa", "va", "wa", "ca", "na", "s.*")
-    right = points.select(
-        F.col("p").alias("pb"), F.col("v").alias("vb"), F.col("weight").alias("wb"), F.col("cell").alias("cb"),
-        F.col("node").alias("nb"), *[f"g{i}" for i in range(grid_dims)],
-    )
-    close = (
-        left.join(right, [f"g{i}" for i in range(grid_dims)])
-        .filter((F.col("ca") != F.col("cb")) & (~F.col("own") | (F.col("pa") < F.col("pb"))))
-        .filter(vx.euclidean("va", "vb") <= eps)
+    left = boxes.select(
+        F.col("block").alias("left"), F.col("box").alias("lbox"), F.col("n").alias("n_left"), F.explode(shifts).alias("s")
+    ).select("left", "lbox", "n_left", "s.*")
+    right = boxes.select(F.col("block").alias("right"), F.col("box").alias("rbox"), F.col("n").alias("n_right"), *grid)
+    gap = F.zip_with(
+        "lbox", "rbox", lambda x, y: F.greatest(x["lo"] - y["hi"], y["lo"] - x["hi"], F.lit(0.0))
     )
+    apart = F.aggregate(gap, F.lit(0.0), lambda s, d: s + d * d)
     return (
-        close.groupBy(F.col("na").alias("a"), F.col("nb").alias("b"))
-        .agg(F.sum("wa").alias("wa"), F.sum("wb").alias("wb"))
+        left.join(right, grid)
+        .filter((~F.col("own") | (F.col("left") <= F.col("right"))) & (apart <= eps * eps * (1 + 1e-9)))
+        .select("left", "right", "n_left", "n_right")
     )
 
 
-def eps_from_neighbors(
-    df: DataFrame,
-    *,
-    min_samples: int = 3,
-    quantile: float = 0.5,
-    n_probes: int = 256,
-    vec_col: str = "reduced",
-    id_col: str = "row_id",
-) -> float:
-    """A distance to use as ``eps``: the given quantile of the distance to the ``min_samples - 1``-th other row.
-
-    Estimated on seeded probe rows; each probe's neighbours are searched in the whole table.
-    """
-    probes = rank.sample_ids(df, n=n_probes, id_col=id_col)
-    k = max(min_samples - 1, 1)
-    near = vec.nearest_neighbors(
-        df, probes, k=k, include_self=False, metric="euclidean", id_col=id_col, vec_col=vec_col
-    )
-    row = near.filter(F.col("rank") == k).agg(F.percentile(-F.col("similarity"), F.lit(quantile)).alias("eps")).first()
-    return float(row["eps"] or 0.0)
+def _compared(points: DataFrame, pairs: DataFrame, kernel, schema: str) -> DataFrame:
+    """``kernel`` on the points of every pair of blocks, one pair at a time."""
+    slim = points.select("block", "p", "v", "weight", "cell", "node")
+    keyed = pairs.select("left", "right", F.explode(F.when(F.col("left") == F.col("right"), F.array(F.lit(0))).otherwise(
+        F.array(F.lit(0), F.lit(1)))).alias("side"))
+    members = keyed.withColumn("block", F.when(F.col("side") == 0, F.col("left")).otherwise(F.col("right"))).join(slim, "block")
+    placed = members.select("left", "right", "side", "p", "v", "weight", "cell", "node").repartition("left", "right")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            while len(frame):
+                same = (frame["left"] == frame["left"].iloc[0]) & (frame["right"] == frame["right"].iloc[0])
+                n = len(frame) if same.all() else int((~same).to_numpy().argmax())
+                part, frame = frame.iloc[:n], frame.iloc[n:]
+                if held and (held[0]["left"].iloc[0], held[0]["right"].iloc[0]) != (part["left"].iloc[0], part["right"].iloc[0]):
+                    yield kernel(pd.concat(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield kernel(pd.concat(held))
+
+    return placed.sortWithinPartitions("left", "right", "side", "p").mapInPandas(run, schema)
+
+
+def _neighbours(pair: pd.DataFrame, eps: float):
+    """The two sides of a pair of blocks, and which of their points are near but in another fine cell."""
+    a = pair[pair["side"] == 0]
+    b = pair[pair["side"] == 1] if (pair["left"].iloc[0] != pair["right"].iloc[0]) else a
+    if not len(a) or not len(b):
+        return a, b, np.zeros((len(a), len(b)), bool)
+    x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+    squares = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
+    near = squares <= eps * eps
+    # The expanded square is off by some rounding; where that could decide, the difference is taken.
+    slack = 1e-9 * (1.0 + np.abs(squares) + eps * eps + (x * x).sum(axis=1)[:, None])
+    i, j = np.nonzero(np.abs(squares - eps * eps) <= slack)
+    near[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1)) <= eps
+    return a, b, near & (a["cell"].to_numpy()[:, None] != b["cell"].to_numpy()[None, :])
+
+
+def _count_neighbours(eps: float):
+    def kernel(pair: pd.DataFrame) -> pd.DataFrame:
+        a, b, near = _neighbours(pair, eps)
+        seen = [pd.DataFrame({"p": a["p"].to_numpy(), "w": near @ b["weight"].to_numpy(dtype=np.int64)})]
+        if b is not a:
+            seen.append(pd.DataFrame({"p": b["p"].to_numpy(), "w": near.T @ a["weight"].to_numpy(dtype=np.int64)}))
+        out = pd.concat(seen)
+        return out[out["w"] > 0]
+
+    return kernel
+
+
+def _spanning_links(eps: float):
+    def kernel(pair: pd.DataFrame) -> pd.DataFrame:
+        a, b, near = _neighbours(pair, eps)
+        first, second = a["node"].to_numpy(), b["node"].to_numpy()
+        root = {n: n for n in (*first.tolist(), *second.tolist())}
+
+        def find(n):
+            while root[n] != n:
+                root[n] = n = root[root[n]]
+            return n
+
+        links = []
+        for i in range(len(a)):
+            for j in np.nonzero(near[i])[0]:
+                x, y = find(first[i]), find(second[j])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((first[i], second[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return kernel
 
 
 # --------------------------------------------------------------------------- parent themes
@@ -178,7 +251,9 @@ def parent_themes(centroids: DataFrame, *, n_parents: int = 12, block_bytes: int
     if merges is None:
         comps = leaves.select("node", F.col("node").alias("component"))
     else:
-        taken = merges.orderBy("height", "step", "a").limit(total - max(n_parents, 1))
+        # Heights of a tree of K leaves: the number of merges to take is known, their place by a global rank.
+        placed = rank.global_rank(merges, ["height", "step", "a"], name="place")
+        taken = placed.filter(F.col("place") <= total - max(n_parents, 1))
         joined = connected_components(taken, src="a", dst="b")
         comps = leaves.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     # At most n_parents rows.
@@ -249,8 +324,7 @@ def cluster_table(
     id_col: str = "row_id",
     vec_col: str = "embedding",
     n_components: int = 10,
-    eps: float | None = None,
-    eps_quantile: float = 0.5,
+    eps: float,
     min_samples: int = 3,
     min_cluster_size: int = 10,
     min_sim: float = 0.0,
@@ -258,14 +332,12 @@ def cluster_table(
 ) -> DataFrame:
     """One row per vector: cluster, soft cluster, parents, duplicate group and 2-d position.
 
-    Duplicate groups, projection, density clusters, soft assignment and parent themes, all joined on the
+    ``eps`` is a distance between projected vectors.  Duplicate groups, projection, density clusters, soft assignment and parent themes, all joined on the
     row id.
     """
     ids = vectors.select(F.col(id_col).alias("row_id"), F.col(vec_col).alias("embedding"))
     groups = dedup.assign_duplicate_groups(texts, text_col=text_col, id_col=id_col)
     reduced = cut(vec.project(ids, dims=n_components), "reduced")
-    if eps is None:
-        eps = eps_from_neighbors(reduced, min_samples=min_samples, quantile=eps_quantile)
     labels = density_clusters(reduced, eps=eps, min_samples=min_samples, min_cluster_size=min_cluster_size)
     labelled = cut(ids.join(labels, "row_id"), "labelled")
     centroids = cut(vec.cluster_centroids(labelled), "centroids")

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions import text as tx
@@ -17,10 +18,12 @@ THRESHOLD = 0.85
 NGRAM = 5
 PERMUTATIONS = 128
 SEED = 42
-# 32 bands of 4: a pair at 0.85 is missed with probability 6e-11.
-BAND_ROWS = 4
-# Rows of a bucket compared pair by pair; bigger buckets go through their first row and rare n-grams.
-SMALL_BUCKET = 40
+# Hash values for candidates, and rows per band.  32 bands of 8: a pair at 0.85 is missed with probability
+# 4e-5, one at 0.3 meets in 0.2 % of cases.
+CANDIDATE_HASHES = 256
+BAND_ROWS = 8
+# Rows compared with one another at once; a bucket of any size is taken in blocks of this many.
+BLOCK = 128
 
 # Pre-filters on sizes lean to the safe side of rounding.
 SLACK = 1e-9
@@ -75,36 +78,45 @@ def minhash_signature(prepared: Column, *, n: int = NGRAM, permutations: int = P
     return sign(prepared)
 
 
-def _bands(prepared: Column, n: int, permutations: int, seed: int, band_rows: int) -> Column:
-    """``struct<n_grams, bands>``: the size of the n-gram set and one key per band."""
+def _sketch(prepared: Column, n: int, hashes: int, seed: int, band_rows: int) -> Column:
+    """``struct<n_grams, bands, sig>``: the size of the n-gram set, one key per band, one byte per hash value."""
 
-    @F.pandas_udf("n_grams int, bands array<bigint>")
-    def band(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        a, b = _permutations(permutations, seed)
+    @F.pandas_udf("n_grams int, bands array<bigint>, sig binary")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        a, b = _permutations(hashes, seed)
         for text in batches:
-            sizes, keys = [], []
+            sizes, keys, sigs = [], [], []
             for t in text:
                 g = _gram_hashes(t or "", n)
                 sizes.append(len(g))
                 if not len(g):
                     keys.append(np.empty(0, dtype=np.int64))
+                    sigs.append(b"")
                     continue
-                parts = _signature(g, a, b).reshape(-1, band_rows)
+                signature = _signature(g, a, b)
+                sigs.append((_mix(signature) & np.uint64(255)).astype(np.uint8).tobytes())
+                parts = signature.reshape(-1, band_rows)
                 h = np.arange(len(parts), dtype=np.uint64)
                 for i in range(band_rows):
                     h = _mix(h * _PRIME_MIX + parts[:, i])
                 keys.append(h.view(np.int64))
-            yield pd.DataFrame({"n_grams": pd.Series(sizes, dtype="int32"), "bands": keys})
+            yield pd.DataFrame({"n_grams": pd.Series(sizes, dtype="int32"), "bands": keys, "sig": sigs})
 
-    return band(prepared)
+    return sketch(prepared)
 
 
 def exact_copies(signed: DataFrame) -> DataFrame:
-    """``(id, first_id)``: the smallest row with the same prepared text.  Only digests are shuffled."""
-    first = signed.groupBy("digest").agg(F.min("id").alias("first_id"))
-    # An empty text has no n-grams and resembles nothing, not even another empty text.
-    own = F.when(F.col("n_grams") == 0, F.col("id")).otherwise(F.col("first_id"))
-    return signed.select("id", "digest", "n_grams").join(first, "digest").select("id", own.alias("first_id"))
+    """``(id, first_id)``: the smallest row with the same prepared text.  Only digests are shuffled.
+
+    An empty text has no n-grams and resembles nothing, not even another empty text; it and a text that
+    occurs once stand for themselves.
+    """
+    full = signed.filter("n_grams > 0").select("id", "digest")
+    first = full.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    named = full.join(first.select("digest", "first_id"), "digest", "left")
+    return named.select("id", F.coalesce("first_id", "id").alias("first_id")).unionAll(
+        signed.filter("n_grams = 0").select("id", F.col("id").alias("first_id"))
+    )
 
 
 def near_duplicate_edges(
@@ -114,64 +126,86 @@ def near_duplicate_edges(
     id_col: str = "row_id",
     threshold: float = THRESHOLD,
     n: int = NGRAM,
-    permutations: int = PERMUTATIONS,
+    hashes: int = CANDIDATE_HASHES,
     seed: int = SEED,
     band_rows: int = BAND_ROWS,
-    small_bucket: int = SMALL_BUCKET,
+    block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(copies, edges)``: exact copies, and verified pairs ``(a, b, similarity)`` of distinct texts, a < b.
+    """``(copies, edges)``: exact copies, and all verified pairs ``(a, b, similarity)`` of distinct texts, a < b.
 
-    The edges are enough to know every group and every row's first near-duplicate, without listing all
-    pairs of a big group:
+    Copies are reduced to one row each before anything is compared, so the pairs are between different
+    texts only.  Rows that share a band are compared on their signatures, in blocks of fixed size, whatever
+    the size of the bucket; pairs whose signatures are near enough are then verified on whole n-gram sets.
 
-    * copies are reduced to one row each before anything is compared;
-    * members of a small bucket are compared with each other;
-    * members of a big bucket are compared with its smallest row.  Two members that both match it need
-      no comparison of their own: they are in one group and it is first.  The members that do not match
-      are compared, exactly, with all big-bucket rows they share a rare n-gram with (a set with Jaccard
-      t must share one of its ``|x| - ceil(t|x|) + 1`` rarest n-grams).
+    A pair at similarity t is missed with probability (1 - t ** band_rows) ** (hashes / band_rows), and with
+    less than 1e-7 by the signature test, which lets through what is 5.4 standard deviations below t.
     """
+    signed, docs, copies = _signed(df, text_col, id_col, n, hashes, seed, band_rows)
+    pairs = candidate_pairs(docs, threshold, hashes, block)
+    return copies, cut(_verified(pairs, docs, threshold, n), "near")
+
+
+def _signed(df, text_col, id_col, n, hashes, seed, band_rows) -> tuple[DataFrame, DataFrame, DataFrame]:
     prepared = df.select(F.col(id_col).alias("id"), tx.gram_text(F.col(text_col)).alias("t"))
     signed = cut(
         prepared.withColumns(
-            {"digest": F.sha2("t", 256), "_b": _bands(F.col("t"), n, permutations, seed, band_rows)}
-        ).select("id", "t", "digest", "_b.n_grams", "_b.bands"),
+            {"digest": F.sha2("t", 256), "_b": _sketch(F.col("t"), n, hashes, seed, band_rows)}
+        ).select("id", "t", "digest", "_b.n_grams", "_b.bands", "_b.sig"),
         "signed",
     )
     copies = cut(exact_copies(signed), "copies")
     firsts = copies.filter(F.col("id") == F.col("first_id")).select("id")
-    docs = signed.filter("n_grams > 0").join(firsts, "id", "left_semi").drop("digest")
-
-    members = docs.select("id", "n_grams", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("id").alias("pivot"))
-    placed = cut(members.join(buckets.filter("m > 1"), ["band", "key"]), "buckets")
-
-    small, big = placed.filter(F.col("m") <= small_bucket), placed.filter(F.col("m") > small_bucket)
-    left = small.select("band", "key", F.col("id").alias("a"), F.col("n_grams").alias("na"))
-    right = small.select("band", "key", F.col("id").alias("b"), F.col("n_grams").alias("nb"))
-    pairs = (
-        left.join(right, ["band", "key"])
-        .filter((F.col("a") < F.col("b")) & _size_fits("na", "nb", threshold))
-        .select("a", "b")
+    return signed, signed.filter("n_grams > 0").join(firsts, "id", "left_semi").drop("digest"), copies
+
+
+def candidate_pairs(docs: DataFrame, threshold: float = THRESHOLD, hashes: int = CANDIDATE_HASHES, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs ``(a, b)``, a < b, that share a band and whose signatures and sizes fit the threshold."""
+    members = docs.select("id", F.posexplode("bands").alias("band", "key"))
+    buckets = members.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1")
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    placed = members.join(buckets, ["band", "key"]).select(
+        "band", "key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     )
-    to_pivot = big.select(F.col("pivot").alias("a"), F.col("id").alias("b")).filter("a < b")
-    edges = cut(_verified(pairs.unionAll(to_pivot).distinct(), docs, threshold, n), "near")
-    if big.isEmpty():
-        return copies, edges
-
-    matched = edges.select(F.col("a").alias("pivot"), F.col("b").alias("id"))
-    open_ids = (
-        big.filter("id <> pivot").select("pivot", "id").distinct().join(matched, ["pivot", "id"], "left_anti")
-    ).select("id").distinct()
-    crowd = docs.join(big.select("id").distinct(), "id", "left_semi")
-    rest = _rare_gram_pairs(crowd, cut(open_ids, "open"), threshold, n)
-    rest = rest.join(edges.select("a", "b"), ["a", "b"], "left_anti")
-    # Like all candidates these have to share a band; checked on the keys before texts are fetched.
-    keys_a = crowd.select(F.col("id").alias("a"), F.col("bands").alias("ka"))
-    keys_b = crowd.select(F.col("id").alias("b"), F.col("bands").alias("kb"))
-    alike = rest.join(keys_a, "a").join(keys_b, "b").filter(F.arrays_overlap("ka", "kb")).select("a", "b")
-    more = _verified(alike, docs, threshold, n)
-    return copies, edges.unionAll(cut(more, "near"))
+    cells = placed.select(
+        "band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "id",
+    ).join(docs.select("id", "n_grams", "sig"), "id")
+    order = ["band", "key", "x", "y"]
+    sorted_cells = cells.select(*order, "side", "id", "n_grams", "sig").repartition(*order).sortWithinPartitions(*order, "side", "id")
+    least = hashes * max(0.0, threshold - 5.4 * (threshold * (1 - threshold) / hashes) ** 0.5)
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def compared() -> pa.RecordBatch:
+            side, ids, sizes, sigs = zip(*held)
+            side, ids, sizes = np.array(side), np.array(ids, np.int64), np.array(sizes, np.float64)
+            sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), hashes)
+            found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            two = side.any()
+            for i in range(len(ids)):
+                others = np.nonzero(side != side[i])[0] if two else np.arange(i + 1, len(ids))
+                if two and side[i]:
+                    break
+                fits = np.minimum(sizes[others], sizes[i]) >= threshold * np.maximum(sizes[others], sizes[i]) - SLACK
+                others = others[fits]
+                others = others[(sig[others] == sig[i]).sum(axis=1) >= least]
+                found_a.append(np.minimum(ids[others], ids[i]))
+                found_b.append(np.maximum(ids[others], ids[i]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:4] != now:
+                    if len(held) > 1:
+                        yield compared()
+                    now, held = row[:4], []
+                held.append(row[4:])
+        if len(held) > 1:
+            yield compared()
+
+    return cut(sorted_cells.mapInArrow(alike, "a bigint, b bigint").distinct(), "pairs")
 
 
 def _size_fits(na: str, nb: str, threshold: float) -> Column:
@@ -204,26 +238,6 @@ def _common(n: int):
     return common
 
 
-def _rare_gram_pairs(crowd: DataFrame, open_ids: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Candidate pairs between open rows and all crowd rows, by shared rare n-grams."""
-    grams = crowd.select("id", "n_grams", F.explode(tx.char_ngrams(F.col("t"), n)).alias("g"))
-    counts = grams.groupBy("g").agg(F.count("*").alias("df"))
-    rarest = Window.partitionBy("id").orderBy("df", "g")  # one text per partition
-    needed = F.col("n_grams") - F.ceil(F.col("n_grams") * threshold - SLACK) + 1
-    prefix = cut(
-        grams.join(counts, "g").withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= needed).select("id", "n_grams", "g"),
-        "rare",
-    )
-    mine = prefix.join(open_ids, "id", "left_semi").select(F.col("id").alias("x"), F.col("n_grams").alias("nx"), "g")
-    other = prefix.select(F.col("id").alias("y"), F.col("n_grams").alias("ny"), "g")
-    return (
-        mine.join(other, "g")
-        .filter((F.col("x") != F.col("y")) & _size_fits("nx", "ny", threshold))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-
-
 def first_near_duplicate(copies: DataFrame, edges: DataFrame) -> DataFrame:
     """``(row_id, first_id, similarity)``: for each row that has one, its smallest earlier near-duplicate."""
     both = edges.select(F.col("b").alias("first_id"), F.col("a").alias("other"), "similarity").unionAll(

@@ -163,8 +163,13 @@ def drill_examples(records: DataFrame, drill: filters.Drill, n: int = 7) -> Data
     )
 
 
+def _each_tag() -> Column:
+    """One row per tag.  Every record has one, so outer changes nothing, but no test of it is pushed to the scan."""
+    return F.explode_outer("risk_tags")
+
+
 def risk_counts(records: DataFrame) -> DataFrame:
-    return records.select(F.explode("risk_tags").alias("risk_domain")).groupBy("risk_domain").agg(
+    return records.select(_each_tag().alias("risk_domain")).groupBy("risk_domain").agg(
         F.count("*").alias("count")
     )
 
@@ -175,7 +180,7 @@ def escalation_queue(records: DataFrame, n: int = 30) -> DataFrame:
     Groups are ranked on numbers alone; the sample text is fetched for the few that are shown.
     """
     tagged = records.select(
-        "record_id", F.explode("risk_tags").alias("risk_tag"), "parent_issue", "child_issue", "severity", "sentiment"
+        "record_id", _each_tag().alias("risk_tag"), "parent_issue", "child_issue", "severity", "sentiment"
     )
     score = scoring.queue_score(F.col("risk_tag"), F.col("severity"), F.col("sentiment"))
     top = (
@@ -218,20 +223,30 @@ def priority_matrix(records: DataFrame, n: int = 120) -> DataFrame:
 # --------------------------------------------------------------------------- issues by (level, value)
 
 
-def pins_frame(spark: SparkSession, pins: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pinned (level, value) pairs as a table; repeats are ignored and their number is bounded."""
+def wanted_pins(pins: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Pinned (level, value) pairs without repeats; their number is bounded."""
     unique = list(dict.fromkeys(pins))
     if len(unique) > MAX_PINS:
         raise ValueError(f"at most {MAX_PINS} issues can be pinned, got {len(unique)}")
     unknown = [level for level, _ in unique if level not in filters.LEVELS]
     if unknown:
         raise ValueError(f"unknown levels: {unknown}")
-    rows = [(i, level, value) for i, (level, value) in enumerate(unique)]
+    return unique
+
+
+def pins_frame(spark: SparkSession, pins: Sequence[tuple[str, str]]) -> DataFrame:
+    """The pins as a table."""
+    rows = [(i, level, value) for i, (level, value) in enumerate(wanted_pins(pins))]
     return spark.createDataFrame(rows, "pin int, level string, value string")
 
 
-def by_level(records: DataFrame, levels: Iterable[str] = filters.LEVELS) -> DataFrame:
-    """Records turned to one row per (level, value) they belong to; NULL belongs nowhere."""
+def by_level(
+    records: DataFrame, levels: Iterable[str] = filters.LEVELS, *, only: Sequence[tuple[str, str]] | None = None
+) -> DataFrame:
+    """Records turned to one row per (level, value) they belong to; NULL belongs nowhere.
+
+    With ``only`` (a few literals) a record is copied for these pairs alone.
+    """
     wanted = [level for level in filters.LEVELS if level in set(levels)]
     single = [
         F.struct(F.lit(level).alias("level"), F.col(level).cast("string").alias("value"))
@@ -242,6 +257,10 @@ def by_level(records: DataFrame, levels: Iterable[str] = filters.LEVELS) -> Data
     if "risk_primary" in wanted:
         tags = F.transform("risk_tags", lambda t: F.struct(F.lit("risk_primary").alias("level"), t.alias("value")))
         pairs = tags if pairs is None else F.concat(pairs, tags)
+    if only is not None:
+        pairs = F.filter(
+            pairs, lambda p: F.exists(F.array(*[_pair(x, y) for x, y in only]), lambda w: (w.level == p.level) & (w.value == p.value))
+        ) if only else F.filter(pairs, lambda p: F.lit(False))
     return (
         records.withColumn("_issue", F.explode(pairs))
         .withColumns({"level": F.col("_issue.level"), "value": F.col("_issue.value")})
@@ -250,6 +269,10 @@ def by_level(records: DataFrame, levels: Iterable[str] = filters.LEVELS) -> Data
     )
 
 
+def _pair(level: str, value: str) -> Column:
+    return F.struct(F.lit(level).alias("level"), F.lit(value).alias("value"))
+
+
 CATEGORIES = ("classification", *filters.TAXONOMY, "risk_tags", "severity", "sentiment")
 
 
@@ -360,11 +383,10 @@ EXPORT = (
 
 def pin_export(records: DataFrame, pins: Sequence[tuple[str, str]]) -> DataFrame:
     """Every comment of every pinned issue; a comment under two pins appears twice."""
-    wanted = pins_frame(records.sparkSession, pins)
     slim = records.select(*EXPORT, "risk_tags")
+    chosen = wanted_pins(pins)
     return (
-        by_level(slim, {level for level, _ in pins})
-        .join(F.broadcast(wanted), ["level", "value"])
+        by_level(slim, {level for level, _ in chosen}, only=chosen)
         .select(F.col("level").alias("pinned_level"), F.col("value").alias("pinned_value"), *EXPORT)
     )
 

@@ -121,20 +121,10 @@ def quick_filter(name: str) -> dict[str, list[str]]:
     return {f: list(v) for f, v in lx.QUICK_FILTERS[name].items()}
 
 
-def merge_filter(drill: Drill, name: str, values: str | Sequence[str], *, append: bool = True) -> dict[str, list[str]]:
-    """Set or extend one field; blank values are dropped, order is kept, repeats are removed."""
-    given = [values] if isinstance(values, str) else list(values)
-    fresh = [str(v) for v in given if str(v).strip()]
-    out = {f: list(v) for f, v in drill.items()}
-    if fresh:
-        out[name] = list(dict.fromkeys([*(out.get(name, []) if append else []), *fresh]))
-    return out
-
-
 def scope_filter(drill: Drill, level: str, value: str) -> dict[str, list[str]]:
-    """Choose one issue: other taxonomy levels are dropped, other fields stay."""
-    kept = {f: list(v) for f, v in drill.items() if f not in TAXONOMY}
-    return merge_filter(kept, level, value, append=False)
+    """Choose one issue: other taxonomy levels are dropped, other fields stay; a blank value chooses none."""
+    others = {field: list(v) for field, v in drill.items() if field not in TAXONOMY}
+    return others | ({level: [value]} if value.strip() else {})
 
 
 def name_search(records: DataFrame, text: str, *, stop_after: int = 50, show: int = 30) -> DataFrame:

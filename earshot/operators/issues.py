@@ -40,6 +40,8 @@ def issue_cube(
     id_col: str = "row_id",
     lexicon: Mapping[str, Iterable[str]] = lx.RISK_SIGNALS,
     n_buckets: int = 8,
+    min_timed_rows: int = 100,
+    min_timed_share: float = 0.6,
 ) -> DataFrame:
     """Sums per (cluster, parent, time bucket) over non-noise rows.
 
@@ -48,6 +50,9 @@ def issue_cube(
     size to a few rows; the small result is written, since every metric below reads it.
     """
     live = rows.filter(F.col(cluster_col) != NOISE)
+    if id_col not in live.columns:
+        # Without an id, rows keep the order they are read in.
+        live = live.withColumn(id_col, F.monotonically_increasing_id())
     time_col = rank.choose_time_column(live.columns)
     scored = cut(
         score_rows(live, text_col=text_col, lexicon=lexicon).select(
@@ -62,8 +67,9 @@ def issue_cube(
         ),
         "scored",
     )
+    bucket = rank.time_bucket(scored, n_buckets=n_buckets, min_rows=min_timed_rows, min_share=min_timed_share)
     sums = (
-        scored.withColumn("time_bucket", rank.time_bucket(scored, n_buckets=n_buckets))
+        scored.withColumn("time_bucket", bucket)
         .groupBy("cluster_id", "parent_id", "time_bucket")
         .agg(
             F.count("*").alias("n"),

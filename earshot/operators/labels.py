@@ -28,25 +28,21 @@ def cluster_terms(
     stop_words: Iterable[str] = lx.STOP_WORDS,
     extra_stop_words: Iterable[str] = lx.EXTRA_STOP_WORDS,
     min_clusters: int = 2,
-    max_terms: int = 10_000,
 ) -> DataFrame:
     """``(cluster_id, rank, term, weight)``: the terms most characteristic of each cluster.
 
     Terms are words of three or more ASCII letters and pairs of neighbouring ones, after stop words are
-    taken out.  A term has to occur in ``min_clusters`` clusters; of those the ``max_terms`` most
-    frequent are kept.  Weight is count times smoothed log inverse cluster frequency, scaled to unit
+    taken out.  A term has to occur in ``min_clusters`` clusters.  Weight is count times smoothed log inverse cluster frequency, scaled to unit
     length per cluster.  Terms containing an extra stop word are dropped at the end.  Word pairs do not
     cross from one comment into the next.
     """
     live = df.filter(F.col(cluster_col) != NOISE).select(F.col(cluster_col).alias("cluster_id"), F.col(text_col).alias("t"))
     tf = cut(term_counts(live, stop_words), "terms")
-    spread = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    kept = spread.filter(F.col("df") >= min_clusters).orderBy(F.desc("total"), "term").limit(max_terms)
+    kept = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_clusters)
     n = live.agg(F.count_distinct("cluster_id")).scalar()
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    # At most max_terms rows.
     weighted = (
-        tf.join(F.broadcast(kept.select("term", "df")), "term")
+        tf.join(kept, "term")
         .withColumn("n", n)
         .select("cluster_id", "term", (F.col("tf") * idf).alias("w"))
     )
@@ -228,13 +224,8 @@ def term_labels(contexts: DataFrame, *, n_terms: int = 4) -> DataFrame:
 REPLY_KEYS = ("label", "description", "example_quote", "suspected_root_cause")
 
 
-def label_prompts(contexts: DataFrame, *, quote_limit: int = 300, product: str = "a consumer app") -> DataFrame:
-    """``(cluster_id, prompt)`` to be answered by a labelling service outside Spark."""
-    mix = lambda name: F.array_join(
-        F.transform(F.col(name), lambda m: F.concat_ws("=", m.value, m.n.cast("string"))), ", "
-    )
-    quotes = F.array_join(F.transform("representatives", lambda q: F.concat(F.lit("- "), F.substring(q, 1, quote_limit))), "\n")
-    terms = F.when(F.size("top_terms") > 0, F.array_join("top_terms", ", ")).otherwise("(none)")
+def prompt_frame(product: str) -> tuple[str, str]:
+    """What a prompt begins and ends with."""
     intro = (
         f"Below is one group of alike user comments about {product}. "
         "Name what is affected and what goes wrong with it, for the team that will fix it.\n"
@@ -244,6 +235,17 @@ def label_prompts(contexts: DataFrame, *, quote_limit: int = 300, product: str =
         "description (one sentence), example_quote (one comment from above, unchanged, 200 characters at most), "
         "suspected_root_cause (one short phrase)."
     )
+    return intro, ask
+
+
+def label_prompts(contexts: DataFrame, *, quote_limit: int = 300, product: str = "a consumer app") -> DataFrame:
+    """``(cluster_id, prompt)`` to be answered by a labelling service outside Spark."""
+    intro, ask = prompt_frame(product)
+    mix = lambda name: F.array_join(
+        F.transform(F.col(name), lambda m: F.concat_ws("=", m.value, m.n.cast("string"))), ", "
+    )
+    quotes = F.array_join(F.transform("representatives", lambda q: F.concat(F.lit("- "), F.substring(q, 1, quote_limit))), "\n")
+    terms = F.when(F.size("top_terms") > 0, F.array_join("top_terms", ", ")).otherwise("(none)")
     return contexts.select(
         "cluster_id",
         F.concat(

@@ -12,12 +12,10 @@ from earshot.functions import text as tx
 
 def normalize_feedback(df: DataFrame, *, text_col: str = "comment", normalise: bool = True, **markers) -> DataFrame:
     """Add ``text_clean`` and ``language`` (judged on the raw text); drop rows blank after cleaning."""
-    return df.withColumns(
-        {
-            "text_clean": tx.clean_text(F.col(text_col), normalise=normalise),
-            "language": tx.detect_language(F.col(text_col), **markers),
-        }
-    ).filter(F.length("text_clean") > 0)
+    cleaned = tx.once(df.drop("text_clean"), "text_clean", tx.clean_text(F.col(text_col), normalise=normalise))
+    return cleaned.filter(F.length("text_clean") > 0).withColumn(
+        "language", tx.detect_language(F.col(text_col), **markers)
+    )
 
 
 def text_lengths(df: DataFrame, *, text_col: str = "comment", id_col: str = "row_id") -> DataFrame:

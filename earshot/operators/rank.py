@@ -63,25 +63,32 @@ def time_parse_coverage(df: DataFrame, column: str, *, min_rows: int = 100, min_
     )
 
 
-def order_key(df: DataFrame, *, id_col: str = "row_id") -> tuple[Column, int]:
-    """The column rows are bucketed by (event time when usable, else the row id) and its non-null count."""
+def order_key(
+    df: DataFrame, *, id_col: str = "row_id", min_rows: int = 100, min_share: float = 0.6
+) -> tuple[Column, int]:
+    """The column rows are bucketed by (event time when usable, else the row id) and its non-null count.
+
+    Time is usable when at least ``min_rows`` rows and ``min_share`` of all have one.
+    """
     name = choose_time_column(df.columns)
     if name is not None:
-        found = time_parse_coverage(df, name).first()
+        found = time_parse_coverage(df, name, min_rows=min_rows, min_share=min_share).first()
         if found["usable"]:
             return as_utc_time(df, name), found["parsed"]
         return F.col(id_col), found["rows"]
     return F.col(id_col), df.count()
 
 
-def time_bucket(df: DataFrame, *, n_buckets: int = 8, id_col: str = "row_id") -> Column:
+def time_bucket(
+    df: DataFrame, *, n_buckets: int = 8, id_col: str = "row_id", min_rows: int = 100, min_share: float = 0.6
+) -> Column:
     """Equal-frequency bucket 0..n-1 of every row, as an expression over ``df``'s columns.
 
     Row r of n (by time, then id) is in bucket ``ceil((r-1)*q/(n-1)) - 1``, at least 0; rows without a
     time have no bucket.  Only the q-1 rows that open a bucket are looked up, through a rank over the
     two key columns; rows themselves are then bucketed where they lie, without a shuffle or a join.
     """
-    key, n = order_key(df, id_col=id_col)
+    key, n = order_key(df, id_col=id_col, min_rows=min_rows, min_share=min_share)
     first_rank = [b * (n - 1) // n_buckets + 2 for b in range(1, n_buckets)]
     wanted = sorted({r for r in first_rank if r <= n})
     bucket = F.lit(0)
@@ -164,19 +171,25 @@ def sample_comments(
 ) -> DataFrame:
     """``k`` distinct sample texts: of middle length in a seeded order if there are enough, else the first ones."""
     t = tx.collapse(F.coalesce(F.col(text_col), F.lit("")))
-    distinct = records.select(t.alias("text"), F.col(id_col).alias("id")).groupBy("text").agg(F.min("id").alias("first_id"))
+    rows = tx.once(records.select(F.col(text_col), F.col(id_col).alias("id")), "text", t).select("id", "text")
     size = F.length("text")
+    rows = rows.filter(size > 0)
     mid = (size >= 20) & (size <= 240)
-    # A seeded pick needs k middle-length texts; whether there are is one scalar over the same table.
-    enough = distinct.agg((F.count_if(mid) >= k).alias("enough")).scalar()
-    shuffled = F.md5(F.concat(F.lit(f"{seed}|"), F.col("text")))
-    return (
-        distinct.withColumn("enough", enough)
-        .filter(F.when(F.col("enough"), mid).otherwise(size > 0))
-        .orderBy(F.when(F.col("enough"), shuffled), "first_id")
-        .limit(k)
-        .select("first_id", "text")
-    )
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.col("text")))
+    # Short texts only are grouped by; of the others the k that come first by id are enough.
+    short = rows.filter(mid).groupBy("text").agg(F.min("id").alias("first_id")).orderBy(order, "first_id").limit(k)
+    first = _first_texts(rows, k)
+    both = short.select("first_id", "text", F.lit(1).alias("way")).unionAll(first.select("first_id", "text", F.lit(2).alias("way")))
+    # At most 2 k rows.
+    few = both.withColumn("n", F.count_if(F.col("way") == 1).over(Window.partitionBy(F.lit(0))))
+    return few.filter(F.col("way") == F.when(F.col("n") >= k, 1).otherwise(2)).select("first_id", "text")
+
+
+def _first_texts(rows: DataFrame, k: int) -> DataFrame:
+    """The k different texts that come first by id; digests stand for the texts until they are chosen."""
+    firsts = rows.groupBy(F.md5("text").alias("digest")).agg(F.min("id").alias("first_id"))
+    chosen = firsts.orderBy("first_id").limit(k).select("first_id")
+    return rows.join(F.broadcast(chosen), F.col("id") == F.col("first_id")).select("first_id", "text")
 
 
 def sample_ids(df: DataFrame, *, n: int, seed: int = 42, id_col: str = "row_id") -> DataFrame:

@@ -249,33 +249,19 @@ def soft_assign(
     Ties go to the smallest cluster id.
     """
     cents = centroids if centroids is not None else cluster_centroids(df, cluster_col=cluster_col, vec_col=vec_col)
-    rows = df.select(id_col, F.col(cluster_col).alias("cluster_id"), vec_col)
-    parts = [
-        rows.select(id_col, "cluster_id", _nearest_udf(df, ids, matrix)(F.col(vec_col), F.col("cluster_id")).alias("_n"))
-        for ids, matrix in dense_blocks(cents, "cluster_id", "centroid", block_bytes=block_bytes)
-    ]
-    if not parts:
-        return rows.select(
-            id_col, "cluster_id", F.col("cluster_id").alias("soft_cluster_id"), F.lit(0.0).alias("soft_sim"),
-            F.lit(None).cast("double").alias("own_sim"),
-        )
-    near = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            near = near.unionAll(part)
-        near = near.groupBy(id_col, "cluster_id").agg(
-            F.struct(
-                F.max_by("_n.best", F.struct("_n.sim", -F.col("_n.best"))).alias("best"),
-                F.max("_n.sim").alias("sim"),
-                F.max("_n.own").alias("own"),
-            ).alias("_n")
-        )
+    near = df.select(id_col, F.col(cluster_col).alias("cluster_id"), vec_col).withColumn(
+        "_n", F.lit(None).cast("struct<best:int,sim:double,own:double>")
+    )
+    # Each block of centroids improves on what the blocks before it have found, row by row.
+    for ids, matrix in dense_blocks(cents, "cluster_id", "centroid", block_bytes=block_bytes):
+        better = _nearest_udf(df, ids, matrix)
+        near = near.withColumn("_n", better(F.col(vec_col), F.col("cluster_id"), F.col("_n")))
     promote = (F.col("cluster_id") == NOISE) & (F.col("_n.sim") >= min_sim)
     return near.select(
         id_col,
         "cluster_id",
         F.when(promote, F.col("_n.best")).otherwise(F.col("cluster_id")).cast("int").alias("soft_cluster_id"),
-        F.col("_n.sim").alias("soft_sim"),
+        F.coalesce("_n.sim", F.lit(0.0)).alias("soft_sim"),
         F.col("_n.own").alias("own_sim"),
     )
 
@@ -284,7 +270,7 @@ def _nearest_udf(df: DataFrame, ids: np.ndarray, matrix: np.ndarray):
     shared = df.sparkSession.sparkContext.broadcast((ids, matrix))
 
     @F.pandas_udf("best int, sim double, own double")
-    def nearest(vec: pd.Series, own_id: pd.Series) -> pd.DataFrame:
+    def nearest(vec: pd.Series, own_id: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
         names, centroids = shared.value
         sims = np.round(_stack(vec) @ centroids.T, DIGITS)
         at = sims.argmax(axis=1)
@@ -292,8 +278,15 @@ def _nearest_udf(df: DataFrame, ids: np.ndarray, matrix: np.ndarray):
         mine = np.searchsorted(names, own_id.to_numpy())
         known = (mine < len(names)) & (names[np.minimum(mine, len(names) - 1)] == own_id.to_numpy())
         own = np.where(known, sims[line, np.minimum(mine, len(names) - 1)], np.nan)
-        out = pd.DataFrame({"best": names[at].astype(np.int32), "sim": sims[line, at], "own": own})
-        out["own"] = out["own"].astype(object).where(known, None)
+        had_sim = before["sim"].to_numpy(dtype=float, na_value=np.nan)
+        had_best = before["best"].to_numpy(dtype=float, na_value=np.nan)
+        had_own = before["own"].to_numpy(dtype=float, na_value=np.nan)
+        sim, best = sims[line, at], names[at].astype(float)
+        # Ties go to the smaller cluster id.
+        keep = (had_sim > sim) | ((had_sim == sim) & (had_best < best))
+        out = pd.DataFrame({"best": np.where(keep, had_best, best).astype(np.int32), "sim": np.where(keep, had_sim, sim)})
+        own = np.where(known, own, had_own)
+        out["own"] = pd.Series(own).astype(object).where(~np.isnan(own), None)
         return out
 
     return nearest

@@ -39,7 +39,7 @@ TERMS_SQL = f"""{fx.FEEDBACK_SQL}, {fx.CLUSTERS_SQL}, live AS (
         SELECT cluster_id, unnest(k) AS term FROM words
         UNION ALL SELECT cluster_id, unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) FROM words)
       GROUP BY ALL), kept AS (
-      SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 10000), w AS (
+      SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), w AS (
       SELECT cluster_id, tf.term, tf * (ln((1 + (SELECT count(DISTINCT cluster_id) FROM live)) / (1.0::DOUBLE + df)) + 1) AS w
       FROM tf JOIN kept ON kept.term = tf.term), weighted AS (
       SELECT cluster_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY cluster_id)), 12) AS weight FROM w), terms AS (
@@ -170,7 +170,21 @@ CATALOG.add(
       JOIN texts a ON a.cluster_id = l.cluster_id AND a.field = 'sentiment'
       JOIN texts b ON b.cluster_id = l.cluster_id AND b.field = 'severity'""",
 )
-CATALOG.add("label_prompts", lambda spark, sf_dir: labels.label_prompts(contexts(spark, sf_dir)))
+_INTRO, _ASK = (part.replace("'", "''") for part in labels.prompt_frame("a consumer app"))
+CATALOG.add(
+    "label_prompts",
+    lambda spark, sf_dir: labels.label_prompts(contexts(spark, sf_dir)),
+    f"""{LABELS_SQL}, quotes AS (
+        SELECT p.cluster_id, string_agg('- ' || substr(f.comment, 1, 300), chr(10) ORDER BY p.position) AS quotes
+        FROM representatives p JOIN feedback f ON f.row_id = p.row_id GROUP BY 1), texts AS (
+      SELECT cluster_id, field, string_agg(value || '=' || n, ', ' ORDER BY n DESC, value) AS mix FROM mixes GROUP BY 1, 2)
+    SELECT CAST(l.cluster_id AS INTEGER) AS cluster_id, '{_INTRO}' || 'Comments in the group: ' || l.size
+      || chr(10) || 'Frequent terms: ' || coalesce(nullif(l.top_terms, ''), '(none)') || chr(10) || 'Sentiment: ' || a.mix
+      || chr(10) || 'Severity: ' || b.mix || chr(10) || 'Typical comments:' || chr(10) || q.quotes || '{_ASK}' AS prompt
+    FROM term_labels l JOIN quotes q ON q.cluster_id = l.cluster_id
+      JOIN texts a ON a.cluster_id = l.cluster_id AND a.field = 'sentiment'
+      JOIN texts b ON b.cluster_id = l.cluster_id AND b.field = 'severity'""",
+)
 
 
 def parse_label_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,8 +195,9 @@ CATALOG.add(
 
 
 def _issue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = profile.normalize_feedback(fx.feedback(spark, sf_dir), **MARKERS)
-    return rows.join(fx.clusters(spark, sf_dir), "row_id")
+    # Ids first: texts of noise rows are never cleaned.
+    live = fx.clusters(spark, sf_dir).filter(F.col("cluster_id") != issues.NOISE)
+    return profile.normalize_feedback(fx.feedback(spark, sf_dir).join(live, "row_id"), **MARKERS)
 
 
 def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:

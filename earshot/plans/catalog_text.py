@@ -152,9 +152,10 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATALOG.add(
     "corpus_fingerprint",
     corpus_fingerprint,
-    """SELECT count(*) AS n_rows,
-      CAST(sum(CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || chr(0) || coalesce(text, '')), 1, 8)) AS BIGINT))
-        AS BIGINT) AS digest FROM documents""",
+    """SELECT count(*) AS n_rows, concat_ws('-',
+        CAST(coalesce(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)), 0) AS VARCHAR),
+        CAST(coalesce(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)), 0) AS VARCHAR)) AS digest
+      FROM (SELECT md5(CAST(doc_id AS VARCHAR) || chr(0) || coalesce(text, '')) AS h FROM documents)""",
 )
 
 

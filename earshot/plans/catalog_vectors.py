@@ -238,6 +238,8 @@ CATALOG.add(
 # --------------------------------------------------------------------------- clusters
 
 EPS, MIN_SAMPLES, MIN_SIZE = 1.15, 3, 5
+# A distance between vectors of ten projected coordinates.
+TABLE_EPS = 0.25
 CATALOG.add(
     "density_clusters",
     lambda spark, sf_dir: clusters.density_clusters(
@@ -255,11 +257,33 @@ CATALOG.add(
     SELECT v.row_id, CAST(coalesce(big.cluster_id, -1) AS INTEGER) AS cluster_id FROM vectors v
       LEFT JOIN named n ON n.node = v.row_id LEFT JOIN big ON big.component = n.component""",
 )
+N_PARENTS = 4
+
+
+def _merges_sql(steps: int = 6) -> str:
+    """One merge of the two most similar groups per step, while more than the parents wanted are left."""
+    parts = ["g0 AS (SELECT cluster_id AS m, cluster_id AS g FROM centroids)"]
+    for k in range(steps):
+        parts.append(
+            f"""p{k} AS (SELECT x.g AS a, y.g AS b, avg(s) AS s FROM sims JOIN g{k} x ON x.m = a JOIN g{k} y ON y.m = b
+              WHERE x.g < y.g AND (SELECT count(DISTINCT g) FROM g{k}) > {N_PARENTS}
+              GROUP BY x.g, y.g ORDER BY s DESC, 1, 2 LIMIT 1),
+            g{k + 1} AS (SELECT m, CASE WHEN g = (SELECT b FROM p{k}) THEN (SELECT a FROM p{k}) ELSE g END AS g FROM g{k})"""
+        )
+    return ", ".join(parts)
+
+
 CATALOG.add(
     "parent_themes",
     lambda spark, sf_dir: clusters.parent_themes(
-        vectors.cluster_centroids(fx.vectors(spark, sf_dir)), n_parents=4
+        vectors.cluster_centroids(fx.vectors(spark, sf_dir)), n_parents=N_PARENTS
     ),
+    f"""WITH {V}, {centroids_sql('cluster_id')}, sims AS (
+      SELECT x.cluster_id AS a, y.cluster_id AS b, list_dot_product(x.c, y.c) AS s FROM centroids x, centroids y),
+      {_merges_sql()}
+    SELECT CAST(m AS INTEGER) AS cluster_id,
+      CAST(dense_rank() OVER (ORDER BY first) - 1 AS INTEGER) AS parent_id
+    FROM (SELECT m, min(m) OVER (PARTITION BY g) AS first FROM g6)""",
 )
 
 
@@ -277,7 +301,7 @@ CATALOG.add(
 
 def cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = fx.vectors(spark, sf_dir)
-    return r(clusters.cluster_table(_comments(spark, sf_dir), v, min_cluster_size=5, n_parents=4))
+    return r(clusters.cluster_table(_comments(spark, sf_dir), v, eps=TABLE_EPS, min_cluster_size=5, n_parents=N_PARENTS))
 
 
 CATALOG.add("cluster_table", cluster_table)

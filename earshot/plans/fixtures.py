@@ -28,15 +28,13 @@ _SPREAD = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A generated table.  Text that arrives in fewer splits than there are cores is spread by key.
+    """A generated table.  Rows of the two text tables are dealt by key.
 
-    The generated files hold one row group each, hence one split; a table of many files is left as it lies.
+    Their files hold one row group, hence one split, each, and what the catalogue does with texts costs far
+    more than moving them once.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _SPREAD and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, _SPREAD[name])
-    return df
+    return df.repartition(_SPREAD[name]) if name in _SPREAD else df
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

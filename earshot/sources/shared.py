@@ -50,15 +50,16 @@ def cut_measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame
 def fingerprint(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row ``(n_rows, digest)``; order-free, so it is a plain partial + final aggregate.
 
-    The digest adds 32 bits of each row's MD5 over id and text, in a decimal wide enough for any table.
+    The digest adds two 60-bit parts of each row's MD5 over id and text, as decimals of 38 digits: room for
+    more than 10**19 rows.
     """
     return df.agg(F.count("*").alias("n_rows"), row_digest(F.col(id_col), F.col(text_col)).alias("digest"))
 
 
 def row_digest(row_id: Column, text: Column) -> Column:
-    keyed = F.concat(row_id.cast("string"), F.lit("\x00"), F.coalesce(text, F.lit("")))
-    part = F.conv(F.substring(F.md5(keyed), 1, 8), 16, 10).cast("bigint")
-    return F.coalesce(F.sum(part), F.lit(0)).cast("bigint")
+    keyed = F.md5(F.concat(row_id.cast("string"), F.lit("\x00"), F.coalesce(text, F.lit(""))))
+    parts = [F.conv(F.substring(keyed, at, 15), 16, 10).cast("decimal(28,0)") for at in (1, 16)]
+    return F.concat_ws("-", *[F.coalesce(F.sum(p), F.lit(0)).cast("decimal(38,0)").cast("string") for p in parts])
 
 
 def materialize(df: DataFrame, path: str, signature: str, *, n_rows: int | None = None) -> tuple[DataFrame, bool]:
@@ -73,9 +74,10 @@ def materialize(df: DataFrame, path: str, signature: str, *, n_rows: int | None
     if found is not None and found["signature"] == signature and n_rows in (None, found["n_rows"]):
         return spark.read.schema(df.schema).parquet(found["data"]), True
     data = f"{path}/data-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(data)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(data)
     out = spark.read.schema(df.schema).parquet(data)
-    row = [(signature, out.count(), data)]
+    row = [(signature, seen.get["n"], data)]
     spark.createDataFrame(row, "signature string, n_rows bigint, data string").coalesce(1).write.mode(
         "overwrite"
     ).parquet(side)

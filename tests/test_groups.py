@@ -63,11 +63,11 @@ def make_texts():
     return [" ".join(t.split()) for t in texts]
 
 
-@pytest.mark.parametrize("small_bucket", [1000, 3])
-def test_near_duplicates_match_brute_force(spark, small_bucket):
+@pytest.mark.parametrize("block", [128, 3])
+def test_near_duplicates_match_brute_force(spark, block):
     texts = make_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text_clean string")
-    copies, edges = dedup.near_duplicate_edges(df, small_bucket=small_bucket)
+    copies, edges = dedup.near_duplicate_edges(df, block=block)
     near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if jaccard(texts[i], texts[j]) >= 0.85]
     got = {r.row_id: r.duplicate_group_id for r in dedup.duplicate_groups(copies, edges).collect()}
     assert got == components(range(len(texts)), near)
@@ -109,8 +109,23 @@ def density_by_hand(x, eps, min_samples, min_size):
 def test_density_clusters_match_brute_force(spark, eps):
     x = blobs()
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, reduced array<double>")
-    got = {r.row_id: r.cluster_id for r in clusters.density_clusters(df, eps=eps, min_cluster_size=8).collect()}
-    assert got == density_by_hand(x, eps, 3, 8)
+    for block_points in (512, 7):
+        found = clusters.density_clusters(df, eps=eps, min_cluster_size=8, block_points=block_points)
+        assert {r.row_id: r.cluster_id for r in found.collect()} == density_by_hand(x, eps, 3, 8)
+
+
+def test_compared_pairs_grow_with_the_clusters(spark):
+    """Four times as many clusters: about four times as many compared points, and blocks of bounded size."""
+    compared = []
+    for n in (8, 32):
+        rng = np.random.default_rng(n)
+        points = np.vstack([rng.normal(c, 0.02, size=(40, 6)) for c in rng.uniform(-8, 8, size=(n, 6))])
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "id long, v array<double>")
+        placed = clusters._blocked(clusters._points(df, 0.1, 3, 3), 32, 3)
+        assert placed.groupBy("block").count().filter("count > 32").count() == 0
+        pairs = clusters.block_pairs(placed, 0.1, 3)
+        compared.append(sum(r["n_left"] * r["n_right"] for r in pairs.collect()))
+    assert compared[1] <= 6 * compared[0] and compared[1] <= 0.2 * (32 * 40) ** 2
 
 
 def unit(seed, n, dims):
