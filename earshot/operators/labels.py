@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from earshot.functions import lexicons as lx
 from earshot.functions import text as tx
-from earshot.functions import vectors as vx
 from earshot.operators import vectors as vec
 from earshot.sources.shared import cut
 
@@ -96,8 +95,9 @@ def representatives(
 
     The first is closest to the centroid; each next one maximises ``balance * closeness - (1 - balance) *
     similarity to the nearest one already picked``.  Clusters of at most ``k`` rows return all, in row
-    order.  One scan and one arg-max aggregate per position serve all clusters together; between rounds
-    only the picks change, so rows are written once and never shuffled again.
+    order.  One scan and one arg-max aggregate per position serve all clusters together.  Each row keeps its
+    similarity to the nearest pick, so a round takes one product per row, with picks that reach the tasks in
+    blocks of measured size: rows are never joined on their cluster, however large that is.
     """
     units = vec.l2_normalize(
         df.filter(F.col(cluster_col) != NOISE).select(
@@ -106,32 +106,24 @@ def representatives(
         vec_col="v",
     )
     centers = cut(vec.cluster_centroids(units, vec_col="v"), "centers")
-    rows = cut(
-        units.join(centers, "cluster_id").withColumn("closeness", vx.dot("v", "centroid")).drop("centroid"), "rows"
-    )
-    large = rows.filter(F.col("size") > k)
-    picks = None
-    for _ in range(k):
-        if picks is None:
-            scored = large.withColumn("score", F.col("closeness"))
-        else:
-            nearest = F.array_max(F.transform("picked", lambda p: vx.dot(F.col("v"), p.v)))
-            scored = (
-                large.join(picks, "cluster_id")
-                .filter(~F.exists("picked", lambda p: p.row_id == F.col("row_id")))
-                .withColumn("score", F.col("closeness") * balance - nearest * (1 - balance))
-            )
-        best = scored.groupBy("cluster_id").agg(
-            F.max_by(F.struct("row_id", "v"), F.struct(F.round("score", vec.DIGITS), -F.col("row_id"))).alias("pick")
+    near = vec.with_own_product(units, centers, side_vec="centroid", name="closeness")
+    rows = cut(near.join(centers.select("cluster_id", "size"), "cluster_id"), "rows")
+    large = rows.filter(F.col("size") > k).withColumn("nearest", F.lit(None).cast("double"))
+    picks = []
+    for position in range(1, k + 1):
+        score = F.col("closeness") if position == 1 else F.col("closeness") * balance - F.col("nearest") * (1 - balance)
+        # A row that was picked is nearest to itself and marked by infinity.
+        left = large.filter(F.coalesce(F.col("nearest") < float("inf"), F.lit(True)))
+        best = left.groupBy("cluster_id").agg(
+            F.max_by(F.struct("row_id", "v"), F.struct(F.round(score, vec.DIGITS), -F.col("row_id"))).alias("pick")
         )
-        if picks is None:
-            grown = best.select("cluster_id", F.array("pick").alias("picked"))
-        else:
-            grown = picks.join(best, "cluster_id").select("cluster_id", F.array_append("picked", F.col("pick")).alias("picked"))
-        picks = cut(grown, "picks")
-    chosen = picks.select("cluster_id", F.posexplode("picked").alias("at", "p")).select(
-        "cluster_id", (F.col("at") + 1).alias("position"), "p.row_id"
-    )
+        pick = cut(best.select("cluster_id", "pick.row_id", "pick.v", F.lit(position).alias("position")), "picks")
+        picks.append(pick.select("cluster_id", "position", "row_id"))
+        if position < k:
+            large = cut(vec.with_own_product(large, pick, side_vec="v", name="nearest", id_col="row_id"), "rows")
+    chosen = picks[0]
+    for pick in picks[1:]:
+        chosen = chosen.unionAll(pick)
     # Clusters of at most k rows.
     small = rows.filter(F.col("size") <= k).select("cluster_id", "row_id")
     order = Window.partitionBy("cluster_id").orderBy("row_id")

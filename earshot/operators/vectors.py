@@ -88,10 +88,19 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def dense_blocks(
-    df: DataFrame, id_col: str, vec_col: str, *, block_bytes: int = BLOCK_BYTES, n: int | None = None, dim: int | None = None
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    df: DataFrame,
+    id_col: str,
+    vec_col: str,
+    *,
+    block_bytes: int = BLOCK_BYTES,
+    n: int | None = None,
+    dim: int | None = None,
+    carry: str | None = None,
+) -> Iterator[tuple[np.ndarray, ...]]:
     """``(ids, matrix)`` blocks of a side that is small or is taken in passes, ids ascending in a block.
 
+    ``carry`` adds the values of one more column to each block.
+
     The size is measured first unless it is known; a block never exceeds ``block_bytes`` by more than
     chance unevenness.
     """
@@ -103,9 +112,10 @@ def dense_blocks(
     blocks = -(-n * dim * 8 // block_bytes)
     for b in range(blocks):
         part = df if blocks == 1 else df.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
-        rows = part.select(id_col, vec_col).orderBy(id_col).collect()
+        rows = part.select(id_col, vec_col, *([carry] if carry else [])).orderBy(id_col).collect()
         if rows:
-            yield np.array([x[0] for x in rows]), np.array([x[1] for x in rows], dtype=np.float64)
+            block = np.array([x[0] for x in rows]), np.array([x[1] for x in rows], dtype=np.float64)
+            yield (*block, np.array([x[2] for x in rows])) if carry else block
 
 
 def nearest_neighbors(
@@ -266,6 +276,46 @@ def soft_assign(
     )
 
 
+def with_own_product(
+    df: DataFrame,
+    side: DataFrame,
+    *,
+    side_vec: str,
+    name: str,
+    vec_col: str = "v",
+    cluster_col: str = "cluster_id",
+    id_col: str | None = None,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Set ``name`` to the product of a row's vector with that of its cluster in ``side``, or leave it if larger.
+
+    ``side`` has one row per cluster and is taken in blocks, row by row and without a join.  With ``id_col``
+    the row that ``side`` itself is of gets infinity.
+    """
+    out = df if name in df.columns else df.withColumn(name, F.lit(None).cast("double"))
+    for names, matrix, ids in dense_blocks(side, cluster_col, side_vec, block_bytes=block_bytes, carry=id_col or cluster_col):
+        own = F.col(id_col) if id_col else F.lit(None).cast("bigint")
+        larger = _own_product(df, names, matrix, ids)
+        out = out.withColumn(name, larger(F.col(vec_col), F.col(cluster_col), own, F.col(name)))
+    return out
+
+
+def _own_product(df: DataFrame, names: np.ndarray, matrix: np.ndarray, ids: np.ndarray):
+    shared = df.sparkSession.sparkContext.broadcast((names, matrix, ids))
+
+    @F.pandas_udf("double")
+    def product(vec: pd.Series, cluster: pd.Series, row_id: pd.Series, before: pd.Series) -> pd.Series:
+        names, matrix, ids = shared.value
+        own = cluster.to_numpy()
+        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        known = names[at] == own
+        found = np.where(known, (_stack(vec) * matrix[at]).sum(axis=1), np.nan)
+        found[known & (row_id.to_numpy(dtype=float, na_value=np.nan) == ids[at])] = np.inf
+        return pd.Series(np.fmax(found, before.to_numpy(dtype=float, na_value=np.nan))).astype(object).where(lambda x: x.notna(), None)
+
+    return product
+
+
 def _nearest_udf(df: DataFrame, ids: np.ndarray, matrix: np.ndarray):
     shared = df.sparkSession.sparkContext.broadcast((ids, matrix))
 
