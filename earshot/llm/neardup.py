@@ -7,7 +7,7 @@
    branched again on two further hash positions chosen by its path.  A node that branching no longer makes
    smaller holds sets that are much alike: its members are compared with one of them, and only those that
    differ from it go on, in blocks, against the whole node.
-3. What a node compares ends as a spanning forest, not as pairs, so a group of n gives at most n - 1 links.
+3. What a node compares ends as stars around smallest ids, not as pairs: a group of n gives at most n - 1 links.
    Components of these candidate links are computed, and in them every pair of sets that may still add a
    link is confirmed on full sets, again in blocks.  Components of confirmed links are the result.
 
@@ -37,7 +37,7 @@ from earshot.sources.shared import cut, cut_measured
 
 SIGNATURE = 128
 #: Largest node that is compared exhaustively on signatures; blocks of larger ones.
-LEAF = 512
+LEAF = 2048
 #: A node that keeps more than this share of its parent's members is not branched further.
 DENSE = 0.8
 MAX_DEPTH = 6
@@ -173,15 +173,17 @@ def candidate_links(sets: DataFrame, least: int, *, leaf: int = LEAF) -> DataFra
         sizes = cut(members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
         small = members.join(sizes.filter(F.col("n") <= leaf), "path").join(light, "digest")
         cells = small.select("path", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), "id", "sig")
-        found.append(cut(_compare(cells, _by_signature(least)), "candidates"))
+        found.append(_compare(cells, _by_signature(least)))
         met = members.join(sizes.filter(F.col("n") > leaf), "path").join(light, "digest")
-        large, seen = cut_measured(met, "nodes", n=F.count(F.lit(1)))
-        if not seen["n"]:
+        dense = F.coalesce(F.col("n") > DENSE * F.col("parent_n"), F.lit(False)) if depth < MAX_DEPTH else F.lit(True)
+        large, seen = cut_measured(
+            met.withColumn("dense", dense), "nodes", n=F.count(F.lit(1)), n_dense=F.count_if("dense")
+        )
+        if seen["n_dense"]:
+            found += _dense(large.filter("dense"), least, leaf)
+        if seen["n"] == seen["n_dense"]:
             break
-        dense = (F.col("n") > DENSE * F.col("parent_n")) if depth < MAX_DEPTH else F.lit(True)
-        dense = F.coalesce(dense, F.lit(False))
-        found += _dense(large.filter(dense), least, leaf)
-        members = _branch(large.filter(~dense).select("path", "digest", "n", "sig"))
+        members = _branch(large.filter(~F.col("dense")).select("path", "digest", "n", "sig"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -242,7 +244,7 @@ def _dense(nodes: DataFrame, least: int, leaf: int) -> list[DataFrame]:
     right = judged.join(counts, "path").select(
         "path", every(blocks(F.col("n_rest"))).alias("a"), of(blocks(F.col("n"))).alias("b"), F.lit(1).alias("side"), "id", "sig"
     )
-    return [star, cut(_compare(left.unionByName(right), _by_signature(least)), "candidates")]
+    return [star, _compare(left.unionByName(right), _by_signature(least))]
 
 
 def _compare(cells: DataFrame, links) -> DataFrame:
@@ -255,8 +257,7 @@ def _compare(cells: DataFrame, links) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, side, ids, data in _cells(batches):
-            out = [(x, y) for x, y in links(side, ids, data) if x != y]
-            if out:
+            if out := links(side, ids, data):
                 src, dst = zip(*out)
                 yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
@@ -278,35 +279,40 @@ def _cells(batches: Iterator[pa.RecordBatch]):
         yield now, *zip(*held)
 
 
-def spanning_forest(n: int, side: np.ndarray, near) -> Iterator[tuple[int, int]]:
-    """Links that span the components of n members; ``near(i, others)`` tells which others are linked to i.
+def stars(ids: tuple[int, ...], side: np.ndarray, near) -> list[tuple[int, int]]:
+    """Links from each member of a component to its smallest id; ``near(i, others)`` tells which are linked to i.
 
     Breadth-first, asking only for members that no link has reached yet, so a cell whose members are all
-    alike costs one question.
+    alike costs one question.  As all trees name a component's smallest id where they can, most of their
+    links are the same and are counted once.
     """
-    open_ = np.ones(n, bool)
+    open_ = np.ones(len(ids), bool)
     two = bool(side.any()) and not side.all()
-    for root in range(n):
+    out = []
+    for root in range(len(ids)):
         if not open_[root]:
             continue
         open_[root] = False
-        queue = [root]
+        queue, reached = [root], [root]
         while queue:
             i = queue.pop()
             others = np.nonzero(open_ & (side != side[i]) if two else open_)[0]
             if not len(others):
                 continue
-            for j in others[near(i, others)]:
-                open_[j] = False
-                queue.append(j)
-                yield i, int(j)
+            new = others[near(i, others)].tolist()
+            open_[new] = False
+            queue += new
+            reached += new
+        least = min(ids[i] for i in reached)
+        out += [(ids[i], least) for i in reached if ids[i] != least]
+    return out
 
 
 def _by_signature(least: int):
     def links(side, ids, data):
         sig = np.frombuffer(b"".join(data), np.uint8).reshape(len(ids), SIGNATURE)
         near = lambda i, others: (sig[others] == sig[i]).sum(axis=1) >= least
-        return [(ids[i], ids[j]) for i, j in spanning_forest(len(ids), np.array(side), near)]
+        return stars(ids, np.array(side), near)
 
     return links
 
@@ -337,7 +343,7 @@ def _by_sets(size: int, percent: int):
             ok[ok] = 100 * shared >= percent * (n[asked] + n[i] - shared)
             return ok
 
-        return [(ids[i], ids[j]) for i, j in spanning_forest(len(ids), np.array(side), near)]
+        return stars(ids, np.array(side), near)
 
     return links
 
@@ -368,7 +374,7 @@ def confirmed_links(
         "id",
         "text",
     )
-    return cut(_compare(cells, _by_sets(words, percent)), "links")
+    return _compare(cells, _by_sets(words, percent))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
