@@ -294,7 +294,10 @@ def substring_dedup(
         "wanted",
     )
     # One shuffle of the texts serves the three joins below: each finds them by their key already.
-    texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    # (No key is null; said here, as the inner joins would add it below the shuffle, and only they.)
+    texts = rows.filter("key is not null").groupBy("key").agg(
+        F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")
+    )
 
     def with_pieces(is_hot: bool) -> DataFrame:
         own = wanted.filter(F.col("hot") == is_hot).select("key", "wanted")
