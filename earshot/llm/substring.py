@@ -135,7 +135,7 @@ def _pack(window: int, order: int):
 
 
 def _digest_windows(window: int, order: int):
-    """Every window of the wanted pieces as a digest."""
+    """The different windows of the wanted pieces as digests, with all places of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -145,21 +145,23 @@ def _digest_windows(window: int, order: int):
                 for key, text, copies, wanted in zip(*(c.to_pylist() for c in part.columns)):
                     words = plain_words(text)
                     _, first = pieces(words, window, order, hashes)
+                    own: dict[bytes, list[int]] = {}
                     for i in wanted:
                         for a in range(int(first[i]), int(first[i + 1])):
                             body = b" ".join(words[a : a + window])
-                            digests.append(hashlib.blake2b(body, digest_size=16).digest())
-                            keys.append(key)
-                            starts.append(a)
-                            weights.append(copies)
+                            own.setdefault(hashlib.blake2b(body, digest_size=16).digest(), []).append(a)
+                    digests += own
+                    keys += [key] * len(own)
+                    starts += own.values()
+                    weights += [copies * len(x) for x in own.values()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(digests, pa.binary()),
                         pa.array(keys, pa.binary()),
-                        pa.array(starts, pa.int32()),
+                        pa.array(starts, pa.list_(pa.int32())),
                         pa.array(weights, pa.int64()),
                     ],
-                    ["digest", "key", "start", "copies"],
+                    ["digest", "key", "starts", "times"],
                 )
 
     return run
@@ -286,7 +288,10 @@ def substring_dedup(
         rows.select("text", "key").mapInArrow(_list_pieces(window, order), "low bigint, key binary, piece int, again boolean"),
         "pieces",
     )
-    often = listed.groupBy("low").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("n")).filter("n > 1")
+    # Counts are written before they are joined: a hot key on the other side of the join can then be split.
+    often = cut(
+        listed.groupBy("low").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("n")).filter("n > 1"), "often"
+    )
     wanted = cut(
         listed.join(often, "low").groupBy("key", (F.col("n") > hot).alias("hot")).agg(
             F.array_sort(F.collect_set("piece")).alias("wanted")
@@ -310,11 +315,14 @@ def substring_dedup(
         packed.repartition("low").sortWithinPartitions("low").mapInArrow(_count(window), "key binary, a int, b int")
     )
     single = cut(
-        with_pieces(True).mapInArrow(_digest_windows(window, order), "digest binary, key binary, start int, copies bigint"),
+        with_pieces(True).mapInArrow(
+            _digest_windows(window, order), "digest binary, key binary, starts array<int>, times bigint"
+        ),
         "hot-windows",
     )
-    twice = single.groupBy("digest").agg(F.sum("copies").alias("n")).filter("n > 1").select("digest")
-    shared = single.join(twice, "digest").select("key", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
+    twice = single.groupBy("digest").agg(F.sum("times").alias("n")).filter("n > 1").select("digest")
+    found = single.join(cut(twice, "twice"), "digest").select("key", F.explode("starts").alias("a"))
+    shared = found.select("key", "a", (F.col("a") + window).alias("b"))
     ranges = counted.unionByName(shared).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     done = (
         texts.join(ranges.hint("shuffle_hash"), "key", "left")
