@@ -133,7 +133,10 @@ def value_ranks(counts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def feed_page(records: DataFrame, *, page: int = 0, size: int = 20) -> DataFrame:
-    """Rows of one page of the feed: worst first, then by id, with the running number."""
+    """Rows of one page of the feed: worst first, then by id, with the running number.
+
+    The cost grows with the page number; ``feed_page_after`` is the way to read on.
+    """
     pain = scoring.pain_score(F.col("severity"), F.col("sentiment"))
     rows = (
         records.select("record_id", pain.alias("pain"), "severity", "sentiment", "child_issue", "topic", "original_feedback")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from earshot.functions import lexicons as lx
 from earshot.operators import explore, filters, profile, rank
 from earshot.plans import fixtures as fx

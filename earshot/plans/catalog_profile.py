@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.functions import text as tx
 from earshot.operators import issues, profile, rank
 from earshot.plans import fixtures as fx
 from earshot.plans.catalog_text import (
@@ -13,7 +12,6 @@ from earshot.plans.catalog_text import (
     MARKERS,
     SCORED_SQL,
     SQL_BLANK,
-    SQL_COLLAPSE,
     SQL_LANGUAGE,
     fill,
     languages,
