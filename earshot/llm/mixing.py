@@ -156,8 +156,7 @@ def mix_quotas(
     ).join(plan, ["_at", "shard"])
     start = F.pmod(F.xxhash64(F.lit(seed), "_at", "shard"), F.greatest("blocks", F.lit(1)))
     rows = rows.withColumn("offset", start)
-    before = lambda x: _words_before(x, block_words)
-    taken = before(F.col("first") + F.col("size")) - before(F.col("first"))
+    taken = _words_before(F.col("first") + F.col("size"), block_words) - _words_before(F.col("first"), block_words)
     return rows.select(
         "doc_id", "source", "mark", "size", "source_size", "target",
         F.coalesce(taken, F.lit(0)).cast("bigint").alias("taken"),

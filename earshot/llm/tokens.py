@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from earshot.llm.common import SLICE_BYTES, slices
+from earshot.llm.common import slices
 from earshot.sources.shared import new_path
 
 END_ID = 0
@@ -302,8 +302,3 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> Da
 def token_folder(spark: SparkSession) -> str:
     return new_path(spark, "tokens")
 
-
-__all__ = [
-    "BLOCK_BYTES", "END_ID", "SLICE_BYTES", "Encoder", "frame", "opener", "read_dictionary", "read_tokens",
-    "token_folder", "train_dictionary", "write_tokens",
-]

@@ -242,7 +242,7 @@ def test_top_k(spark):
     rows += [(310, [1.0, 2.0]), (320, [3.0, -1.0]), (330, []), (340, [1e7] * 6), (350, [1e12] * 6), (400, [2.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 AS id", "2 AS n")
     want = sorted(brute.top_k(rows, lambda i: i % 10 == 0, 5))
-    for block_rows, bins in ((16, 100), (2048, 1024)):
+    for block_rows, bins in ((16, 4096), (2048, 1024)):
         got = topk.exact_top_k(df, F.col("vec_id") % 10 == 0, block_rows=block_rows, bins=bins, slices=4)
         assert rows_of(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
