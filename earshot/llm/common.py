@@ -7,10 +7,11 @@ characters beyond ASCII are never separators.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def encoded(text: str | None) -> bytes:
 class WordHashes(dict):
     """64-bit word hashes, remembered for a bounded number of words."""
 
-    def __init__(self, most: int = 1 << 18):
+    def __init__(self, most: int = 1 << 17):
         super().__init__()
         self.most = most
 
@@ -63,6 +64,21 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What tasks share in a Python worker.  Only what was asked for last is held, which bounds the memory."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def word_hashes() -> WordHashes:
+    return kept(("words",), WordHashes)
+
+
 def rolling(h: np.ndarray, n: int, factor: int) -> np.ndarray:
     """A hash of every ``n`` consecutive items, as a polynomial modulo 2**64."""
     m = len(h) - n + 1
@@ -118,15 +134,14 @@ def _runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most ``SLICE_BYTES`` of text, or one row."""
-    sizes = [len(x) if x else 0 for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-    a = total = 0
-    for i, n in enumerate(sizes):
-        if i > a and total + n > SLICE_BYTES:
-            yield batch.slice(a, i - a)
-            a, total = i, 0
-        total += n
-    if a < len(sizes):
-        yield batch.slice(a)
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+    a, n = 0, batch.num_rows
+    while a < n:
+        before = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def crc_fold(column: str, folds: int) -> Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import WordHashes, folded_words, mixed, rolling, slices
+from earshot.llm.common import WordHashes, folded_words, mixed, rolling, slices, word_hashes
 from earshot.operators.graph import connected_components
 from earshot.sources.shared import cut, cut_measured
 
@@ -75,7 +75,7 @@ def _sketcher(size: int, trees: int, seed: int):
     both = np.concatenate([roots, own])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             for part in slices(batch):
                 counts, digests, paths, signatures = [], [], [], []
@@ -318,9 +318,8 @@ def _by_signature(least: int):
 
 
 def _by_sets(size: int, percent: int):
-    hashes = WordHashes()
-
     def links(side, ids, data):
+        hashes = word_hashes()
         sets = [shingles(folded_words(t), size, hashes) for t in data]
         n = np.array([len(s) for s in sets], np.int64)
         flat, code = np.unique(np.concatenate(sets), return_inverse=True)

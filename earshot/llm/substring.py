@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import WordHashes, mixed, plain_words, rolling, slices
+from earshot.llm.common import WordHashes, mixed, plain_words, rolling, slices, word_hashes
 from earshot.sources.shared import cut
 
 WINDOW = 35
@@ -69,7 +69,7 @@ def pieces(words: list[bytes], window: int, order: int, hashes: WordHashes) -> t
 
 def _list_pieces(window: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             for part in slices(batch):
                 lows, keys, numbers, again = [], [], [], []
@@ -105,7 +105,7 @@ def _pack(window: int, order: int):
     """The wanted pieces of each text as packed strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             for part in slices(batch):
                 out: dict[str, list] = {"low": [], "key": [], "start": [], "copies": [], "packed": []}
@@ -138,7 +138,7 @@ def _digest_windows(window: int, order: int):
     """The different windows of the wanted pieces as digests, with all places of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             for part in slices(batch):
                 digests, keys, starts, weights = [], [], [], []

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from earshot.llm.common import slices
+from earshot.llm.common import kept, slices
 from earshot.sources.shared import new_path
 
 END_ID = 0
@@ -98,7 +98,7 @@ class Pieces(dict):
 class Encoder:
     """Ids of whole texts, equal to encoding each text at once; pieces repeat and are remembered."""
 
-    def __init__(self, path: str, dtype: str, most: int = 400_000):
+    def __init__(self, path: str, dtype: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.pieces = Pieces(Tokenizer.from_file(path), dtype, most)
@@ -113,14 +113,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, dtype: str) -> Encoder:
     """One encoder per Python worker, so that tasks share what it remembers."""
-    if (path, dtype) not in _ENCODERS:
-        _ENCODERS[path, dtype] = Encoder(path, dtype)
-    return _ENCODERS[path, dtype]
+    return kept(("encoder", path, dtype), lambda: Encoder(path, dtype))
 
 
 def id_type(tokenizer_path: str) -> str:
