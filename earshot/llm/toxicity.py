@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def fit_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     learn: Column | None = None,
-    max_rows: int = 6_000,
+    max_rows: int = 4_000,
     max_words: int = 600,
     min_rows: int = 3,
     swap_penalty: float = 1.0,
@@ -103,7 +104,10 @@ def fit_toxicity(
     y = table.column("label").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, 0.0, empty=True)
-    return _fit(table, y, max_words, min_rows, swap_penalty, shrink, _swaps(identity))
+    model = _fit(table, y, max_words, min_rows, swap_penalty, shrink, _swaps(identity))
+    del table
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _fit(table, y, max_words, min_rows, swap_penalty, shrink, swaps, margin=-4.0) -> ToxicityModel:
@@ -111,7 +115,7 @@ def _fit(table, y, max_words, min_rows, swap_penalty, shrink, swaps, margin=-4.0
     flat = words.flatten().dictionary_encode()
     code = flat.indices.to_numpy()
     names = flat.dictionary
-    row = np.repeat(np.arange(len(y)), words.value_lengths().to_numpy())
+    row = np.repeat(np.arange(len(y), dtype=np.int32), words.value_lengths().to_numpy())
     share = _shares(code, row, len(y), len(names))
     n = np.bincount(code, share[row], minlength=len(names))
     t = np.bincount(code, (share * y)[row], minlength=len(names))
@@ -121,17 +125,16 @@ def _fit(table, y, max_words, min_rows, swap_penalty, shrink, swaps, margin=-4.0
     kept = [names[int(i)].as_py() for i in best if gain[i] > np.log(len(names)) + margin]
     kept += [w for w in sorted(swaps) if w not in set(kept)]
     column = {w: j for j, w in enumerate(kept)}
-    to = np.full(len(names), -1)
-    for i, w in enumerate(names.to_pylist()):
-        to[i] = column.get(w, -1)
-    x = np.zeros((len(y), len(kept)))
+    to = pc.fill_null(pc.index_in(names, value_set=pa.array(kept, pa.binary())), -1).to_numpy()
+    x = np.zeros((len(y), len(kept) + 1))
     at = to[code] >= 0
-    x[row[at], to[code][at]] = 1.0
-    swapped = x.copy()
-    for w, other in swaps.items():
-        swapped[:, column[other]] = x[:, column[w]]
-    weights, intercept = _newton(x, y, share, x - swapped, swap_penalty, shrink)
-    return ToxicityModel(dict(zip(kept, weights.tolist())), float(intercept))
+    x[row[at], to[code[at]]] = 1.0
+    x[:, -1] = 1.0
+    # What a swap changes lies in the columns of the identity terms alone.
+    own = [column[w] for w in sorted(swaps)]
+    change = x[:, own] - x[:, [column[swaps[w]] for w in sorted(swaps)]]
+    weights = _newton(x, y, share, own, change, swap_penalty, shrink)
+    return ToxicityModel(dict(zip(kept, weights[:-1].tolist())), float(weights[-1]))
 
 
 def _shares(code: np.ndarray, row: np.ndarray, rows: int, names: int, hashes: int = 8) -> np.ndarray:
@@ -142,8 +145,8 @@ def _shares(code: np.ndarray, row: np.ndarray, rows: int, names: int, hashes: in
     """
     draw, size = np.random.default_rng(7), np.full(rows, float(rows))
     for _ in range(hashes):
-        least = np.full(rows, names)
-        np.minimum.at(least, row, draw.permutation(names)[code])
+        least = np.full(rows, names, np.int32)
+        np.minimum.at(least, row, draw.permutation(names).astype(np.int32)[code])
         size = np.minimum(size, np.bincount(least)[least])
     return 1.0 / size
 
@@ -158,16 +161,15 @@ def _likelihood_ratio(n, t, rows, positives):
     return part(t, n) + part(positives - t, rows - n) - part(np.full_like(t, positives), np.full_like(n, rows))
 
 
-def _newton(x, y, share, change, swap_penalty, shrink, rounds: int = 30):
+def _newton(x, y, share, own, change, swap_penalty, shrink, rounds: int = 30):
     """Minimise log loss + swap_penalty * squared change of score under swaps + shrinkage.
 
     Shrinkage leaves the intercept alone; the step is halved until the objective falls.
     """
-    x = np.hstack([x, np.ones((len(x), 1))])
-    change = np.hstack([change, np.zeros((len(x), 1))])
     ridge = np.full(x.shape[1], shrink)
     ridge[-1] = 0.0
-    fixed = 2 * swap_penalty * (change.T @ (change * share[:, None])) + np.diag(ridge)
+    fixed = np.diag(ridge)
+    fixed[np.ix_(own, own)] += 2 * swap_penalty * (change.T @ (change * share[:, None]))
     w = np.zeros(x.shape[1])
 
     def objective(v):
@@ -185,7 +187,7 @@ def _newton(x, y, share, change, swap_penalty, shrink, rounds: int = 30):
         w, before, value = w - size * step, value, after
         if before - after < 1e-7 * abs(before):
             break
-    return w[:-1], w[-1]
+    return w
 
 
 def score_toxicity(
