@@ -38,7 +38,15 @@ IDENTITY = (
 
 def features(text: str | None) -> set[bytes]:
     """The different words of a text, and their beginnings of four and six bytes with a star."""
-    words = set(normal_words(text))
+    return _with_beginnings(set(normal_words(text)))
+
+
+def swapped_features(text: str | None, swaps: dict[bytes, bytes]) -> set[bytes]:
+    """The features of the text in which each identity term is its counterpart."""
+    return _with_beginnings({swaps.get(w, w) for w in normal_words(text)})
+
+
+def _with_beginnings(words: set[bytes]) -> set[bytes]:
     return words.union([w[:4] + b"*" for w in words if len(w) > 4], [w[:6] + b"*" for w in words if len(w) > 6])
 
 
@@ -62,13 +70,20 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            words = [sorted(features(t)) for t in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.list_(pa.binary())), part.column(1)], ["words", "label"]
-            )
+def _features(swaps: dict[bytes, bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column(0).to_pylist()
+                words = [features(t) for t in texts]
+                after = [swapped_features(t, swaps) for t in texts]
+                lists = [[sorted(w) for w in words], [sorted(a - w) for w, a in zip(words, after)], [sorted(w - a) for w, a in zip(words, after)]]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(x, pa.list_(pa.binary())) for x in lists], part.column(1)],
+                    ["words", "gained", "lost", "label"],
+                )
+
+    return run
 
 
 def fit_toxicity(
@@ -100,11 +115,13 @@ def fit_toxicity(
     last = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 2 * max_rows / n)))
     few = rows.filter(F.col("mark") <= last).groupBy("mark").agg(F.first("text").alias("text"), F.max("label").alias("label"))
     chosen = few.orderBy("mark").limit(max_rows).select("text", "label")
-    table = chosen.mapInArrow(_features, "words array<binary>, label int").toArrow()
+    swaps = _swaps(identity)
+    lists = "words array<binary>, gained array<binary>, lost array<binary>, label int"
+    table = chosen.mapInArrow(_features(swaps), lists).toArrow()
     y = table.column("label").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, 0.0, empty=True)
-    model = _fit(table, y, max_words, min_rows, swap_penalty, shrink, _swaps(identity))
+    model = _fit(table, y, max_words, min_rows, swap_penalty, shrink, swaps)
     del table
     pa.default_memory_pool().release_unused()
     return model
@@ -124,16 +141,19 @@ def _fit(table, y, max_words, min_rows, swap_penalty, shrink, swaps, margin=-4.0
     best = np.argsort(-gain, kind="stable")[:max_words]
     kept = [names[int(i)].as_py() for i in best if gain[i] > np.log(len(names)) + margin]
     kept += [w for w in sorted(swaps) if w not in set(kept)]
-    column = {w: j for j, w in enumerate(kept)}
     to = pc.fill_null(pc.index_in(names, value_set=pa.array(kept, pa.binary())), -1).to_numpy()
     x = np.zeros((len(y), len(kept) + 1))
     at = to[code] >= 0
     x[row[at], to[code[at]]] = 1.0
     x[:, -1] = 1.0
-    # What a swap changes lies in the columns of the identity terms alone.
-    own = [column[w] for w in sorted(swaps)]
-    change = x[:, own] - x[:, [column[swaps[w]] for w in sorted(swaps)]]
-    weights = _newton(x, y, share, own, change, swap_penalty, shrink)
+    # A swap changes the columns of the terms and those of their beginnings.
+    change = np.zeros_like(x)
+    for name, sign in (("gained", 1.0), ("lost", -1.0)):
+        found = table.column(name).combine_chunks()
+        at_row = np.repeat(np.arange(len(y)), found.value_lengths().to_numpy())
+        at = pc.fill_null(pc.index_in(found.flatten(), value_set=pa.array(kept, pa.binary())), -1).to_numpy()
+        change[at_row[at >= 0], at[at >= 0]] = sign
+    weights = _newton(x, y, share, change, swap_penalty, shrink)
     return ToxicityModel(dict(zip(kept, weights[:-1].tolist())), float(weights[-1]))
 
 
@@ -161,7 +181,7 @@ def _likelihood_ratio(n, t, rows, positives):
     return part(t, n) + part(positives - t, rows - n) - part(np.full_like(t, positives), np.full_like(n, rows))
 
 
-def _newton(x, y, share, own, change, swap_penalty, shrink, rounds: int = 30):
+def _newton(x, y, share, change, swap_penalty, shrink, rounds: int = 30):
     """Minimise log loss + swap_penalty * squared change of score under swaps + shrinkage.
 
     Shrinkage leaves the intercept alone; the step is halved until the objective falls.
@@ -169,7 +189,9 @@ def _newton(x, y, share, own, change, swap_penalty, shrink, rounds: int = 30):
     ridge = np.full(x.shape[1], shrink)
     ridge[-1] = 0.0
     fixed = np.diag(ridge)
-    fixed[np.ix_(own, own)] += 2 * swap_penalty * (change.T @ (change * share[:, None]))
+    moved = change.any(axis=1)
+    change = change[moved]
+    fixed += 2 * swap_penalty * (change.T @ (change * share[moved, None]))
     w = np.zeros(x.shape[1])
 
     def objective(v):

@@ -127,6 +127,22 @@ def test_toxicity_learns_and_ignores_group_mentions(spark):
     assert gap(model) < 0.02 and gap(model) < gap(loose) / 2
 
 
+@pytest.mark.parametrize("group, other", [("muslims", "christians"), ("immigrants", "locals")])
+def test_beginnings_of_group_names_do_not_raise_the_score(spark, group, other):
+    draw = random.Random(11)
+    rows = []
+    for i in range(900):
+        bad = i % 3 == 0
+        named = group if draw.random() < (0.8 if bad else 0.1) else other
+        text = " ".join(f"v{draw.randrange(200)}" for _ in range(20))
+        rows.append((i, f"{text} {named} {draw.choice(['vile', 'rotten', 'hm']) if bad else 'kind'}", int(bad)))
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id int, text string, toxic int"))
+    apart = [
+        sum(model.weights.get(f, 0.0) for f in toxicity.features(f"a note about {name}")) for name in (group, other)
+    ]
+    assert abs(apart[0] - apart[1]) < 0.25, apart
+
+
 def test_toxicity_of_odd_documents(spark, odd, none):
     model = toxicity.fit_toxicity(labelled(spark))
     got = toxicity.score_toxicity(odd, model)
