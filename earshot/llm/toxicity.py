@@ -5,8 +5,8 @@ every change of score when the identity terms of a labelled text are swapped for
 a neutral mention of a group does not raise the score.
 
 The fit takes a bounded number of labelled rows, chosen by a hash of the text, equal texts once.  Words
-are chosen by their likelihood ratio with the label; identity terms are always among them.  Scoring reads
-every whole text.
+are counted by Spark and chosen by their likelihood ratio with the label; identity terms are always among
+them.  Only the chosen words' codes reach the driver.  Scoring reads every whole text.
 
 Defined results: null and empty texts score as a text without any known word; labels other than 0 and 1
 and null labels are not learned from; without labelled rows of both kinds every score is 0.
@@ -19,11 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import normal_words, slices
+from earshot.llm.common import mixed, normal_words, slices, word_hashes
+from earshot.sources.shared import cut, cut_measured
+
+#: Tasks that the sample is dealt to.
+PARTS = 16
 
 #: Terms for groups of people that are swapped for one another.
 IDENTITY = (
@@ -70,29 +73,46 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _features(swaps: dict[bytes, bytes]):
+def _features(swaps: dict[bytes, bytes], hashes: int = 8):
+    """What the fit needs of a text: features, those a swap adds and takes away, and minwise features."""
+    seeds = np.random.default_rng(7).integers(0, 2**64, hashes, dtype=np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_hashes()
         for batch in batches:
             for part in slices(batch):
-                texts = part.column(0).to_pylist()
-                words = [features(t) for t in texts]
-                after = [swapped_features(t, swaps) for t in texts]
-                lists = [[sorted(w) for w in words], [sorted(a - w) for w, a in zip(words, after)], [sorted(w - a) for w, a in zip(words, after)]]
+                lists: tuple[list, ...] = ([], [], [], [])
+                for text in part.column(0).to_pylist():
+                    words, after = features(text), swapped_features(text, swaps)
+                    found = sorted(words)
+                    h = known.of(found)
+                    least = [int(mixed(h ^ s).min()) if len(h) else 2**64 - 1 for s in seeds]
+                    for out, x in zip(lists, (found, sorted(after - words), sorted(words - after))):
+                        out.append(x)
+                    lists[3].append(np.array(least, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(x, pa.list_(pa.binary())) for x in lists], part.column(1)],
-                    ["words", "gained", "lost", "label"],
+                    [
+                        part.column(1),
+                        part.column(2),
+                        *[pa.array(x, pa.list_(pa.binary())) for x in lists[:3]],
+                        pa.array(lists[3], pa.list_(pa.int64())),
+                    ],
+                    ["mark", "label", "words", "gained", "lost", "least"],
                 )
 
     return run
 
 
+_SAMPLE = "mark bigint, label int, words array<binary>, gained array<binary>, lost array<binary>, least array<bigint>"
+
+
 def fit_toxicity(
     labelled: DataFrame,
     *,
     text_col: str = "text",
     label_col: str = "toxic",
     learn: Column | None = None,
-    max_rows: int = 4_000,
+    max_rows: int = 12_000,
     max_words: int = 600,
     min_rows: int = 3,
     swap_penalty: float = 1.0,
@@ -114,61 +134,89 @@ def fit_toxicity(
     # About twice the rows wanted lie below this hash; of equal texts one is kept, with the higher label.
     last = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 2 * max_rows / n)))
     few = rows.filter(F.col("mark") <= last).groupBy("mark").agg(F.first("text").alias("text"), F.max("label").alias("label"))
-    chosen = few.orderBy("mark").limit(max_rows).select("text", "label")
+    chosen = few.orderBy("mark").limit(max_rows).select("text", "mark", "label")
     swaps = _swaps(identity)
-    lists = "words array<binary>, gained array<binary>, lost array<binary>, label int"
-    table = chosen.mapInArrow(_features(swaps), lists).toArrow()
-    y = table.column("label").to_numpy().astype(float)
+    sample = cut(chosen.repartition(PARTS, "mark").mapInArrow(_features(swaps), _SAMPLE), "toxicity-sample")
+    # Labels and minwise features reach the driver, then words chosen by counts, then the codes of these.
+    head = sample.select("mark", "label", "least").toArrow().sort_by("mark")
+    y = head.column("label").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, 0.0, empty=True)
-    model = _fit(table, y, max_words, min_rows, swap_penalty, shrink, swaps)
-    del table
+    share = _shares(head.column("least").combine_chunks().flatten().to_numpy().reshape(len(y), -1))
+    weighed = rows.sparkSession.createDataFrame(pa.table({"mark": head.column("mark"), "share": share}))
+    kept = _choose(sample, weighed, (share.sum(), share @ y), max_words, min_rows)
+    kept += [w for w in sorted(swaps) if w not in set(kept)]
+    codes = sample.select("mark", "words", "gained", "lost").mapInArrow(_codes(kept), _CODES).toArrow().sort_by("mark")
+    x, gained, lost = (_matrix(codes.column(c), len(kept) + 1) for c in ("words", "gained", "lost"))
+    x[:, -1] = 1
+    weights = _newton(x, y, share, gained - lost, swap_penalty, shrink)
+    model = ToxicityModel(dict(zip(kept, weights[:-1].tolist())), float(weights[-1]))
+    del head, codes
     pa.default_memory_pool().release_unused()
     return model
 
 
-def _fit(table, y, max_words, min_rows, swap_penalty, shrink, swaps, margin=-4.0) -> ToxicityModel:
-    words = table.column("words").combine_chunks()
-    flat = words.flatten().dictionary_encode()
-    code = flat.indices.to_numpy()
-    names = flat.dictionary
-    row = np.repeat(np.arange(len(y), dtype=np.int32), words.value_lengths().to_numpy())
-    share = _shares(code, row, len(y), len(names))
-    n = np.bincount(code, share[row], minlength=len(names))
-    t = np.bincount(code, (share * y)[row], minlength=len(names))
-    gain = np.where(n >= min_rows, _likelihood_ratio(n, t, share.sum(), share @ y), -1.0)
+def _choose(
+    sample: DataFrame, weighed: DataFrame, totals: tuple[float, float], max_words: int, min_rows: int, margin: float = -4.0
+) -> list[bytes]:
+    """The words with the highest likelihood ratios; ``totals``: the shares of all rows and of the positive ones."""
+    each = sample.join(F.broadcast(weighed), "mark").select("label", "share", F.explode("words").alias("word"))
+    counts, seen = cut_measured(
+        each.groupBy("word").agg(F.sum("share").alias("n"), F.sum(F.col("share") * F.col("label")).alias("t")),
+        "toxicity-words",
+        names=F.count(F.lit(1)),
+    )
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, t = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            gain = np.round(_likelihood_ratio(n, t, *totals), 9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gain)], ["word", "gain"])
+
     # Of very many words some look telling by chance; a kept one has to beat their number.
-    best = np.argsort(-gain, kind="stable")[:max_words]
-    kept = [names[int(i)].as_py() for i in best if gain[i] > np.log(len(names)) + margin]
-    kept += [w for w in sorted(swaps) if w not in set(kept)]
-    to = pc.fill_null(pc.index_in(names, value_set=pa.array(kept, pa.binary())), -1).to_numpy()
-    x = np.zeros((len(y), len(kept) + 1))
-    at = to[code] >= 0
-    x[row[at], to[code[at]]] = 1.0
-    x[:, -1] = 1.0
-    # A swap changes the columns of the terms and those of their beginnings.
-    change = np.zeros_like(x)
-    for name, sign in (("gained", 1.0), ("lost", -1.0)):
-        found = table.column(name).combine_chunks()
-        at_row = np.repeat(np.arange(len(y)), found.value_lengths().to_numpy())
-        at = pc.fill_null(pc.index_in(found.flatten(), value_set=pa.array(kept, pa.binary())), -1).to_numpy()
-        change[at_row[at >= 0], at[at >= 0]] = sign
-    weights = _newton(x, y, share, change, swap_penalty, shrink)
-    return ToxicityModel(dict(zip(kept, weights[:-1].tolist())), float(weights[-1]))
-
-
-def _shares(code: np.ndarray, row: np.ndarray, rows: int, names: int, hashes: int = 8) -> np.ndarray:
+    least = float(np.log(max(1, seen["names"])) + margin)
+    often = counts.filter(F.col("n") >= min_rows - 1e-6).mapInArrow(gains, "word binary, gain double")
+    best = often.filter(F.col("gain") > max(-1.0, least)).orderBy(F.desc("gain"), "word").limit(max_words)
+    return [bytes(r["word"]) for r in best.select("word").collect()]
+
+
+_CODES = "mark bigint, words array<smallint>, gained array<smallint>, lost array<smallint>"
+
+
+def _codes(kept: Sequence[bytes]):
+    """Places in ``kept`` of the words in each list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = {w: j for j, w in enumerate(kept)}
+        for batch in batches:
+            out = [
+                pa.array([[column[w] for w in ws if w in column] for ws in batch.column(i).to_pylist()], pa.list_(pa.int16()))
+                for i in (1, 2, 3)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["mark", "words", "gained", "lost"])
+
+    return run
+
+
+def _matrix(codes: pa.ChunkedArray, width: int) -> np.ndarray:
+    lists = codes.combine_chunks()
+    x = np.zeros((len(lists), width), np.int8)
+    x[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = 1
+    return x
+
+
+def _shares(least: np.ndarray) -> np.ndarray:
     """What each row counts: rows that are much alike count as one together.
 
     Rows with equal minwise words fall into one group per hash; unlike rows soon fall apart, so the smallest
     of a row's groups is about as large as its set of near copies.
     """
-    draw, size = np.random.default_rng(7), np.full(rows, float(rows))
-    for _ in range(hashes):
-        least = np.full(rows, names, np.int32)
-        np.minimum.at(least, row, draw.permutation(names).astype(np.int32)[code])
-        size = np.minimum(size, np.bincount(least)[least])
-    return 1.0 / size
+    size = np.full(len(least), len(least))
+    for values in least.T:
+        _, group, n = np.unique(values, return_inverse=True, return_counts=True)
+        size = np.minimum(size, n[group])
+    # Sums of whole multiples of 2**-32 are exact, in whatever order tasks add them.
+    return np.round(2.0**32 / size) / 2.0**32
 
 
 def _likelihood_ratio(n, t, rows, positives):
@@ -189,20 +237,29 @@ def _newton(x, y, share, change, swap_penalty, shrink, rounds: int = 30):
     ridge = np.full(x.shape[1], shrink)
     ridge[-1] = 0.0
     fixed = np.diag(ridge)
-    moved = change.any(axis=1)
-    change = change[moved]
-    fixed += 2 * swap_penalty * (change.T @ (change * share[moved, None]))
+    # The matrices hold bytes and are widened a block of rows at a time.
+    parts = [slice(a, a + 1024) for a in range(0, len(y), 1024)]
+    for at in parts:
+        moved = change[at].any(axis=1)
+        c = change[at][moved].astype(float)
+        fixed += 2 * swap_penalty * (c.T @ (c * share[at][moved, None]))
     w = np.zeros(x.shape[1])
 
+    def linear(v):
+        return np.concatenate([x[at].astype(float) @ v for at in parts])
+
     def objective(v):
-        z = x @ v
+        z = linear(v)
         return share @ (np.logaddexp(0, z) - y * z) + 0.5 * v @ fixed @ v
 
     value = objective(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        slope = x.T @ (share * (p - y)) + fixed @ w
-        curve = (x * (share * p * (1 - p))[:, None]).T @ x + fixed + 1e-9 * np.eye(len(w))
+        p = 1 / (1 + np.exp(-np.clip(linear(w), -500, 500)))
+        slope, curve = fixed @ w, fixed + 1e-9 * np.eye(len(w))
+        for at in parts:
+            c = x[at].astype(float)
+            slope += c.T @ (share[at] * (p[at] - y[at]))
+            curve += (c * (share[at] * p[at] * (1 - p[at]))[:, None]).T @ c
         step, size = np.linalg.solve(curve, slope), 1.0
         while (after := objective(w - size * step)) > value and size > 1e-6:
             size /= 2

@@ -143,6 +143,20 @@ def test_beginnings_of_group_names_do_not_raise_the_score(spark, group, other):
     assert abs(apart[0] - apart[1]) < 0.25, apart
 
 
+def test_toxicity_is_fitted_on_all_of_a_sample_of_12000(spark, monkeypatch):
+    seen = []
+    plain = toxicity._newton
+    monkeypatch.setattr(toxicity, "_newton", lambda x, y, *rest: seen.append(x.shape) or plain(x, y, *rest))
+    bad = F.col("doc_id") % 3 == 0
+    data = spark.range(9000).select(
+        F.col("id").cast("int").alias("doc_id"),
+        F.concat_ws(" ", F.lit("text"), F.concat(F.lit("own"), "id"), F.when(F.col("id") % 3 == 0, "vile").otherwise("kind")).alias("text"),
+    ).withColumn("toxic", bad.cast("int"))
+    model = toxicity.fit_toxicity(data)
+    assert seen[0][0] == 9000 and seen[0][1] <= 601 + 2 * len(toxicity.IDENTITY)
+    assert toxicity.score_toxicity(data, model).filter("predicted <> toxic").count() == 0
+
+
 def test_toxicity_of_odd_documents(spark, odd, none):
     model = toxicity.fit_toxicity(labelled(spark))
     got = toxicity.score_toxicity(odd, model)
