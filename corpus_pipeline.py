@@ -13,6 +13,7 @@ folder and gives the next stage what it reads back.  All but the last return the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from earshot.llm import decontaminate, mixing, neardup, tokens, toxicity
 from earshot.llm.common import crc_fold
@@ -22,8 +23,8 @@ from earshot.sources.shared import new_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    labelled = docs.select("doc_id", "text").join(labels, "doc_id")
-    model = toxicity.fit_toxicity(labelled, learn=crc_fold("doc_id", 3) != 1)
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    model = toxicity.fit_toxicity(marked.join(labels, "doc_id"), mark_col="mark", learn=crc_fold("doc_id", 3) != 1)
     return toxicity.keep_clean(docs, model)
 
 

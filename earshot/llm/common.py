@@ -144,6 +144,16 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         a = b
 
 
+def different(mark: Column) -> Column:
+    """About how many different 64-bit hashes there are, to two percent; combined before the shuffle."""
+    return F.approx_count_distinct(mark, 0.02)
+
+
+def hash_limit(wanted: int, distinct: int) -> int:
+    """Below this 64-bit hash lie about twice the different hashes wanted, or all of them."""
+    return min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 2 * wanted / max(1, distinct))))
+
+
 def crc_fold(column: str, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.llm.common import encoded, slices
+from earshot.llm.common import different, encoded, hash_limit, slices
 
 ORDER = 4
 UNKNOWN = "und"
@@ -182,14 +182,14 @@ def fit_ppm(
     rows = docs.filter(learn & text.isNotNull() & lang.isNotNull()).select(
         text.alias("text"), lang.cast("string").alias("lang"), F.xxhash64(text).alias("mark")
     )
-    sizes = rows.groupBy("lang").count().limit(max_languages + 1).collect()
+    sizes = rows.groupBy("lang").agg(different(F.col("mark")).alias("n")).limit(max_languages + 1).collect()
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not sizes:
         return PpmModel({})
     names = [r["lang"] for r in sizes]
-    # Twice as many as wanted are expected below each language's limit; copies share a hash and count once.
-    last = [(r["lang"], min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 2 * max_rows / r["count"])))) for r in sizes]
+    # Copies share a hash and count once, so each language's limit follows from its different texts.
+    last = [(r["lang"], hash_limit(max_rows, r["n"])) for r in sizes]
     limits = F.broadcast(docs.sparkSession.createDataFrame(last, "lang string, last bigint"))
     few = rows.join(limits, "lang").filter(F.col("mark") <= F.col("last"))
     few = few.groupBy("lang", "mark").agg(F.first("text").alias("text"))

@@ -111,6 +111,7 @@ def fit_toxicity(
     *,
     text_col: str = "text",
     label_col: str = "toxic",
+    mark_col: str | None = None,
     learn: Column | None = None,
     max_rows: int = 12_000,
     max_words: int = 600,
@@ -121,20 +122,21 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Fit on at most ``max_rows`` texts (smallest hashes) of rows where ``learn`` holds.
 
+    ``mark_col`` holds xxhash64 of the text; taken before labels are joined, it spares that join the texts.
     ``max_words`` bounds the chosen words, ``min_rows`` is the least number of (unlike) rows that hold one.
     """
     text, label = F.col(text_col), F.col(label_col)
+    mark = F.col(mark_col) if mark_col else F.xxhash64(text)
     rows = labelled.filter(learn) if learn is not None else labelled
     rows = rows.filter(text.isNotNull() & label.isin(0, 1)).select(
-        text.alias("text"), label.cast("int").alias("label"), F.xxhash64(text).alias("mark")
+        text.alias("text"), label.cast("int").alias("label"), mark.alias("mark")
     )
-    n = rows.count()
-    if not n:
+    # Of equal texts one is kept, with the higher label; so the smallest different hashes are taken, not rows.
+    last = rows.select("mark").distinct().orderBy("mark").limit(max_rows).agg(F.max("mark")).first()[0]
+    if last is None:
         return ToxicityModel({}, 0.0, empty=True)
-    # About twice the rows wanted lie below this hash; of equal texts one is kept, with the higher label.
-    last = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 2 * max_rows / n)))
     few = rows.filter(F.col("mark") <= last).groupBy("mark").agg(F.first("text").alias("text"), F.max("label").alias("label"))
-    chosen = few.orderBy("mark").limit(max_rows).select("text", "mark", "label")
+    chosen = few.select("text", "mark", "label")
     swaps = _swaps(identity)
     sample = cut(chosen.repartition(PARTS, "mark").mapInArrow(_features(swaps), _SAMPLE), "toxicity-sample")
     # Labels and minwise features reach the driver, then words chosen by counts, then the codes of these.

@@ -157,6 +157,13 @@ def test_toxicity_is_fitted_on_all_of_a_sample_of_12000(spark, monkeypatch):
     assert toxicity.score_toxicity(data, model).filter("predicted <> toxic").count() == 0
 
 
+def test_copies_do_not_shrink_the_toxicity_sample(spark):
+    once = labelled(spark).withColumn("text", F.concat_ws(" ", "text", F.col("doc_id").cast("string")))
+    copies = once.crossJoin(spark.range(20).select(F.col("id").alias("copy")))
+    want, got = (toxicity.fit_toxicity(d, max_rows=250) for d in (once, copies))
+    assert got.weights == want.weights and got.intercept == want.intercept
+
+
 def test_toxicity_of_odd_documents(spark, odd, none):
     model = toxicity.fit_toxicity(labelled(spark))
     got = toxicity.score_toxicity(odd, model)
@@ -216,6 +223,15 @@ def test_code_lengths_are_those_of_the_plain_model():
         assert np.allclose(model.lengths(text)[:, 0], [brute.code_length(train, t) for t in text])
 
 
+def test_copies_do_not_shrink_the_language_sample(spark):
+    rows = [(f"{a} {words(4, 900)} {i}", lang) for i in range(300) for a, lang in (("the cat", "en"), ("le chat", "fr"))]
+    once = spark.createDataFrame(rows, "text string, lang string")
+    copies = once.crossJoin(spark.range(20).select(F.col("id").alias("copy")))
+    want, got = (language.fit_ppm(d, F.lit(True), max_rows=100) for d in (once, copies))
+    texts = [t for t, _ in rows[:40]]
+    assert np.array_equal(want.lengths(texts), got.lengths(texts))
+
+
 def test_languages_of_odd_documents(spark, odd, none):
     rows = [(i, f"the cat and the {words(3)} of it", "en") for i in range(40)]
     rows += [(100 + i, f"le chat et la {words(3)} de ça", "fr") for i in range(40)]
