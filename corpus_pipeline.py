@@ -37,8 +37,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Blocks of about a document, so that texts stay whole where they can.
-    return mixing.mix(docs, block_words=512)
+    # The operator's short blocks: with long ones the quota of a small source rounds to nothing.
+    return mixing.mix(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -349,6 +349,24 @@ def test_mix(spark, odd, none):
     assert mixing.mix_quotas(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_pipeline_mix_meets_the_targets_of_small_sources(spark):
+    import corpus_pipeline
+
+    draw = random.Random(3)
+    sizes = {f"s{i:03}": draw.randrange(50, 301) for i in range(300)}
+    rows = []
+    for source, n in sizes.items():
+        cut = draw.randrange(1, n)
+        rows += [(len(rows) + j, " ".join(["w"] * k), "en", source) for j, k in enumerate((cut, n - cut))]
+    goal = mixing.targets(list(sizes.values()), [mixing.WEIGHTS[i % 3] for i in range(300)])
+    mixed = corpus_pipeline.mix_sources(spark, brute.frame(spark, rows), "")
+    taken = dict.fromkeys(sizes, 0)
+    for r in mixed.select("source", "text").collect():
+        taken[r["source"]] += len(r["text"].split())
+    off = {s: (taken[s], g) for s, g in zip(sizes, goal) if not taken[s] or abs(taken[s] - g) > 32}
+    assert not off, off
+
+
 def test_mix_keeps_odd_documents(odd):
     by_id: dict = {}
     for r in mixing.mix(odd).select("doc_id", "text").collect():
