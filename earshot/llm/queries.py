@@ -11,8 +11,11 @@ from earshot.llm import (
     chat,
     decontaminate,
     language,
+    merkle,
     mixing,
     neardup,
+    privacy,
+    repair,
     secrets,
     substring,
     tokens,
@@ -256,3 +259,191 @@ CATALOG.add(
     FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
     """,
 )
+
+
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    written = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in privacy.BASE_KINDS],
+        F.sha2(written("base"), 256).alias("base_sha256"),
+        written(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("bigint").alias("n_added"),
+    )
+
+
+CATALOG.add("op11_personal_data", op11_personal_data)
+
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+_UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*FIELDS)
+    changed = [F.translate("text", _UPPER, _LOWERED) if c == "text" else F.col(c) for c in FIELDS]
+    tampered = F.when(crc_fold("doc_id", 5) == 0, F.unhex(merkle.leaf_digest(changed))).alias("tampered")
+    manifest = merkle.merkle_manifest(docs, fields=FIELDS, group_col="source", order_col="doc_id", carry=[tampered])
+    proofs = merkle.proofs(manifest)
+    leaf = F.coalesce(F.lower(F.hex("carried.tampered")), "leaf")
+    folded = proofs.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+        merkle.fold(leaf, F.col("path")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _crc32(text: str) -> str:
+    """crc32 of a text of ASCII characters in DuckDB."""
+    big = "::UBIGINT"
+    step = f"CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384{big}) ELSE x >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: k{big})), lambda x, y: {step})"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ord(ch){big})"
+    return f"xor(list_reduce(list_prepend(4294967295{big}, {codes}), lambda c, b: {byte}), 4294967295{big})"
+
+
+def _levels(tree: str, depth: int) -> str:
+    """CTEs of ``depth`` levels over ``{tree}0 (g, i, h)``, with the siblings of every node."""
+    out = []
+    for k in range(depth):
+        out.append(f"""
+    {tree}s{k} AS (
+        SELECT *, i // 16 AS up, count(*) OVER (PARTITION BY g) AS n,
+               coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+               coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+        FROM {tree}{k}),
+    {tree}{k + 1} AS (
+        SELECT g, up AS i, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h
+        FROM {tree}s{k} GROUP BY g, up)""")
+    return ",".join(out)
+
+
+_DEPTH = {"t": 4, "u": 2}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR END"
+
+
+def _fold(tree: str, start: str, leaf: str) -> tuple[str, str, str]:
+    """Joins, proof and folded node along a tree, from the row ``start`` at its level 0."""
+    joins, proof, node = "", "''", leaf
+    for k in range(_DEPTH[tree]):
+        at = f"{start}.i // {16**k}"
+        joins += f" JOIN {tree}s{k} ON {tree}s{k}.g = {start}.g AND {tree}s{k}.i = {at}"
+        proof += f" || {tree}s{k}.l || {tree}s{k}.r"
+        node = f"CASE WHEN {tree}s{k}.n > 1 THEN sha256({tree}s{k}.l || {node} || {tree}s{k}.r) ELSE {node} END"
+    return joins, proof, node
+
+
+def _merkle_sql() -> str:
+    leaf = lambda text: "sha256(" + " || ".join(_FIELD.format(text if c == "text" else c) for c in FIELDS) + ")"
+    own_joins, own_proof, own_node = _fold("t", "d", "d.x")
+    root_joins, root_proof, root_node = _fold("u", "v", "w.node")
+    return f"""
+    WITH d AS (
+        SELECT doc_id, coalesce('=' || source, '') AS g, {leaf("text")} AS h,
+               CASE WHEN {_crc32("coalesce(doc_id::VARCHAR, '')")} % 5 = 0 THEN {leaf(f"translate(text, '{_UPPER}', '{_LOWERED}')")} END AS y
+        FROM documents),
+    d2 AS (SELECT *, coalesce(y, h) AS x, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d),
+    t0 AS (SELECT g, i, h FROM d2), {_levels("t", _DEPTH["t"])},
+    subroots AS (SELECT g AS of, row_number() OVER (ORDER BY g) - 1 AS i, h FROM t{_DEPTH["t"]}),
+    u0 AS (SELECT 0 AS g, i, h FROM subroots), {_levels("u", _DEPTH["u"])},
+    w AS (SELECT d.doc_id, d.h AS leaf, d.g AS source, {own_proof} AS proof, {own_node} AS node FROM d2 d{own_joins}),
+    v AS (SELECT 0 AS g, i, of, h FROM subroots),
+    made AS (
+        SELECT doc_id, leaf, v.h AS subroot, (SELECT h FROM u{_DEPTH["u"]}) AS root,
+               sha256(proof || {root_proof}) AS proof_sha256, {root_node} AS folded_root
+        FROM w JOIN v ON v.of = w.source{root_joins})
+    SELECT *, folded_root = root AS verified FROM made
+    """
+
+
+CATALOG.add("op12_merkle_manifest", op12_merkle_manifest, _merkle_sql())
+
+
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut short, repeated and given another role, by their crc32."""
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(one("conv_id"), F.lit(":"), one("turn")).cast("binary")) % 20
+    read = rows.select("conv_id", "turn", one("role").alias("role"), one("text").alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("kind") == 3, 2).otherwise(1)
+    left = read.filter("kind <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("times"))
+    return left.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair_conversations(damaged_conversations(rows), ids=rows.select("conv_id"))
+
+
+def _repair_sql() -> str:
+    blank = r"regexp_matches(text, '[^\x20\x09-\x0D]')"
+    cut_short = r"regexp_matches(text, '[.!?][\x20\x09-\x0D]*$')"
+    # States: 0 nothing, 1 after s, 2 after u, 3 after a.  Up to two turns are inserted before a row or at the end.
+    return f"""
+    WITH RECURSIVE marked AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+               unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+        FROM marked WHERE kind <> 0),
+    placed AS (
+        SELECT *, row_number() OVER own AS k, substr(role, 1, 1) AS c,
+               lead(substr(role, 1, 1)) OVER own AS d,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen
+        FROM damaged WINDOW own AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy)),
+    faulty AS (
+        SELECT *, CASE WHEN NOT {blank} THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT {cut_short} THEN 't' ELSE '' END AS fault FROM placed),
+    counts AS (
+        SELECT conv_id, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+               count(*) FILTER (fault = 't') AS truncated,
+               count(*) FILTER (d IS NOT NULL AND c || d NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM faulty GROUP BY conv_id),
+    fits(q, i, r, more, edits, made) AS (VALUES
+        (0, 0, 0, 0, '', []::VARCHAR[]), (1, 0, 1, 0, '', []), (2, 0, 2, 0, '', []), (3, 0, 3, 0, '', []),
+        (0, 1, 2, 2, 'I', ['user:']), (1, 1, 2, 2, 'I', ['user:']), (2, 1, 3, 2, 'I', ['assistant:']), (3, 1, 2, 2, 'I', ['user:']),
+        (0, 2, 3, 4, 'II', ['user:', 'assistant:']), (1, 2, 3, 4, 'II', ['user:', 'assistant:']),
+        (2, 2, 2, 4, 'II', ['assistant:', 'user:']), (3, 2, 3, 4, 'II', ['user:', 'assistant:'])),
+    moves(q, c, r) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+    edits AS (
+        SELECT conv_id, k, q, q AS r, 3 AS cost, 'D' AS edit, []::VARCHAR[] AS made FROM faulty, range(4) AS s(q)
+        UNION ALL
+        SELECT conv_id, k, q, r, CASE WHEN fault = 't' THEN 1 ELSE 0 END, 'K', [role || ':' || text]
+        FROM faulty JOIN moves USING (c) WHERE fault IN ('', 't')
+        UNION ALL
+        SELECT conv_id, k, q, r, 2 + CASE WHEN fault = 't' THEN 1 ELSE 0 END, 'R',
+               [CASE r WHEN 3 THEN 'assistant:' ELSE 'user:' END || text]
+        FROM faulty, (SELECT q, r FROM moves WHERE c <> 's') WHERE fault IN ('', 't')),
+    steps AS (
+        SELECT conv_id, k, fits.q, e.r, min(row(more + cost, fits.edits || edit, fits.made || e.made)) AS w
+        FROM edits e JOIN fits ON fits.r = e.q GROUP BY conv_id, k, fits.q, e.r),
+    best(conv_id, k, q, w) AS (
+        SELECT conv_id, 0::BIGINT, 0, row(0::INTEGER, '', []::VARCHAR[]) FROM counts
+        UNION ALL
+        SELECT b.conv_id, b.k + 1, s.r,
+               min(row((b.w[1] + s.w[1])::INTEGER, b.w[2] || s.w[2], b.w[3] || s.w[3]))
+        FROM best b JOIN steps s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.k = b.k + 1 AND s.q = b.q
+        GROUP BY b.conv_id, b.k, s.r),
+    goals AS (
+        SELECT b.conv_id, min(row(b.w[1] + more, b.w[2] || fits.edits, b.w[3] || fits.made)) AS w
+        FROM best b JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.n = b.k
+        JOIN fits ON fits.q = b.q AND fits.r IN (0, 3) GROUP BY b.conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+           coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+           coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w[1], 0)::BIGINT AS cost, coalesce(w[2], '') AS audit,
+           sha256(coalesce(array_to_string(w[3], chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN goals g ON g.conv_id IS NOT DISTINCT FROM o.conv_id
+    """
+
+
+CATALOG.add("op13_conversation_repair", op13_conversation_repair, _repair_sql())
