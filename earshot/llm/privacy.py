@@ -9,8 +9,8 @@ information content that their pointwise mutual information makes up::
 with n the numbers of documents that hold the term, the entity, or the entity with the term within ``reach``
 words of it, and N that of all documents: 1 means that whoever reads the term knows the entity.  Near an entity,
 a term that discloses more than ``threshold`` of it is generalised, if its general form (digits as 0, else its
-first characters) discloses no more than that, and removed otherwise.  A pair has to occur in at least
-``min_contexts`` different surroundings, so that copies of one text do not make all its words revealing.
+first characters) discloses no more than that, and removed otherwise.  A rare name beside an address is what must
+not stay, so one text is evidence enough; ``min_texts`` asks for more different texts that hold a pair.
 
 Terms are words of ASCII letters and digits and of anything beyond ASCII, A-Z in lower case.
 
@@ -127,23 +127,18 @@ class Terms(dict):
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
-_NEAR = [("entity", pa.int64()), ("term", pa.int64()), ("general", pa.int64()), ("around", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]
-_FOUND = pa.schema(
-    [("row", pa.int64()), ("base", pa.list_(_SPAN)), ("entities", pa.list_(pa.int64())), ("near", pa.list_(pa.struct(_NEAR)))]
-)
+_NEAR = [("entity", pa.int64()), ("term", pa.int64()), ("general", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]
+_FOUND = [("base", pa.list_(_SPAN)), ("entities", pa.list_(pa.int64())), ("near", pa.list_(pa.struct(_NEAR)))]
 _FOUND_SQL = (
-    "row bigint, base array<struct<start:int,end:int,kind:string>>, entities array<bigint>, "
-    "near array<struct<entity:bigint,term:bigint,general:bigint,around:bigint,start:int,end:int>>"
+    "base array<struct<start:int,end:int,kind:string>>, entities array<bigint>, "
+    "near array<struct<entity:bigint,term:bigint,general:bigint,start:int,end:int>>"
 )
 #: Surroundings that one row holds; a text with more has further rows, whose ``base`` is null.
 _MOST_NEAR = 4096
 
 
 def surroundings(text: str, spans: list[Span], reach: int, terms: Terms) -> Iterator[tuple]:
-    """``(entity, term, general, around, start, end)`` of the words near each base span.
-
-    ``around`` is a hash of all words near the entity in this text, in order of their places.
-    """
+    """``(entity, term, general, start, end)`` of the words near each base span, each once for an entity."""
     taken = sorted((s, e) for s, e, _, _ in spans)
     words, i, furthest = [], 0, 0
     for m in _WORD.finditer(text):
@@ -159,10 +154,8 @@ def surroundings(text: str, spans: list[Span], reach: int, terms: Terms) -> Iter
             [*range(max(0, a - reach), a), *range(b, min(len(words), b + reach))]
         )
     for entity, places in near.items():
-        own = sorted(places)
-        around = term_hash(b"".join(words[p][2].to_bytes(8, "little", signed=True) for p in own))
-        for p in own:
-            yield entity, words[p][2], words[p][3], around, words[p][0], words[p][1]
+        for p in sorted(places):
+            yield entity, words[p][2], words[p][3], words[p][0], words[p][1]
 
 
 def _scan(reach: int):
@@ -172,7 +165,7 @@ def _scan(reach: int):
             for part in slices(batch):
                 out: list[tuple] = []
                 held = 0
-                for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for i, text in enumerate(part.column(0).to_pylist()):
                     spans = base_spans(text or "")
                     base = [{"start": s, "end": e, "kind": k} for s, e, k, _ in spans]
                     entities = sorted({term_hash(encoded(f"{k}:{v}")) for _, _, k, v in spans})
@@ -180,22 +173,25 @@ def _scan(reach: int):
                     for x in surroundings(text, spans, reach, terms) if spans else ():
                         near.append(dict(zip([n for n, _ in _NEAR], x)))
                         if len(near) == _MOST_NEAR:
-                            out.append((row, base, entities, near))
+                            out.append((i, base, entities, near))
                             base, entities, near = None, [], []
                             held += 1
                             if held == 16:
-                                yield _rows(out)
+                                yield _rows(part, out)
                                 out, held = [], 0
                     if near or base is not None:
-                        out.append((row, base, entities, near))
-                yield _rows(out)
+                        out.append((i, base, entities, near))
+                yield _rows(part, out)
 
     return scan
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*out) if out else [()] * len(_FOUND)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND.types)], schema=_FOUND)
+def _rows(part: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+    """What was found, each with the columns of its row beside the text."""
+    at, *columns = zip(*out) if out else [()] * (1 + len(_FOUND))
+    rest = [c.take(pa.array(at, pa.int64())) for c in part.columns[1:]]
+    found = [pa.array(c, t) for c, (_, t) in zip(columns, _FOUND)]
+    return pa.RecordBatch.from_arrays([*rest, *found], [*part.schema.names[1:], *(n for n, _ in _FOUND)])
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,53 +215,58 @@ def find_personal_data(
     text_col: str = "text",
     reach: int = 8,
     threshold: float = 0.9,
-    min_contexts: int = 2,
+    min_texts: int = 1,
     salts: int = 16,
 ) -> DataFrame:
     """``(doc_id, base, added)`` per document: spans ``(start, end, kind)`` in code points, by kind and start.
 
     ``base`` holds the kinds of ``BASE_KINDS``, ``added`` terms to be generalised (``general``) or ``removed``.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
-    found, seen = cut_measured(
-        rows.select("row", "text").mapInArrow(_scan(reach), _FOUND_SQL), "personal", n=F.count("base")
+    ident = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    text = F.col(text_col)
+    rows = docs.select(
+        text.alias("text"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("mark"), F.col(id_col).alias("doc_id")
     )
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    flagged = _revealing(docs.select(F.col(text_col).alias("text")), found, near, seen["n"], threshold, min_contexts)
-    # A pair that a third of all texts hold is dealt over the salts; there are few revealing pairs beside the words.
-    flagged = flagged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hit = near.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(salts)).cast("int")).join(flagged, ["entity", "term", "salt"])
+    scanned = rows.mapInArrow(_scan(reach), f"row bigint, mark bigint, doc_id {ident}, {_FOUND_SQL}")
+    found, seen = cut_measured(scanned, "personal", n=F.count("base"))
+    near = found.select("row", "mark", F.explode("near").alias("x")).select("row", "mark", "x.*")
+    flagged = _revealing(docs.select(F.col(text_col).alias("text")), found, near, seen["n"], threshold, min_texts, salts)
+    hit = _spread(near, flagged, ["entity", "term"], ["row", "start"], salts)
     # Near two entities, a word is removed if either of them asks for that.
     spans = hit.groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
     order = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
     added = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     back = F.transform("added", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    base = found.filter(F.col("base").isNotNull()).select("row", "base")
-    return (
-        rows.select("row", "doc_id").join(base.join(added, "row", "left"), "row").select("doc_id", "base", F.coalesce(back, none).alias("added"))
-    )
+    base = found.filter(F.col("base").isNotNull()).select("row", "doc_id", "base")
+    return base.join(added, "row", "left").select("doc_id", "base", F.coalesce(back, none).alias("added"))
+
+
+def _spread(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], salts: int) -> DataFrame:
+    """The join of rows with a table that has each key once; a key that very many rows share is dealt by ``by``."""
+    every = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).join(every, [*keys, "salt"]).drop("salt")
 
 
 def _revealing(
-    texts: DataFrame, found: DataFrame, near: DataFrame, n_docs: int, threshold: float, min_contexts: int
+    texts: DataFrame, found: DataFrame, near: DataFrame, n_docs: int, threshold: float, min_texts: int, salts: int
 ) -> DataFrame:
     """``(entity, term, kind)`` of the terms that disclose too much of an entity near them."""
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = near.select("row", "entity", "around", F.col("term").alias("form"), F.lit(False).alias("is_general"))
-    forms = near.filter("general <> 0").select("row", "entity", "around", F.col("general").alias("form"), F.lit(True).alias("is_general"))
-    # A text counts once for a pair; counted per surroundings first, copies shrink before they are shuffled.
-    per_text = words.unionAll(forms).distinct()
-    pairs = per_text.groupBy("entity", "form", "is_general", "around").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "form", "is_general").agg(F.sum("n").alias("n_pair"), F.count("*").alias("contexts"))
-    pairs = cut(pairs.filter(F.col("contexts") >= min_contexts), "pairs")
+    words = near.select("row", "mark", "entity", F.col("term").alias("form"), F.lit(False).alias("is_general"))
+    forms = near.filter("general <> 0").select("row", "mark", "entity", F.col("general").alias("form"), F.lit(True).alias("is_general"))
+    # A row counts once for a pair; counted per text first, copies shrink before they are shuffled.
+    per_row = words.unionAll(forms).distinct()
+    pairs = per_row.groupBy("entity", "form", "is_general", "mark").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("entity", "form", "is_general").agg(F.sum("n").alias("n_pair"), F.count("*").alias("texts"))
+    pairs = cut(pairs.filter(F.col("texts") >= min_texts), "pairs")
     wanted = pairs.select(F.col("form").alias("term")).distinct()
     counts = texts.mapInArrow(_count_terms, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_form"))
     counts = counts.join(wanted, "term").withColumnRenamed("term", "form")
     content = F.log(F.lit(float(max(1, n_docs))) / F.col("n_entity"))
     share = 1 + F.log(F.col("n_pair") / F.col("n_form")) / content
     judged = cut(
-        pairs.join(counts, "form").join(entities, "entity").select(
+        _spread(_spread(pairs, counts, ["form"], ["entity"], salts), entities, ["entity"], ["form"], salts).select(
             "entity", "form", "is_general", F.when(content > 0, share).otherwise(0.0).alias("share")
         ),
         "judged",
