@@ -15,7 +15,6 @@ nothing could be learned; equal code lengths go to the first language by code po
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,6 @@ from earshot.llm.common import different, encoded, hash_limit, slices
 
 ORDER = 4
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 #: Bytes worked on at once.
@@ -50,6 +48,11 @@ def grams(data: np.ndarray, a: int, b: int) -> np.ndarray:
     return out
 
 
+def _has_letter(text: str) -> bool:
+    """Whether there is a character of category L; fractions, raised digits and Roman numerals are none."""
+    return any(map(str.isalpha, text))
+
+
 class ContextTree:
     """Followers of all contexts of one language, as sorted arrays per order."""
 
@@ -135,7 +138,7 @@ class PpmModel:
 
     def predict(self, text_list: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(text_list), np.zeros(len(text_list))
-        asked = [i for i, t in enumerate(text_list) if t and _LETTER.search(t)] if self.trees else []
+        asked = [i for i, t in enumerate(text_list) if t and _has_letter(t)] if self.trees else []
         if asked:
             bits = self.lengths([text_list[i] for i in asked])
             best = bits.argmin(axis=1)

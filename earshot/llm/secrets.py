@@ -4,6 +4,8 @@ A scan finds candidates in every text.  Their hashes are then counted over the w
 repositories and owners: a value that several owners hold is a widely copied example, one that a single
 owner holds in few repositories looks live.  Base candidates are always reported; added ones only if live.
 
+Patterns take time linear in the text, however long.
+
 Defined results: a null text is empty; a null owner or repository counts as one value of its own; rows
 that repeat are reported each, and count once for ownership.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from earshot.llm.common import slices
 from earshot.sources.shared import cut
 
 # Fixed values of the base scan: kinds in order, patterns and least lengths.
@@ -35,7 +39,7 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 ADDED = (
     ("forge", "gh", re.compile("gh[oprsu]_[A-Za-z0-9]{36,}")),
     ("chat", "xox", re.compile("xox[abprs]-[A-Za-z0-9-]{10,}")),
-    ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("pem", "-----BEGIN", re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s]+")),
     ("opaque", "", re.compile("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}")),
 )
@@ -59,21 +63,36 @@ def base_spans(text: str) -> list[Span]:
 
 
 def added_spans(text: str, base: Sequence[Span]) -> list[Span]:
-    """Candidates of the further kinds that overlap no base span nor each other."""
-    taken = [(s, e) for s, e, _, _ in base]
+    """Candidates of the further kinds that overlap no base span nor one of a kind before theirs."""
+    taken = _merged([(s, e) for s, e, _, _ in base])
     out: list[Span] = []
     for kind, must, pattern in ADDED:
         if must not in text:
             continue
+        starts = [s for s, _ in taken]
+        new: list[Span] = []
         for m in pattern.finditer(text):
             s, e = m.span()
-            if any(s < b and a < e for a, b in taken) or kind == "opaque" and not _opaque(m[0]):
-                continue
-            taken.append((s, e))
-            out.append((s, e, kind, m[0]))
+            # Taken places do not overlap, so the last that begins before the end reaches furthest.
+            before = bisect_left(starts, e) - 1
+            if (before < 0 or taken[before][1] <= s) and (kind != "opaque" or _opaque(m[0])):
+                new.append((s, e, kind, m[0]))
+        taken = _merged(taken + [(s, e) for s, e, _, _ in new])
+        out += new
     return sorted(out, key=_place)
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places of all spans, in order and without overlaps."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
 def _place(span: Span) -> tuple[int, int]:
     return span[0], KINDS.index(span[2])
 
@@ -93,7 +112,7 @@ _SPAN_TYPE = pa.list_(
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         found: tuple[list, list] = [], []
         for text in batch.column(0).to_pylist():
             base = base_spans(text or "")

@@ -124,10 +124,14 @@ def id_type(tokenizer_path: str) -> str:
     return "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, *, sample_rows: int, dictionary_bytes: int) -> bytes:
-    """A dictionary trained on the id arrays of at most ``sample_rows`` documents, chosen by a hash.
-
-    Empty if the sample is too small to train on; frames are then written without a dictionary.
+def train_dictionary(
+    docs: DataFrame, tokenizer_path: str, *, sample_rows: int, sample_bytes: int, dictionary_bytes: int
+) -> bytes:
+    """A dictionary trained on the id arrays of documents chosen by a hash.
+
+    Of the ``sample_rows`` smallest hashes those are taken, in order, whose texts fit into ``sample_bytes``.  The
+    choice moves hashes and sizes only; the texts chosen by it are encoded where they are read.  Empty if the
+    sample is too small to train on; frames are then written without a dictionary.
     """
     dtype = id_type(tokenizer_path)
 
@@ -138,8 +142,16 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, *, sample_rows: int,
                 found = encode([t or "" for t in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_pydict({"ids": pa.array(found, pa.binary())})
 
-    chosen = docs.select("text", "_mark").orderBy("_mark").limit(sample_rows)
-    rows = [bytes(r["ids"]) for r in chosen.select("text").mapInArrow(serialize, "ids binary").collect() if r["ids"]]
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    marks, left = [], sample_bytes
+    for row in docs.select("_mark", size).orderBy("_mark").limit(sample_rows).collect():
+        if row["size"] <= left:
+            marks.append((row["_mark"],))
+            left -= row["size"]
+    wanted = docs.sparkSession.createDataFrame(sorted(set(marks)), "_mark bigint")
+    chosen = docs.select("_mark", "text").join(F.broadcast(wanted), "_mark", "left_semi").select("text")
+    # Copies have one hash: ``limit`` keeps a text with very many from filling the sample.
+    rows = [bytes(r["ids"]) for r in chosen.mapInArrow(serialize, "ids binary").limit(len(marks)).collect() if r["ids"]]
     if len(rows) < 16 or sum(map(len, rows)) < 8 * dictionary_bytes // 4:
         return b""
     try:
@@ -157,14 +169,17 @@ def write_tokens(
     text_col: str = "text",
     end_id: int | None = END_ID,
     sample_rows: int = 1000,
+    sample_bytes: int = 16 << 20,
     dictionary_bytes: int = 64 << 10,
-    level: int = 1,
+    level: int = 3,
 ) -> str:
     """Encode ``docs`` into ``path`` and return it.  A null text is empty."""
     spark = docs.sparkSession
     x, text = F.col(id_col), F.col(text_col)
     rows = docs.select(x.cast("bigint").alias("id"), text.alias("text"), F.xxhash64(text, x).alias("_mark"))
-    dictionary = train_dictionary(rows, tokenizer_path, sample_rows=sample_rows, dictionary_bytes=dictionary_bytes)
+    dictionary = train_dictionary(
+        rows, tokenizer_path, sample_rows=sample_rows, sample_bytes=sample_bytes, dictionary_bytes=dictionary_bytes
+    )
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(
         f"{path}/dictionary"

@@ -13,8 +13,9 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from earshot.llm import merkle, privacy, repair
+from earshot.llm import language, merkle, privacy, repair, secrets, tokens
 from earshot.llm.numbering import numbered
+from earshot.llm.queries import tokenizer_path
 
 random.seed(11)
 
@@ -365,3 +366,52 @@ def test_the_goal_is_the_first_that_is_popped():
     assert weight == min(every[q] for q in repair.ENDS if q in every) and state in repair.ENDS
 
 
+
+
+# Long texts and letters
+
+
+@pytest.mark.parametrize("piece", ["eyJa", "eyJ", "ghp_", "xoxb-", "-----BEGIN ", "token=", "AKIA", "a9B", "secret  "])
+def test_secret_scans_of_very_long_texts(piece):
+    text = piece * (5_000_000 // len(piece))
+    begin = time.time()
+    secrets.added_spans(text, secrets.base_spans(text))
+    assert time.time() - begin < 25
+
+
+def test_secret_spans_of_many_tokens():
+    token = "Ab3dEf6hIj9lMn2pQr5tUv8x"
+    text = " ".join(f"{token}{i:06d}" for i in range(100_000))
+    begin = time.time()
+    found = secrets.added_spans(text, [(0, 30, "assign", ""), (20, 40, "hex", "")])
+    assert time.time() - begin < 25
+    assert len(found) == 99_998 and found[0][0] == 62
+
+
+def test_added_secrets_overlap_nothing():
+    for _ in range(300):
+        pieces = ["eyJ" + "Ab3dEf6hIj9l" * 2 + ".Ab3dEf6hIj9l.Ab3dEf6hIj9l", "ghp_" + "A1b" * 13, "token=abcd1234efgh", "xoxb-1234567890", "word", "Ab3" * 9 + "dEf6hIj9lMn2"]
+        text = random.choice(["", " ", "="]).join(random.choice(pieces) for _ in range(6))
+        base = secrets.base_spans(text)
+        added = secrets.added_spans(text, base)
+        for s, e, _, _ in added:
+            assert not any(s < b and a < e for a, b, _, _ in base)
+        assert all(a[1] <= b[0] for a, b in zip(added, added[1:]))
+
+
+def test_texts_without_letters_have_no_language(spark):
+    rows = [(i, "the cat sat on the mat", "en", "s") for i in range(5)] + [(9, "le chat est sur la table", "fr", "s")]
+    model = language.fit_ppm(brute.frame(spark, rows), F.lit(True))
+    asked = ["½ ² ① Ⅷ", "½", "²", "①", "Ⅷ", "123 _ .", "é", "漢", "a"]
+    names, scores = model.predict(asked)
+    assert names[:6] == ["und"] * 6 and not scores[:6].any()
+    assert "und" not in names[6:]
+
+
+def test_the_dictionary_sample_is_bounded(spark):
+    rows = [(i, f"text number {i} " + "with some words in it " * (1 + i % 7), "en", "s") for i in range(400)]
+    rows += [(1000 + i, "x " * 300_000, "en", "s") for i in range(3)] + [(5, "copy " * 40, "en", "s")] * 300
+    docs = brute.frame(spark, rows).select("text", F.xxhash64("text").alias("_mark"))
+    path = tokenizer_path()
+    kinds = [tokens.train_dictionary(docs, path, sample_rows=n, sample_bytes=b, dictionary_bytes=1024) for n, b in ((1000, 1 << 20), (8, 1 << 20), (1000, 10))]
+    assert kinds[0] and not kinds[1] and not kinds[2]
