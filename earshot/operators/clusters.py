@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.operators import dedup, rank, vectors as vec
+from earshot.operators import dedup, hierarchy, rank, vectors as vec
+from earshot.operators.boxes import compared
 from earshot.operators.graph import connected_components
 from earshot.sources.shared import cut, cut_measured
 
@@ -47,7 +47,7 @@ def density_clusters(
     points = cut(_blocked(_points(rows, eps, min_samples, grid_dims), block_points, grid_dims), "points")
     pairs = cut(block_pairs(points, eps, grid_dims), "block-pairs")
 
-    near = _compared(points, pairs, _count_neighbours(eps), "p bigint, w bigint")
+    near = compared(points, pairs, _count_neighbours(eps), "p bigint, w bigint")
     around = near.groupBy("p").agg(F.sum("w").alias("around"))
     core = cut(
         points.join(around, "p", "left").filter(
@@ -55,7 +55,7 @@ def density_clusters(
         ).drop("around"),
         "core",
     )
-    edges = _compared(core, pairs, _spanning_links(eps), "a bigint, b bigint")
+    edges = compared(core, pairs, _spanning_links(eps), "a bigint, b bigint")
     nodes = core.groupBy("node").agg(F.max("cell").alias("cell"), F.sum("weight").alias("weight"))
     # Core points of one sparse fine cell are neighbours too (at most min_samples - 1 of them).
     first = nodes.groupBy("cell").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
@@ -145,31 +145,6 @@ def block_pairs(points: DataFrame, eps: float, grid_dims: int) -> DataFrame:
     )
 
 
-def _compared(points: DataFrame, pairs: DataFrame, kernel, schema: str) -> DataFrame:
-    """``kernel`` on the points of every pair of blocks, one pair at a time."""
-    slim = points.select("block", "p", "v", "weight", "cell", "node")
-    keyed = pairs.select("left", "right", F.explode(F.when(F.col("left") == F.col("right"), F.array(F.lit(0))).otherwise(
-        F.array(F.lit(0), F.lit(1)))).alias("side"))
-    members = keyed.withColumn("block", F.when(F.col("side") == 0, F.col("left")).otherwise(F.col("right"))).join(slim, "block")
-    placed = members.select("left", "right", "side", "p", "v", "weight", "cell", "node").repartition("left", "right")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for frame in frames:
-            while len(frame):
-                same = (frame["left"] == frame["left"].iloc[0]) & (frame["right"] == frame["right"].iloc[0])
-                n = len(frame) if same.all() else int((~same).to_numpy().argmax())
-                part, frame = frame.iloc[:n], frame.iloc[n:]
-                if held and (held[0]["left"].iloc[0], held[0]["right"].iloc[0]) != (part["left"].iloc[0], part["right"].iloc[0]):
-                    yield kernel(pd.concat(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield kernel(pd.concat(held))
-
-    return placed.sortWithinPartitions("left", "right", "side", "p").mapInPandas(run, schema)
-
-
 def _neighbours(pair: pd.DataFrame, eps: float):
     """The two sides of a pair of blocks, and which of their points are near but in another fine cell."""
     a = pair[pair["side"] == 0]
@@ -324,7 +299,7 @@ def cluster_table(
     id_col: str = "row_id",
     vec_col: str = "embedding",
     n_components: int = 10,
-    eps: float,
+    eps: float | None = None,
     min_samples: int = 3,
     min_cluster_size: int = 10,
     min_sim: float = 0.0,
@@ -332,13 +307,14 @@ def cluster_table(
 ) -> DataFrame:
     """One row per vector: cluster, soft cluster, parents, duplicate group and 2-d position.
 
-    ``eps`` is a distance between projected vectors.  Duplicate groups, projection, density clusters, soft assignment and parent themes, all joined on the
-    row id.
+    Duplicate groups, projection, density clusters, soft assignment and parent themes, all joined on the row id.
+    Clusters are hierarchical; ``eps``, a distance between projected vectors, asks for those of one level instead.
     """
     ids = vectors.select(F.col(id_col).alias("row_id"), F.col(vec_col).alias("embedding"))
     groups = dedup.assign_duplicate_groups(texts, text_col=text_col, id_col=id_col)
     reduced = cut(vec.project(ids, dims=n_components), "reduced")
-    labels = density_clusters(reduced, eps=eps, min_samples=min_samples, min_cluster_size=min_cluster_size)
+    sizes = dict(min_samples=min_samples, min_cluster_size=min_cluster_size)
+    labels = hierarchy.density_clusters_auto(reduced, **sizes) if eps is None else density_clusters(reduced, eps=eps, **sizes)
     labelled = cut(ids.join(labels, "row_id"), "labelled")
     centroids = cut(vec.cluster_centroids(labelled), "centroids")
     soft = vec.soft_assign(labelled, min_sim=min_sim, centroids=centroids)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import text as tx
 from earshot.functions import vectors as vx
-from earshot.operators import clusters, dedup, profile, rank, vectors
+from earshot.operators import clusters, dedup, hierarchy, profile, rank, vectors
 from earshot.plans import fixtures as fx
 from earshot.plans.catalog_text import SQL_CLEAN, SQL_COLLAPSE, fill, sql_clip
 from earshot.plans.registry import Catalog
@@ -238,8 +238,6 @@ CATALOG.add(
 # --------------------------------------------------------------------------- clusters
 
 EPS, MIN_SAMPLES, MIN_SIZE = 1.15, 3, 5
-# A distance between vectors of ten projected coordinates.
-TABLE_EPS = 0.25
 CATALOG.add(
     "density_clusters",
     lambda spark, sf_dir: clusters.density_clusters(
@@ -257,6 +255,70 @@ CATALOG.add(
     SELECT v.row_id, CAST(coalesce(big.cluster_id, -1) AS INTEGER) AS cluster_id FROM vectors v
       LEFT JOIN named n ON n.node = v.row_id LEFT JOIN big ON big.component = n.component""",
 )
+AUTO_SAMPLES, AUTO_SIZE = 3, 5
+CATALOG.add(
+    "density_clusters_auto",
+    lambda spark, sf_dir: hierarchy.density_clusters_auto(
+        fx.vectors(spark, sf_dir), min_samples=AUTO_SAMPLES, min_cluster_size=AUTO_SIZE, vec_col="embedding"
+    ),
+    # One point after the other joins the spanning tree, one link after the other the hierarchy.
+    f"""WITH RECURSIVE {V}, pts AS MATERIALIZED (SELECT min(row_id) AS p, v, count(*) AS weight FROM vectors GROUP BY v),
+      far AS MATERIALIZED (SELECT a.p AS a, b.p AS b, a.weight - 1 AS own, b.weight AS w, round(list_distance(a.v, b.v), 12) AS d
+        FROM pts a JOIN pts b ON a.p <> b.p),
+      reached AS (SELECT a, d, own + sum(w) OVER (PARTITION BY a ORDER BY d, b) AS n, own FROM far),
+      core AS MATERIALIZED (SELECT a AS p, CASE WHEN max(own) >= {AUTO_SAMPLES} THEN 0.0
+        ELSE coalesce(min(d) FILTER (n >= {AUTO_SAMPLES}), max(d)) END AS core FROM reached GROUP BY a),
+      mutual AS MATERIALIZED (SELECT a, b, greatest(d, x.core, y.core) AS m, least(a, b) AS lo, greatest(a, b) AS hi
+        FROM far JOIN core x ON x.p = a JOIN core y ON y.p = b),
+      prim AS (
+        SELECT 0 AS step, p, p = (SELECT min(p) FROM pts) AS done, m, lo, hi
+        FROM pts LEFT JOIN mutual ON b = p AND a = (SELECT min(p) FROM pts)
+        UNION ALL
+        SELECT step + 1, r.p, r.done OR r.p = k.p,
+          CASE WHEN (e.m, e.lo, e.hi) < (r.m, r.lo, r.hi) THEN e.m ELSE r.m END,
+          CASE WHEN (e.m, e.lo, e.hi) < (r.m, r.lo, r.hi) THEN e.lo ELSE r.lo END,
+          CASE WHEN (e.m, e.lo, e.hi) < (r.m, r.lo, r.hi) THEN e.hi ELSE r.hi END
+        FROM prim r CROSS JOIN (SELECT p FROM prim WHERE NOT done ORDER BY m, lo, hi LIMIT 1) k
+        LEFT JOIN mutual e ON e.a = k.p AND e.b = r.p),
+      links AS (SELECT step, min(row(m, lo, hi)) AS x FROM prim WHERE NOT done GROUP BY step),
+      ranked AS MATERIALIZED (SELECT row_number() OVER (ORDER BY x) AS r, x[1] AS m, x[2] AS lo, x[3] AS hi FROM links),
+      grow AS (
+        SELECT 0::BIGINT AS r, p, p AS comp, weight::HUGEINT AS n,
+          CASE WHEN weight >= {AUTO_SIZE} THEN -p END AS cl, CASE WHEN weight >= {AUTO_SIZE} THEN -p END AS own FROM pts
+        UNION ALL
+        SELECT j.r, g.p, CASE WHEN g.comp = j.cb THEN j.ca ELSE g.comp END,
+          CASE WHEN g.comp IN (j.ca, j.cb) THEN j.n ELSE g.n END, CASE WHEN g.comp IN (j.ca, j.cb) THEN j.cl ELSE g.cl END,
+          coalesce(g.own, CASE WHEN g.comp IN (j.ca, j.cb) THEN j.cl END)
+        FROM grow g, (SELECT e.r, a.comp AS ca, b.comp AS cb, a.n + b.n AS n,
+            CASE WHEN a.n >= {AUTO_SIZE} AND b.n >= {AUTO_SIZE} THEN e.r WHEN a.n >= {AUTO_SIZE} THEN a.cl
+              WHEN b.n >= {AUTO_SIZE} THEN b.cl WHEN a.n + b.n >= {AUTO_SIZE} THEN e.r END AS cl
+          FROM ranked e JOIN grow a ON a.p = e.lo AND a.r = e.r - 1 JOIN grow b ON b.p = e.hi) j),
+      joined AS MATERIALIZED (SELECT e.r, 1.0 / greatest(e.m, 1e-12) AS density, a.n AS na, b.n AS nb, a.cl AS cla, b.cl AS clb, c.cl
+        FROM ranked e JOIN grow a ON a.r = e.r - 1 AND a.p = e.lo JOIN grow b ON b.r = e.r - 1 AND b.p = e.hi
+        JOIN grow c ON c.r = e.r AND c.p = e.lo),
+      mass AS (SELECT cl, sum(mass) AS mass FROM (
+        SELECT cl, CASE WHEN cl = r THEN na + nb WHEN na >= {AUTO_SIZE} THEN nb ELSE na END * density AS mass
+          FROM joined WHERE cl IS NOT NULL
+        UNION ALL SELECT -p, weight / greatest(core, 1e-12) FROM pts JOIN core USING (p) WHERE weight >= {AUTO_SIZE}) GROUP BY cl),
+      born AS (SELECT cla AS cl, r AS parent, na * density AS less FROM joined WHERE na >= {AUTO_SIZE} AND nb >= {AUTO_SIZE}
+        UNION ALL SELECT clb, r, nb * density FROM joined WHERE na >= {AUTO_SIZE} AND nb >= {AUTO_SIZE}),
+      tree AS MATERIALIZED (SELECT row_number() OVER (ORDER BY cl) AS k, cl, parent, mass - less AS s FROM mass LEFT JOIN born USING (cl)),
+      settled AS (
+        SELECT 0::BIGINT AS k, k AS own, cl, parent, s, NULL::DOUBLE AS best, false AS wins FROM tree
+        UNION ALL
+        SELECT t.k + 1, own, t.cl, t.parent, t.s,
+          CASE WHEN own = t.k + 1 THEN CASE WHEN s >= coalesce(below, 0) THEN s ELSE coalesce(below, 0) END ELSE best END,
+          CASE WHEN own = t.k + 1 THEN coalesce(s >= coalesce(below, 0), false) ELSE wins END
+        FROM settled t LEFT JOIN (SELECT parent AS cl, sum(best) AS below FROM settled GROUP BY parent) c ON c.cl = t.cl
+        WHERE t.k < (SELECT max(k) FROM tree)),
+      last AS MATERIALIZED (SELECT cl, parent, wins FROM settled WHERE k = (SELECT max(k) FROM tree)),
+      path AS (SELECT cl, cl AS up FROM last UNION ALL SELECT path.cl, parent FROM path JOIN last ON last.cl = up WHERE parent IS NOT NULL),
+      top AS (SELECT path.cl, max(up) AS top FROM path JOIN last ON last.cl = up WHERE wins GROUP BY path.cl),
+      members AS (SELECT g.p, top FROM grow g JOIN top ON top.cl = g.own WHERE g.r = (SELECT max(r) FROM ranked)),
+      named AS (SELECT top, row_number() OVER (ORDER BY min(p)) - 1 AS cluster_id FROM members GROUP BY top)
+    SELECT v.row_id, CAST(coalesce(named.cluster_id, -1) AS INTEGER) AS cluster_id FROM vectors v JOIN pts USING (v)
+      LEFT JOIN members m ON m.p = pts.p LEFT JOIN named USING (top)""",
+)
 N_PARENTS = 4
 
 
@@ -301,7 +363,7 @@ CATALOG.add(
 
 def cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = fx.vectors(spark, sf_dir)
-    return r(clusters.cluster_table(_comments(spark, sf_dir), v, eps=TABLE_EPS, min_cluster_size=5, n_parents=N_PARENTS))
+    return r(clusters.cluster_table(_comments(spark, sf_dir), v, min_cluster_size=5, n_parents=N_PARENTS))
 
 
 CATALOG.add("cluster_table", cluster_table)
