@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import text as tx
 from earshot.operators.graph import connected_components
-from earshot.sources.shared import cut
+from earshot.sources.shared import cut, cut_measured
 
 THRESHOLD = 0.85
 NGRAM = 5
@@ -230,9 +231,17 @@ def _common(n: int):
 
     @F.pandas_udf("int")
     def common(a: pd.Series, b: pd.Series) -> pd.Series:
-        sizes = [
-            np.intersect1d(_gram_hashes(x, n), _gram_hashes(y, n), assume_unique=True).size for x, y in zip(a, b)
-        ]
+        # One text is often compared with many: it is hashed once then.
+        known: dict[str, np.ndarray] = {}
+
+        def grams(text: str) -> np.ndarray:
+            if text not in known:
+                if len(known) >= 64:
+                    known.clear()
+                known[text] = _gram_hashes(text, n)
+            return known[text]
+
+        sizes = [np.intersect1d(grams(x), grams(y), assume_unique=True).size for x, y in zip(a, b)]
         return pd.Series(sizes, dtype="int32")
 
     return common
@@ -259,5 +268,214 @@ def duplicate_groups(copies: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+# --------------------------------------------------------------------------- without all pairs
+
+
+@dataclass
+class Linked:
+    """Exact copies, texts with their signatures, members of shared buckets, and the groups ``(node, component)``."""
+
+    copies: DataFrame
+    docs: DataFrame
+    members: DataFrame
+    groups: DataFrame
+    threshold: float
+    n: int
+    hashes: int
+    block: int
+
+
+def linked_texts(
+    df: DataFrame,
+    *,
+    text_col: str = "text_clean",
+    id_col: str = "row_id",
+    threshold: float = THRESHOLD,
+    n: int = NGRAM,
+    hashes: int = CANDIDATE_HASHES,
+    seed: int = SEED,
+    band_rows: int = BAND_ROWS,
+    block: int = BLOCK,
+    pivots: int = 3,
+) -> Linked:
+    """Groups of near-duplicates without the pairs inside them.
+
+    Every text is verified against a few pivots of its buckets first; n near copies of one text are a group after
+    that, with at most ``pivots`` comparisons each.  What then shares a bucket but is in different groups is compared in full, in
+    blocks, and what is found joins the groups.  So two texts that share a bucket are linked by a path if they are
+    similar, as they are when all pairs are verified; misses are those of ``near_duplicate_edges``.
+    """
+    _, docs, copies = _signed(df, text_col, id_col, n, hashes, seed, band_rows)
+    each = docs.select("id", F.posexplode("bands").alias("band", "key"))
+    shared = each.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1").select("band", "key")
+    members = cut(each.join(shared, ["band", "key"]), "members")
+    alone = members.select(F.col("id").alias("node")).distinct().withColumn("component", F.col("node"))
+    out = Linked(copies, docs, members, alone, threshold, n, hashes, block)
+    pairs = cut(_stars(out, pivots), "stars")
+    links, seen = cut_measured(_verified(_alike(pairs, out), docs, threshold, n), "links", n=F.count(F.lit(1)))
+    if seen["n"]:
+        out.groups = _regrouped(alone, links)
+    rest = _verified(_between_groups(out), docs, threshold, n)
+    rest, seen = cut_measured(rest, "links", n=F.count(F.lit(1)))
+    if seen["n"]:
+        out.groups = _regrouped(alone, links.unionAll(rest))
+    return out
+
+
+def _regrouped(alone: DataFrame, links: DataFrame) -> DataFrame:
+    comps = connected_components(links, src="a", dst="b").withColumnRenamed("component", "found")
+    return cut(alone.join(comps, "node", "left").select("node", F.coalesce("found", "component").alias("component")), "groups")
+
+
+def _grouped_members(linked: Linked) -> DataFrame:
+    return linked.members.join(linked.groups.withColumnRenamed("node", "id"), "id")
+
+
+def _stars(linked: Linked, pivots: int) -> DataFrame:
+    """Up to ``pivots`` pairs for every text: with the first pivots of its buckets.
+
+    Pivots are first by a hash of their ids that is the same in every ``pivots``-th band, so near copies have the same
+    few in all of their buckets.
+    """
+    kind = F.pmod("band", F.lit(pivots)).alias("kind")
+    rows = linked.members.select("band", "key", "id", kind)
+    order = F.struct(F.xxhash64("id", "kind").alias("h"), "id")
+    first = rows.groupBy("band", "key").agg(F.min(order).alias("pivot"))
+    best = rows.join(first, ["band", "key"]).groupBy("id", "kind").agg(F.min("pivot").alias("pivot"))
+    return (
+        best.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).filter("a <> b").distinct()
+    )
+
+
+def _least_matches(threshold: float, hashes: int) -> float:
+    """Equal signature values of all but one in ten million pairs at the threshold."""
+    return hashes * max(0.0, threshold - 5.4 * (threshold * (1 - threshold) / hashes) ** 0.5)
+
+
+def _alike(pairs: DataFrame, linked: Linked) -> DataFrame:
+    """The pairs whose sizes and signatures fit the threshold."""
+    least = _least_matches(linked.threshold, linked.hashes)
+
+    @F.pandas_udf("boolean")
+    def matches(x: pd.Series, y: pd.Series) -> pd.Series:
+        one, two = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
+        return pd.Series((one == two).sum(axis=1) >= least) if len(x) else pd.Series([], dtype=bool)
+
+    side = lambda s: linked.docs.select(F.col("id").alias(s), F.col("sig").alias(f"s{s}"), F.col("n_grams").alias(f"n{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_size_fits("na", "nb", linked.threshold))
+    return both.filter(matches("sa", "sb")).select("a", "b")
+
+
+def _between_groups(linked: Linked) -> DataFrame:
+    """All pairs of texts that share a bucket, fit by signature and are in different groups.
+
+    In a bucket only texts outside its largest group are compared with the others, so one that is a single group
+    is not looked at, however many it holds.
+    """
+    rows = _grouped_members(linked)
+    counts = rows.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("band", "key").agg(
+        F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("m"), F.count("*").alias("groups")
+    )
+    mixed = cut(largest.filter("groups > 1").select("band", "key", "m", F.col("most.component").alias("main"), F.col("most.n").alias("inside")), "mixed")
+    placed = rows.join(mixed, ["band", "key"])
+    asking = F.col("component") != F.col("main")
+    return _compared_in_blocks(placed, asking, F.col("m") - F.col("inside"), linked, lambda x, y: x["component"] != y["component"])
+
+
+def _compared_in_blocks(placed: DataFrame, asking: Column, n_asking: Column, linked: Linked, wanted) -> DataFrame:
+    """Pairs of an ``asking`` text and another of its bucket that fit by size and signature, where ``wanted`` holds.
+
+    ``placed`` has bucket, id, component and the bucket's size ``m``.  Cells of two blocks are one task's work at a time.
+    """
+    x_blocks, y_blocks = (F.ceil(c / linked.block).cast("int") for c in (n_asking, F.col("m")))
+    own = lambda blocks: F.pmod(F.xxhash64("id"), blocks).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    keep = ("band", "key", "id", "component")
+    asked = placed.filter(asking).select(*keep, own(x_blocks).alias("x"), every(y_blocks).alias("y"), F.lit(0).alias("side"))
+    others = placed.select(*keep, every(x_blocks).alias("x"), own(y_blocks).alias("y"), F.lit(1).alias("side"))
+    cells = asked.unionByName(others).join(linked.docs.select("id", "n_grams", "sig"), "id")
+    order = ["band", "key", "x", "y"]
+    rows = cells.select(*order, "side", "id", "component", "n_grams", "sig").repartition(*order).sortWithinPartitions(*order, "side", "id")
+    least, threshold, hashes = _least_matches(linked.threshold, linked.hashes), linked.threshold, linked.hashes
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(held: list[tuple]) -> pa.RecordBatch:
+            side, ids, comps, sizes, sigs = zip(*held)
+            split = sum(s == 0 for s in side)
+            ids, comps, sizes = np.array(ids, np.int64), np.array(comps, np.int64), np.array(sizes, np.float64)
+            sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), hashes)
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            second = {"id": ids[split:], "component": comps[split:]}
+            for i in range(split):
+                fits = np.minimum(sizes[split:], sizes[i]) >= threshold * np.maximum(sizes[split:], sizes[i]) - SLACK
+                fits &= wanted({"id": ids[i], "component": comps[i]}, second)
+                at = np.nonzero(fits)[0] + split
+                at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
+                a.append(np.minimum(ids[at], ids[i]))
+                b.append(np.maximum(ids[at], ids[i]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:4] != now:
+                    if held and held[0][0] == 0:
+                        yield compared(held)
+                    now, held = row[:4], []
+                held.append(row[4:])
+        if held and held[0][0] == 0:
+            yield compared(held)
+
+    return cut(rows.mapInArrow(alike, "a bigint, b bigint").distinct(), "pairs")
+
+
+def group_table(linked: Linked) -> DataFrame:
+    """``(row_id, duplicate_group_id)``: transitive groups named by their smallest row; a lone row is its own group."""
+    return linked.copies.join(linked.groups, F.col("first_id") == F.col("node"), "left").select(
+        F.col("id").alias("row_id"), F.coalesce("component", "first_id").alias("duplicate_group_id")
+    )
+
+
+def first_links(linked: Linked, *, pivot_rounds: int = 4) -> DataFrame:
+    """``(a, b, similarity)``: for each text ``b`` that has one, its smallest earlier near-duplicate ``a``.
+
+    A near-duplicate is in the same group.  So the smallest of the group is tried first, for all of them; then, for
+    those it does not resemble, the second, and so on for a few rounds.  Texts still without are compared with the
+    earlier ones of their buckets, in blocks.
+    """
+    groups = linked.groups.join(linked.groups.filter("node <> component").select("component").distinct(), "component", "left_semi")
+    open_, found = groups.filter("node <> component"), None
+    pivots = groups.groupBy("component").agg(F.min("node").alias("pivot"))
+    count = F.count(F.lit(1))
+    for _ in range(pivot_rounds):
+        pivots = cut(pivots, "pivots")
+        asked = cut(open_.join(pivots, "component").filter("node > pivot"), "asked")
+        pairs = asked.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        hits = cut(_verified(_alike(pairs, linked), linked.docs, linked.threshold, linked.n), "first")
+        found = hits if found is None else found.unionAll(hits)
+        open_, seen = cut_measured(asked.join(hits.select(F.col("b").alias("node")), "node", "left_anti").select("node", "component"), "open", n=count)
+        if not seen["n"]:
+            return found
+        after = groups.join(pivots, "component").filter("node > pivot")
+        pivots = after.groupBy("component").agg(F.min("node").alias("pivot"))
+    # All up to the last pivot have been tried.
+    asking = open_.join(pivots, "component").filter("node > pivot").select(F.col("node").alias("id"), "pivot")
+    rows = _grouped_members(linked).join(asking, "id", "left")
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.count("pivot").alias("n_asking")).filter("n_asking > 0")
+    placed = rows.join(cut(sizes, "sizes"), ["band", "key"])
+    earlier = lambda x, y: (y["component"] == x["component"]) & (y["id"] < x["id"])
+    pairs = _compared_in_blocks(placed, F.col("pivot").isNotNull(), F.col("n_asking"), linked, earlier)
+    rest = _verified(pairs, linked.docs, linked.threshold, linked.n)
+    best = rest.groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("x")).select("x.a", "b", "x.similarity")
+    return found.unionAll(cut(best, "first"))
+
+
+def first_near_duplicates(df: DataFrame, **options) -> DataFrame:
+    """``(row_id, first_id, similarity)``: for each row that has one, its smallest earlier near-duplicate."""
+    linked = linked_texts(df, **options)
+    return first_near_duplicate(linked.copies, first_links(linked))
+
+
 def assign_duplicate_groups(df: DataFrame, **options) -> DataFrame:
-    return duplicate_groups(*near_duplicate_edges(df, **options))
+    return group_table(linked_texts(df, **options))

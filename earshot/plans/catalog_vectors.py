@@ -211,7 +211,7 @@ NEAR_SQL = f"""docs AS (SELECT doc_id AS id, {_PREPARED} AS t FROM documents), f
 
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row that has an earlier near-duplicate, with the first of them."""
-    return r(dedup.first_near_duplicate(*dedup.near_duplicate_edges(_comments(spark, sf_dir))))
+    return r(dedup.first_near_duplicates(_comments(spark, sf_dir)))
 
 
 CATALOG.add(

@@ -218,3 +218,32 @@ def test_label_parents(spark):
     named = spark.createDataFrame([(1, "one", 2), (2, "two", 9)], "cluster_id int, label string, size long")
     got = {r.parent_id: tuple(r)[1:] for r in labels.label_parents(c, named).collect()}
     assert got == {0: (3, 2, "two · one"), 1: (1, 0, "(unlabeled)")}
+
+
+@pytest.mark.parametrize("block", [128, 3])
+def test_linking_without_pairs_finds_the_same(spark, block):
+    texts = make_texts()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, text_clean string").repartition(3)
+    linked = dedup.linked_texts(df, block=block)
+    copies, edges = dedup.near_duplicate_edges(df)
+    order = lambda rows: sorted(map(tuple, rows.collect()))
+    assert order(dedup.group_table(linked)) == order(dedup.duplicate_groups(copies, edges))
+    want = order(dedup.first_near_duplicate(copies, edges))
+    for rounds in (1, 4):
+        assert order(dedup.first_near_duplicate(copies, dedup.first_links(linked, pivot_rounds=rounds))) == want
+
+
+def test_a_crowd_of_near_copies_is_not_quadratic(spark, monkeypatch):
+    n = 1500
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    rng = np.random.default_rng(3)
+    base = "".join(letters[i] for i in rng.integers(0, len(letters), 400))
+    rows = [(i, base[: (at := 5 + i * 7 % 390)] + f"{i:05d}" + base[at + 1 :]) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id long, text_clean string").repartition(4)
+    verified = []
+    real = dedup._verified
+    monkeypatch.setattr(dedup, "_verified", lambda pairs, *a: verified.append(pairs.count()) or real(pairs, *a))
+    linked = dedup.linked_texts(df)
+    assert dedup.group_table(linked).filter("duplicate_group_id <> 0").count() == 0
+    assert dedup.first_links(linked).groupBy("a").count().collect()[0]["count"] == n - 1
+    assert sum(verified) < 10 * n
