@@ -102,7 +102,13 @@ def _by_issue(records: DataFrame):
 
 
 def taxonomy_tree(records: DataFrame) -> DataFrame:
-    return _by_issue(records).agg(F.count("*").alias("count"), _share(_negative()).alias("negative_rate"))
+    """Both rings of the tree in one pass: a row per (parent, child), and one per parent, whose child is null."""
+    known = F.col("parent_issue").isNotNull() & F.col("child_issue").isNotNull()
+    level = F.grouping_id()
+    rings = records.filter(known).rollup("parent_issue", "child_issue")
+    tree = rings.agg(level.alias("level"), F.count("*").alias("count"), _share(_negative()).alias("negative_rate"))
+    # Levels of a rollup: 0 for pairs, 1 for parents, 3 for everything.
+    return tree.filter("level < 3").withColumn("level", F.when(F.col("level") == 0, "child").otherwise("parent"))
 
 
 def top_values(records: DataFrame, column: str, n: int) -> DataFrame:

@@ -155,9 +155,11 @@ CATALOG.add(
 CATALOG.add(
     "taxonomy_tree",
     lambda spark, sf_dir: r(explore.taxonomy_tree(fx.records(spark, sf_dir))),
-    f"""WITH {R} SELECT parent_issue, child_issue, count(*) AS count,
-      round(avg(CAST(sentiment = 'Negative' AS INTEGER)), 6) AS negative_rate FROM records
-    WHERE child_issue IS NOT NULL GROUP BY parent_issue, child_issue""",
+    f"""WITH {R}, known AS (SELECT parent_issue, child_issue, CAST(sentiment = 'Negative' AS INTEGER) AS negative
+      FROM records WHERE child_issue IS NOT NULL)
+    SELECT parent_issue, child_issue, 'child' AS level, count(*) AS count, round(avg(negative), 6) AS negative_rate
+    FROM known GROUP BY parent_issue, child_issue
+    UNION ALL SELECT parent_issue, NULL, 'parent', count(*), round(avg(negative), 6) FROM known GROUP BY parent_issue""",
 )
 CATALOG.add(
     "top_topics",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import text as tx
 from earshot.functions import vectors as vx
-from earshot.operators import clusters, dedup, hierarchy, profile, rank, vectors
+from earshot.operators import clusters, dedup, hierarchy, neighbors, profile, rank, vectors
 from earshot.plans import fixtures as fx
 from earshot.plans.catalog_text import SQL_CLEAN, SQL_COLLAPSE, fill, sql_clip
 from earshot.plans.registry import Catalog
@@ -76,6 +76,16 @@ CATALOG.add(
       SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY similarity DESC, neighbor_id) AS k FROM s) WHERE k <= 6""",
 )
 
+CATALOG.add(
+    "knn_graph",
+    lambda spark, sf_dir: r(neighbors.knn_graph(fx.vectors(spark, sf_dir), k=5)),
+    f"""WITH {V}, s AS (SELECT a.row_id, b.row_id AS neighbor_id, round(list_dot_product(a.v, b.v)
+        / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 12) AS similarity
+      FROM vectors a JOIN vectors b ON a.row_id <> b.row_id)
+    SELECT row_id, CAST(k AS INTEGER) AS rank, neighbor_id, round(similarity, 6) AS similarity FROM (
+      SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY similarity DESC, neighbor_id) AS k FROM s) WHERE k <= 5""",
+)
+
 
 def neighbor_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.neighbor_report(fx.vectors(spark, sf_dir), fx.feedback(spark, sf_dir))
