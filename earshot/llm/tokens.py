@@ -15,6 +15,7 @@ dictionary is trained on a documented number of documents; everything else is do
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,8 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from earshot.llm.common import kept, slices
-from earshot.sources.shared import new_path
+from earshot.llm.common import hash_limit, kept, slices
+from earshot.sources.shared import cut, new_path
 
 END_ID = 0
 _BLOCKS = (
@@ -45,6 +46,7 @@ _UNEVEN = (
 #: themselves, the other bytes, in order, for characters from U+0100 on.
 _VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_UNITS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_BLANK = chr(_BYTE_UNITS[0x20])
 
 
 def cut_pieces(text: str) -> list[str] | None:
@@ -64,6 +66,7 @@ class Pieces(dict):
     def __init__(self, tokenizer, dtype: str, most: int):
         super().__init__()
         self.tokenizer, self.model, self.dtype, self.most = tokenizer, tokenizer.model, dtype, most
+        self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"
         self.older: dict[str, bytes] = {}
         self.stops = {x: self.encode([x])[0] for x in ".,"}
 
@@ -78,8 +81,12 @@ class Pieces(dict):
         word = piece[1:] if piece[:1] == " " else piece
         if word.isalpha():
             # Letters, perhaps after a blank, are one unit of the vocabulary's pattern: the merges apply as they are.
-            units = piece.encode().decode("latin-1").translate(_BYTE_UNITS)
-            return np.array([t.id for t in self.model.tokenize(units)], self.dtype).tobytes()
+            if word.isascii():
+                units = word if word is piece else _BLANK + word
+            else:
+                units = piece.encode().decode("latin-1").translate(_BYTE_UNITS)
+            ids = [t.id for t in self.model.tokenize(units)]
+            return struct.pack(f"<{len(ids)}{self.code}", *ids)
         if word[-1:] in self.stops and word[:-1].isalpha():
             # A full stop or comma after a letter is a piece of its own.
             return self[piece[:-1]] + self.stops[word[-1]]
@@ -129,9 +136,9 @@ def train_dictionary(
 ) -> bytes:
     """A dictionary trained on the id arrays of documents chosen by a hash.
 
-    Of the ``sample_rows`` smallest hashes those are taken, in order, whose texts fit into ``sample_bytes``.  The
-    choice moves hashes and sizes only; the texts chosen by it are encoded where they are read.  Empty if the
-    sample is too small to train on; frames are then written without a dictionary.
+    Of the ``sample_rows`` smallest hashes those are taken, in order, whose texts fit into ``sample_bytes``; no more
+    than about twice as many texts are moved.  Empty if the sample is too small to train on; frames are then
+    written without a dictionary.
     """
     dtype = id_type(tokenizer_path)
 
@@ -142,16 +149,18 @@ def train_dictionary(
                 found = encode([t or "" for t in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_pydict({"ids": pa.array(found, pa.binary())})
 
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    # About twice the rows wanted, found in one scan, and each text once.
+    few = docs.filter(F.col("_mark") <= hash_limit(sample_rows, docs.count())).groupBy("_mark").agg(F.first("text").alias("text"))
+    few = cut(few, "sample")
     marks, left = [], sample_bytes
-    for row in docs.select("_mark", size).orderBy("_mark").limit(sample_rows).collect():
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    for row in few.select("_mark", size).orderBy("_mark").limit(sample_rows).collect():
         if row["size"] <= left:
             marks.append((row["_mark"],))
             left -= row["size"]
-    wanted = docs.sparkSession.createDataFrame(sorted(set(marks)), "_mark bigint")
-    chosen = docs.select("_mark", "text").join(F.broadcast(wanted), "_mark", "left_semi").select("text")
-    # Copies have one hash: ``limit`` keeps a text with very many from filling the sample.
-    rows = [bytes(r["ids"]) for r in chosen.mapInArrow(serialize, "ids binary").limit(len(marks)).collect() if r["ids"]]
+    wanted = docs.sparkSession.createDataFrame(marks, "_mark bigint")
+    chosen = few.join(F.broadcast(wanted), "_mark", "left_semi").select("text")
+    rows = [bytes(r["ids"]) for r in chosen.mapInArrow(serialize, "ids binary").collect() if r["ids"]]
     if len(rows) < 16 or sum(map(len, rows)) < 8 * dictionary_bytes // 4:
         return b""
     try:
