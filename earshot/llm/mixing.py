@@ -141,6 +141,10 @@ def mix_quotas(
         caps[r["_at"]] += int(most * blocks[j])
         own[r["_at"]].append(j)
     seats = sainte_lague(goal, round(sum(goal) / block_words), caps)
+    # A source of less than one block is counted in blocks of its own size, so that it does not vanish.
+    for i, n in enumerate(sizes):
+        if 0 < n < block_words:
+            seats[i] = min(caps[i], max(1, round(goal[i] / n)))
     quota = [0] * len(parts)
     for i, members in own.items():
         given = sainte_lague([parts[j]["size"] for j in members], seats[i], [int(most * blocks[j]) for j in members])

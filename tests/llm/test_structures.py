@@ -13,7 +13,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from earshot.llm import language, merkle, privacy, repair, secrets, tokens
+from earshot.llm import language, merkle, mixing, privacy, repair, secrets, tokens
 from earshot.llm.numbering import numbered
 from earshot.llm.queries import tokenizer_path
 
@@ -415,3 +415,13 @@ def test_the_dictionary_sample_is_bounded(spark):
     path = tokenizer_path()
     kinds = [tokens.train_dictionary(docs, path, sample_rows=n, sample_bytes=b, dictionary_bytes=1024) for n, b in ((1000, 1 << 20), (8, 1 << 20), (1000, 10))]
     assert kinds[0] and not kinds[1] and not kinds[2]
+
+
+def test_tiny_sources_come_near_their_targets(spark):
+    rows = [(i, "w " * 400, "en", "big") for i in range(20)]
+    rows += [(100 + i, "v " * (1 + i), "en", f"tiny{i}") for i in range(12)] + [(200, "", "en", "none")]
+    got = mixing.mix_quotas(brute.frame(spark, rows)).collect()
+    for r in got:
+        assert r["taken"] <= 2 * r["size"]
+        if r["source"].startswith("tiny"):
+            assert r["taken"] > 0 and abs(r["taken"] - r["target"]) <= r["size"] / 2
