@@ -8,8 +8,12 @@
    smaller holds sets that are much alike: its members are compared with one of them, and only those that
    differ from it go on, in blocks, against the whole node.
 3. What a node compares ends as stars around smallest ids, not as pairs: a group of n gives at most n - 1 links.
-   Components of these candidate links are computed, and in them every pair of sets that may still add a
-   link is confirmed on full sets, again in blocks.  Components of confirmed links are the result.
+   Components of these candidate links are computed and confirmed on full sets.  A component of one block
+   is compared exhaustively.  A larger one is compared with two of its members, which leaves those that
+   did not get into its largest linked part; new members are chosen from these while that settles half of
+   them, and what is left then is compared with the whole component, block by block.  Blocks are bounded in
+   sets and in bytes of text and there may be any number of them.  Components of confirmed links are the
+   result.
 
 A pair at similarity t meets in a tree with probability of at least t at the root, and of about 0.97 of
 that below it; ``trees`` independent trees miss it with about (1 - t) ** trees (6e-9 for 0.85 and ten
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +47,10 @@ LEAF = 2048
 DENSE = 0.8
 MAX_DEPTH = 6
 BRANCHES = 2
-#: Sets in a block of a component that is confirmed exactly; a component has at most 64 blocks.
-BLOCK, MOST_BLOCKS = 64, 64
+#: Sets, and bytes of their texts, in a block of a component that is confirmed exactly.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Parts of a join on a component that may hold a third of all sets.
+SALTS = 16
 
 _FACTOR = 0x5851F42D4C957F2D | 1
 
@@ -96,12 +103,13 @@ def _sketcher(size: int, trees: int, seed: int):
                     [
                         part.column(1),
                         part.column(2),
+                        pc.binary_length(part.column(0)).cast(pa.int64()),
                         pa.array(counts, pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.array(paths, pa.list_(pa.int64())),
                         pa.array(signatures, pa.binary()),
                     ],
-                    ["doc_id", "mark", "n_shingles", "digest", "paths", "sig"],
+                    ["doc_id", "mark", "bytes", "n_shingles", "digest", "paths", "sig"],
                 )
 
     return sketch
@@ -117,6 +125,7 @@ def near_duplicates(
     trees: int = 10,
     leaf: int = LEAF,
     block: int = BLOCK,
+    block_bytes: int = BLOCK_BYTES,
     seed: int = 29,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs``.
@@ -129,7 +138,7 @@ def near_duplicates(
     sketch = cut(
         rows.mapInArrow(
             _sketcher(words, trees, seed),
-            "doc_id bigint, mark bigint, n_shingles bigint, digest binary, paths array<bigint>, sig binary",
+            "doc_id bigint, mark bigint, bytes bigint, n_shingles bigint, digest binary, paths array<bigint>, sig binary",
         ),
         "sketches",
     )
@@ -137,19 +146,19 @@ def near_duplicates(
         sketch.filter("doc_id is not null and digest is not null")
         .groupBy("digest")
         .agg(
-            F.min(F.struct("doc_id", "mark")).alias("first"),
+            F.min(F.struct("doc_id", "mark", "bytes")).alias("first"),
             F.first("n_shingles").alias("n"),
             F.first("paths").alias("paths"),
             F.first("sig").alias("sig"),
         )
-        .select("digest", F.col("first.doc_id").alias("id"), "first.mark", "n", "paths", "sig"),
+        .select("digest", F.col("first.doc_id").alias("id"), "first.mark", "first.bytes", "n", "paths", "sig"),
         "sets",
     )
     t = percent / 100
     least = math.ceil(SIGNATURE * max(0.0, t - 5.4 * math.sqrt(t * (1 - t) / SIGNATURE)))
     candidates = candidate_links(sets, least, leaf=leaf)
     groups = connected_components(candidates)
-    confirmed = confirmed_links(rows, sets, groups, words, percent, block)
+    confirmed = confirmed_links(rows, sets, groups, words, percent, block, block_bytes)
     joined = connected_components(confirmed)
     named = sets.select("digest", "id").join(
         joined.select(F.col("node").alias("id"), "component"), "id", "left"
@@ -235,7 +244,7 @@ def _dense(nodes: DataFrame, least: int, leaf: int) -> list[DataFrame]:
     rest = judged.filter("not alike")
     counts = rest.groupBy("path").agg(F.count(F.lit(1)).alias("n_rest"))
     half = leaf // 2
-    blocks = lambda n: F.ceil(n / F.greatest(F.lit(half), F.ceil(F.col("n") / MOST_BLOCKS)))
+    blocks = lambda n: F.ceil(n / half)
     of = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
     left = rest.join(counts, "path").select(
@@ -274,7 +283,9 @@ def _cells(batches: Iterator[pa.RecordBatch]):
                 if len(held) > 1:
                     yield now, *zip(*held)
                 held, now = [], row[:3]
-            held.append(row[3:])
+            # Repeated rows are one.
+            if not held or row[3:] != held[-1]:
+                held.append(row[3:])
     if len(held) > 1:
         yield now, *zip(*held)
 
@@ -348,24 +359,100 @@ def _by_sets(size: int, percent: int):
 
 
 def confirmed_links(
-    rows: DataFrame, sets: DataFrame, groups: DataFrame, words: int, percent: int, block: int = BLOCK
+    rows: DataFrame,
+    sets: DataFrame,
+    groups: DataFrame,
+    words: int,
+    percent: int,
+    block: int = BLOCK,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Links on full sets that span each group's components; ``groups`` is (node, component)."""
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / F.greatest(F.lit(block), F.ceil(F.col("n") / MOST_BLOCKS))).cast("int")
-    wanted = (
-        sets.select("id", "mark")
-        .join(groups.select(F.col("node").alias("id"), "component"), "id")
-        .join(sizes, "component")
-        .select("id", "mark", F.col("component").alias("path"), blocks.alias("blocks"))
+    links = _by_sets(words, percent)
+
+    def blocks(n, size):
+        return F.ceil(F.greatest(n / block, F.coalesce(size, F.lit(0)) / block_bytes)).cast("int")
+
+    grouped = sets.select("id", "mark", "bytes").join(
+        groups.select(F.col("node").alias("id"), F.col("component").alias("path")), "id"
     )
-    texts = rows.join(wanted, (F.col("doc_id") == F.col("id")) & (rows["mark"] == wanted["mark"])).select(
-        "path", "blocks", "id", "text"
+    sizes = grouped.groupBy("path").agg(blocks(F.count(F.lit(1)), F.sum("bytes")).alias("blocks"))
+    wanted = _of_path(grouped, sizes)
+    texts, seen = cut_measured(
+        rows.join(wanted, (F.col("doc_id") == F.col("id")) & (rows["mark"] == wanted["mark"])).select(
+            "path", "blocks", "bytes", "id", "text"
+        ),
+        "texts",
+        n=F.count_if(F.col("blocks") > 1),
     )
+    zero = F.lit(0)
+    single = texts.filter("blocks = 1").select("path", zero.alias("a"), zero.alias("b"), zero.alias("side"), "id", "text")
+    found = _compare(single, links)
+    if not seen["n"]:
+        return found
+    large = texts.filter("blocks > 1")
+    nodes = large.select("path", "id").distinct()
+    left, apart, turn, spanning = seen["n"], nodes, 0, None
+    while True:
+        more = cut(_compare(_pivot_cells(large, apart, turn), links), "links")
+        spanning = more if spanning is None else spanning.unionByName(more)
+        parts = connected_components(spanning).select(F.col("node").alias("id"), "component")
+        named = nodes.join(parts, "id", "left").select("path", "id", F.coalesce("component", "id").alias("part"))
+        counts = named.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n"))
+        main = counts.groupBy("path").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+        apart, seen = cut_measured(
+            _of_path(named, main).filter("part <> main").select("path", "id"), "apart", n=F.count(F.lit(1))
+        )
+        if not seen["n"]:
+            return found.unionByName(spanning)
+        if 2 * seen["n"] > left:
+            break
+        left, turn = seen["n"], turn + 1
+    rest = _compare(_rest_cells(large, apart, blocks), links)
+    return found.unionByName(spanning).unionByName(rest)
+
+
+def _of_path(members: DataFrame, paths: DataFrame) -> DataFrame:
+    """Add what ``paths`` holds for a member's component, over several keys for each component."""
+    salted = paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["path", "_salt"]).drop("_salt")
+
+
+def _pivot_cells(large: DataFrame, apart: DataFrame, turn: int) -> DataFrame:
+    """Each block of a component with two of the members that are ``apart`` from its largest linked part."""
+    marks = [F.min(F.struct(F.xxhash64(F.lit(2 * turn + j), "id"), "id"))["id"] for j in range(2)]
+    chosen = apart.groupBy("path").agg(F.array(*marks).alias("ids"))
+    pivots = chosen.select("path", F.explode(F.array_distinct("ids")).alias("id"))
+    met = _of_path(large, chosen.select("path"))
+    side = lambda df, a, n: df.select("path", a.alias("a"), F.lit(0).alias("b"), F.lit(n).alias("side"), "id", "text")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    # Block x meets each block y >= x in the cell (x, y); in (x, x) it is compared within itself.
-    to = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = to.select(
+    return side(large.join(pivots, ["path", "id"]), every, 0).unionByName(side(met, own, 1))
+
+
+def _rest_cells(large: DataFrame, apart: DataFrame, blocks) -> DataFrame:
+    """Blocks of the members ``apart`` meet each other and those of the largest linked part.
+
+    The blocks apart are numbered first, so block x meets each block y >= x in the cell (x, y), and in (x, x)
+    it is compared within itself; two blocks of the largest part do not meet.
+    """
+    marked = large.join(apart.withColumn("apart", F.lit(True)), ["path", "id"], "left").withColumn(
+        "apart", F.coalesce("apart", F.lit(False))
+    )
+    n = {
+        name: blocks(F.count_if(which), F.sum(F.when(which, F.col("bytes"))))
+        for name, which in (("k", F.col("apart")), ("m", ~F.col("apart")))
+    }
+    counted = marked.groupBy("path").agg(*[v.alias(name) for name, v in n.items()]).filter("k > 0")
+    hashed = F.xxhash64("id")
+    own = F.when(F.col("apart"), F.pmod(hashed, F.col("k"))).otherwise(F.col("k") + F.pmod(hashed, F.col("m")))
+    last = F.when(F.col("apart"), F.col("k") + F.col("m") - 1).otherwise(F.col("k") - 1)
+    to = (
+        _of_path(marked, counted)
+        .withColumn("own", own.cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    )
+    return to.select(
         "path",
         F.least("own", "other").alias("a"),
         F.greatest("own", "other").alias("b"),
@@ -373,7 +460,6 @@ def confirmed_links(
         "id",
         "text",
     )
-    return _compare(cells, _by_sets(words, percent))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -421,7 +422,7 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf": 8, "block": 4}])
+@pytest.mark.parametrize("options", [{}, {"leaf": 8, "block": 4}, {"block_bytes": 2000}])
 def test_near_duplicates(spark, options):
     rows = near_rows()
     got = neardup.near_duplicates(brute.frame(spark, rows), **options)
@@ -430,6 +431,20 @@ def test_near_duplicates(spark, options):
     assert got.filter("kept <> (doc_id is null or doc_id = component_id)").count() == 0
 
 
+def test_long_chains_are_confirmed_block_by_block(spark):
+    """Each text is near the next one only, so two members settle little and blocks must meet."""
+    random.seed(3)
+    chain = [f"c{i}" for i in range(180)]
+    rows = [(1000 + i, " ".join(chain[3 * i : 3 * i + 60]), "en", "s") for i in range(40)]
+    rows += [(2000 + i, " ".join(chain[:60] + [f"far{i}x{j}" for j in range(14)]), "en", "s") for i in range(12)]
+    rows = [r for r in rows for _ in range(2)]
+    random.shuffle(rows)
+    got = neardup.near_duplicates(brute.frame(spark, rows), block=4)
+    want = brute.components(rows, 3, 85)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+    assert len({c for _, _, c in want}) > 1 and max(Counter(c for *_, c in want).values()) > 20
+
+
 def test_one_of_each_group_stays(spark, odd, none):
     kept = neardup.keep_one(odd, words=5, percent=80)
     assert kept.columns == odd.columns
