@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.operators import dedup, hierarchy, rank, vectors as vec
+from earshot.operators.blocks import against_all, small_side, strips
 from earshot.operators.boxes import compared
 from earshot.operators.graph import connected_components
 from earshot.sources.shared import cut, cut_measured
@@ -241,31 +244,41 @@ def parent_themes(centroids: DataFrame, *, n_parents: int = 12, block_bytes: int
 
 def _mutual_nearest(groups: DataFrame, block_bytes: int, n: int, dim: int) -> DataFrame:
     """Pairs ``(a, b, sim)``, a < b, of groups that are each other's nearest; ties go to the smallest id."""
-    parts = []
-    for ids, means in vec.dense_blocks(groups, "g", "mean", block_bytes=block_bytes, n=n, dim=dim):
-        parts.append(groups.select("g", _nearest_other(groups, ids, means)("g", "mean").alias("x")).select("g", "x.*"))
-    near = parts[0]
-    for part in parts[1:]:
-        near = near.unionAll(part)
-    near = near.filter("other is not null").groupBy("g").agg(F.max(F.struct("sim", -F.col("other"))).alias("x"))
-    best = near.select(F.col("g"), (-F.col("x.col2")).alias("other"), F.col("x.sim").alias("sim"))
+    side = small_side(groups, "g", "mean", block_bytes=block_bytes, n=n, dim=dim)
+    if side is None:
+        names = dict(key="g", vec_col="mean", side_key="g", side_vec="mean")
+        near = against_all(
+            groups, groups, _nearest_other, "g bigint, other bigint, sim double", dim=dim, block_bytes=block_bytes, **names
+        )
+    else:
+        near = groups.select("g", _nearest_other_udf(groups, side)("g", "mean").alias("x")).select("g", "x.*")
+    # Without another group there is none that is nearest.
+    best = near.filter("other is not null")
     back = best.select(F.col("g").alias("other"), F.col("other").alias("g"))
     return best.join(back, ["g", "other"]).filter("g < other").select(F.col("g").alias("a"), F.col("other").alias("b"), "sim")
 
 
-def _nearest_other(df: DataFrame, ids: np.ndarray, means: np.ndarray):
-    shared = df.sparkSession.sparkContext.broadcast((ids, means))
+def _nearest_other(keys, g: np.ndarray, means: np.ndarray, side) -> Iterator[pa.RecordBatch]:
+    other, sim = np.zeros(len(g), np.int64), np.full(len(g), -np.inf)
+    for names, block in side:
+        for s in strips(len(g)):
+            sims = np.round(means[s] @ block.T, vec.DIGITS)
+            sims[g[s, None] == names[None, :]] = -np.inf
+            at = sims.argmax(axis=1)
+            found = sims[np.arange(len(sims)), at]
+            other[s] = np.where(found > sim[s], names[at], other[s])
+            sim[s] = np.maximum(sim[s], found)
+    yield pa.RecordBatch.from_arrays([keys, pa.array(other, mask=np.isinf(sim)), pa.array(sim)], ["g", "other", "sim"])
+
+
+def _nearest_other_udf(df: DataFrame, side: tuple):
+    shared = df.sparkSession.sparkContext.broadcast(side)
 
     @F.pandas_udf("other bigint, sim double")
     def nearest(g: pd.Series, mean: pd.Series) -> pd.DataFrame:
-        names, block = shared.value
-        sims = np.round(np.stack(mean.to_numpy()) @ block.T, vec.DIGITS)
-        sims[g.to_numpy()[:, None] == names[None, :]] = -np.inf
-        at = sims.argmax(axis=1)
-        sim = sims[np.arange(len(sims)), at]
-        other = pd.array(names[at], dtype="Int64")
-        other[np.isinf(sim)] = pd.NA
-        return pd.DataFrame({"other": other, "sim": sim})
+        means = np.stack(mean.to_numpy())
+        (found,) = _nearest_other(pa.array(g), g.to_numpy(), means, [shared.value])
+        return pd.DataFrame({"other": found.column(1).to_pandas(integer_object_nulls=True), "sim": found.column(2).to_numpy()})
 
     return nearest
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from earshot.functions import lexicons as lx
 from earshot.functions import text as tx
 from earshot.operators import vectors as vec
+from earshot.operators.blocks import small_side, with_own
 from earshot.sources.shared import cut
 
 NOISE = -1
@@ -90,14 +91,16 @@ def representatives(
     cluster_col: str = "cluster_id",
     vec_col: str = "embedding",
     id_col: str = "row_id",
+    block_bytes: int = vec.BLOCK_BYTES,
 ) -> DataFrame:
     """``(cluster_id, position, row_id)``: up to ``k`` central yet diverse rows per cluster.
 
     The first is closest to the centroid; each next one maximises ``balance * closeness - (1 - balance) *
     similarity to the nearest one already picked``.  Clusters of at most ``k`` rows return all, in row
-    order.  One scan and one arg-max aggregate per position serve all clusters together.  Each row keeps its
-    similarity to the nearest pick, so a round takes one product per row, with picks that reach the tasks in
-    blocks of measured size: rows are never joined on their cluster, however large that is.
+    order.  One scan and one arg-max aggregate per position serve all clusters together.  Vectors are written
+    once; a round multiplies each with all picks of its cluster, which go to the tasks while a round's picks stay
+    below a measured size.  From then on rows keep their similarity to the nearest pick, and rows and new
+    picks are dealt to blocks.
     """
     units = vec.l2_normalize(
         df.filter(F.col(cluster_col) != NOISE).select(
@@ -106,10 +109,10 @@ def representatives(
         vec_col="v",
     )
     centers = cut(vec.cluster_centroids(units, vec_col="v"), "centers")
-    near = vec.with_own_product(units, centers, side_vec="centroid", name="closeness")
+    near = vec.with_own_product(units, centers, side_vec="centroid", name="closeness", block_bytes=block_bytes)
     rows = cut(near.join(centers.select("cluster_id", "size"), "cluster_id"), "rows")
     large = rows.filter(F.col("size") > k).withColumn("nearest", F.lit(None).cast("double"))
-    picks = []
+    picks, sides = [], []
     for position in range(1, k + 1):
         score = F.col("closeness") if position == 1 else F.col("closeness") * balance - F.col("nearest") * (1 - balance)
         # A row that was picked is nearest to itself and marked by infinity.
@@ -119,8 +122,23 @@ def representatives(
         )
         pick = cut(best.select("cluster_id", "pick.row_id", "pick.v", F.lit(position).alias("position")), "picks")
         picks.append(pick.select("cluster_id", "position", "row_id"))
-        if position < k:
-            large = cut(vec.with_own_product(large, pick, side_vec="v", name="nearest", id_col="row_id"), "rows")
+        if position == k:
+            break
+        size = pick.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+        known = dict(n=size["n"], dim=size["dim"] or 0)
+        # The picks of one round are as many as those of the first, or fewer.
+        side = None if sides is None else small_side(pick, "cluster_id", "v", carry="row_id", block_bytes=block_bytes, **known)
+        if side is not None:
+            sides.append(side)
+            nearest = vec.own_product(rows, sides, vec_col="v", cluster_col="cluster_id", id_col="row_id")
+            large = rows.filter(F.col("size") > k).withColumn("nearest", nearest)
+        else:
+            sides = None
+            dealt = with_own(
+                large, pick, key="cluster_id", vec_col="v", side_vec="v", name="nearest", id_col="row_id",
+                block_bytes=block_bytes, **known,
+            )
+            large = cut(dealt, "rows")
     chosen = picks[0]
     for pick in picks[1:]:
         chosen = chosen.unionAll(pick)

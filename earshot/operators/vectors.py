@@ -6,16 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.functions import text as tx
 from earshot.functions import vectors as vx
 from earshot.operators import rank
+from earshot.operators.blocks import BLOCK_BYTES, against_all, own_products, small_side, strips, with_own
 
 NOISE = -1
-# The largest dense block handed to every task at once.  A bigger side is taken in several passes.
-BLOCK_BYTES = 64 << 20
 # Similarities closer than this are ties, whatever order they were summed in.
 DIGITS = 12
 
@@ -80,44 +80,13 @@ def _embed_tfidf(texts: DataFrame, id_col: str, dim: int) -> DataFrame:
     return unit.select(id_col, vector_to_array("_unit", "float32").alias("embedding"))
 
 
-# --------------------------------------------------------------------------- dense blocks
+# --------------------------------------------------------------------------- neighbours
 
 
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def dense_blocks(
-    df: DataFrame,
-    id_col: str,
-    vec_col: str,
-    *,
-    block_bytes: int = BLOCK_BYTES,
-    n: int | None = None,
-    dim: int | None = None,
-    carry: str | None = None,
-) -> Iterator[tuple[np.ndarray, ...]]:
-    """``(ids, matrix)`` blocks of a side that is small or is taken in passes, ids ascending in a block.
-
-    ``carry`` adds the values of one more column to each block.
-
-    The size is measured first unless it is known; a block never exceeds ``block_bytes`` by more than
-    chance unevenness.
-    """
-    if n is None or dim is None:
-        size = df.agg(F.count("*").alias("n"), F.max(F.size(vec_col)).alias("dim")).first()
-        n, dim = size["n"], size["dim"]
-    if not n:
-        return
-    blocks = -(-n * dim * 8 // block_bytes)
-    for b in range(blocks):
-        part = df if blocks == 1 else df.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
-        rows = part.select(id_col, vec_col, *([carry] if carry else [])).orderBy(id_col).collect()
-        if rows:
-            block = np.array([x[0] for x in rows]), np.array([x[1] for x in rows], dtype=np.float64)
-            yield (*block, np.array([x[2] for x in rows])) if carry else block
-
-
 def nearest_neighbors(
     vectors: DataFrame,
     anchors: DataFrame,
@@ -131,22 +100,26 @@ def nearest_neighbors(
 ) -> DataFrame:
     """``(anchor_id, rank, neighbor_id, similarity)``: the k nearest rows of every anchor, exactly.
 
-    Each task multiplies its batches with the block of anchors and keeps k rows per anchor, so only
-    ``tasks * anchors * k`` rows are shuffled.  With ``include_self`` the anchor competes as any other
+    Each task multiplies its batches with the anchors and keeps k rows per anchor, so only
+    ``tasks * anchors * k`` rows are shuffled.  Anchors of more than ``block_bytes`` stream past blocks of rows
+    instead, and a block keeps k rows per anchor.  With ``include_self`` the anchor competes as any other
     row and k + 1 rows are returned.  ``euclidean`` ranks by distance and reports it negated.
     """
     keep = k + 1 if include_self else k
     own = vectors.join(anchors.select(id_col).distinct(), id_col, "left_semi")
-    best = None
-    for ids, matrix in dense_blocks(own, id_col, vec_col, block_bytes=block_bytes):
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+    side = small_side(own, id_col, vec_col, block_bytes=block_bytes)
+    schema = "anchor_id bigint, neighbor_id bigint, similarity double"
+    if side is None:
+        best = against_all(
+            vectors, own, _top_of_block(keep, include_self, metric), schema,
+            key=id_col, vec_col=vec_col, side_key=id_col, side_vec=vec_col, block_bytes=block_bytes,
+        )
+    elif len(side[0]):
+        shared = vectors.sparkSession.sparkContext.broadcast(side)
         kernel = _top_kernel(shared, keep, id_col, vec_col, include_self, metric)
-        part = vectors.select(id_col, vec_col).mapInPandas(
-            kernel, "anchor_id bigint, neighbor_id bigint, similarity double"
-        )
-        best = part if best is None else best.unionAll(part)
-    if best is None:
-        best = vectors.sparkSession.createDataFrame([], "anchor_id bigint, neighbor_id bigint, similarity double")
+        best = vectors.select(id_col, vec_col).mapInPandas(kernel, schema)
+    else:
+        best = vectors.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("anchor_id").orderBy(F.desc("similarity"), "neighbor_id")
     return (
         best.withColumn("rank", F.row_number().over(order))
@@ -155,6 +128,24 @@ def nearest_neighbors(
     )
 
 
+def _similarities(anchors: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    sims = anchors @ v.T
+    if metric == "euclidean":
+        squares = (anchors**2).sum(axis=1)[:, None] + (v**2).sum(axis=1)[None, :] - 2 * sims
+        sims = -np.sqrt(np.maximum(squares, 0.0))
+    return np.round(sims, DIGITS)
+
+
+def _best(sim: np.ndarray, who: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(sim) > keep:
+        # All rows tied with the last kept one stay in until ids decide.
+        floor = np.partition(sim, len(sim) - keep)[len(sim) - keep]
+        sim, who = sim[sim >= floor], who[sim >= floor]
+        order = np.lexsort((who, -sim))[:keep]
+        sim, who = sim[order], who[order]
+    return sim, who
+
+
 def _top_kernel(shared, keep: int, id_col: str, vec_col: str, include_self: bool, metric: str):
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, anchors = shared.value
@@ -163,25 +154,15 @@ def _top_kernel(shared, keep: int, id_col: str, vec_col: str, include_self: bool
         for frame in frames:
             if frame.empty:
                 continue
-            rows, v = frame[id_col].to_numpy(dtype=np.int64), _stack(frame[vec_col])
-            sims = anchors @ v.T
-            if metric == "euclidean":
-                squares = (anchors**2).sum(axis=1)[:, None] + (v**2).sum(axis=1)[None, :] - 2 * sims
-                sims = -np.sqrt(np.maximum(squares, 0.0))
-            sims = np.round(sims, DIGITS)
+            rows = frame[id_col].to_numpy(dtype=np.int64)
+            sims = _similarities(anchors, _stack(frame[vec_col]), metric)
             for i, anchor in enumerate(ids):
                 sim = np.concatenate([held_sim[i], sims[i]])
                 who = np.concatenate([held_id[i], rows])
                 if not include_self:
                     other = who != anchor
                     sim, who = sim[other], who[other]
-                if len(sim) > keep:
-                    # All rows tied with the last kept one stay in until ids decide.
-                    floor = np.partition(sim, len(sim) - keep)[len(sim) - keep]
-                    sim, who = sim[sim >= floor], who[sim >= floor]
-                    order = np.lexsort((who, -sim))[:keep]
-                    sim, who = sim[order], who[order]
-                held_sim[i], held_id[i] = sim, who
+                held_sim[i], held_id[i] = _best(sim, who, keep)
         for i, anchor in enumerate(ids):
             if len(held_id[i]):
                 yield pd.DataFrame({"anchor_id": anchor, "neighbor_id": held_id[i], "similarity": held_sim[i]})
@@ -189,6 +170,22 @@ def _top_kernel(shared, keep: int, id_col: str, vec_col: str, include_self: bool
     return kernel
 
 
+def _top_of_block(keep: int, include_self: bool, metric: str):
+    def kernel(_, rows, v, side) -> Iterator[pa.RecordBatch]:
+        for ids, anchors in side:
+            for s in strips(len(ids)):
+                sims = _similarities(anchors[s], v, metric)
+                for anchor, own in zip(ids[s].tolist(), sims):
+                    other = slice(None) if include_self else rows != anchor
+                    sim, who = _best(own[other], rows[other], keep)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(who), anchor)), pa.array(who), pa.array(sim)],
+                        ["anchor_id", "neighbor_id", "similarity"],
+                    )
+
+    return kernel
+
+
 def neighbor_report(
     vectors: DataFrame,
     texts: DataFrame,
@@ -256,16 +253,22 @@ def soft_assign(
 
     ``soft_sim`` is the best similarity to any centroid; a noise row takes that centroid's cluster when
     it reaches ``min_sim``, other rows keep theirs.  ``own_sim`` is the similarity to the own centroid.
-    Ties go to the smallest cluster id.
+    Ties go to the smallest cluster id.  Centroids of more than ``block_bytes`` stream past blocks of rows.
     """
     cents = centroids if centroids is not None else cluster_centroids(df, cluster_col=cluster_col, vec_col=vec_col)
-    near = df.select(id_col, F.col(cluster_col).alias("cluster_id"), vec_col).withColumn(
-        "_n", F.lit(None).cast("struct<best:int,sim:double,own:double>")
-    )
-    # Each block of centroids improves on what the blocks before it have found, row by row.
-    for ids, matrix in dense_blocks(cents, "cluster_id", "centroid", block_bytes=block_bytes):
-        better = _nearest_udf(df, ids, matrix)
-        near = near.withColumn("_n", better(F.col(vec_col), F.col("cluster_id"), F.col("_n")))
+    rows = df.select(id_col, F.col(cluster_col).alias("cluster_id"), vec_col)
+    side = small_side(cents, "cluster_id", "centroid", block_bytes=block_bytes)
+    if side is None:
+        kinds = dict(rows.dtypes)
+        schema = f"`{id_col}` {kinds[id_col]}, cluster_id bigint, best int, sim double, own double"
+        near = against_all(
+            rows, cents, _nearest_of_all, schema,
+            key=id_col, vec_col=vec_col, side_key="cluster_id", side_vec="centroid", label="cluster_id", block_bytes=block_bytes,
+        ).select(id_col, F.col("cluster_id").cast(kinds["cluster_id"]), F.struct("best", "sim", "own").alias("_n"))
+    elif len(side[0]):
+        near = rows.withColumn("_n", _nearest_udf(df, *side)(F.col(vec_col), F.col("cluster_id")))
+    else:
+        near = rows.withColumn("_n", F.lit(None).cast("struct<best:int,sim:double,own:double>"))
     promote = (F.col("cluster_id") == NOISE) & (F.col("_n.sim") >= min_sim)
     return near.select(
         id_col,
@@ -276,6 +279,28 @@ def soft_assign(
     )
 
 
+def own_product(df: DataFrame, sides: list[tuple], *, vec_col: str, cluster_col: str, id_col: str | None = None):
+    """The largest product of a row's vector with those of its cluster in ``sides``, as a Column.
+
+    A side is what ``small_side`` gave, with ``carry`` the ids of the rows that its vectors are of.  Such a
+    row itself gets infinity, if ``id_col`` is named.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(sides)
+    ids = bool(id_col)
+
+    # Not deterministic for the optimizer, which else evaluates it again in each filter on the result.
+    @F.pandas_udf("double")
+    def product(vec: pd.Series, cluster: pd.Series, row_id: pd.Series) -> pd.Series:
+        vectors, keys = _stack(vec), cluster.to_numpy()
+        who = row_id.to_numpy() if ids else None
+        found = np.full(len(keys), np.nan)
+        for side in shared.value:
+            found = np.fmax(found, own_products(vectors, keys, who, side))
+        return pd.Series(found).astype(object).where(~np.isnan(found), None)
+
+    return product.asNondeterministic()(F.col(vec_col), F.col(cluster_col), F.col(id_col or cluster_col))
+
+
 def with_own_product(
     df: DataFrame,
     side: DataFrame,
@@ -284,64 +309,52 @@ def with_own_product(
     name: str,
     vec_col: str = "v",
     cluster_col: str = "cluster_id",
-    id_col: str | None = None,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Set ``name`` to the product of a row's vector with that of its cluster in ``side``, or leave it if larger.
-
-    ``side`` has one row per cluster and is taken in blocks, row by row and without a join.  With ``id_col``
-    the row that ``side`` itself is of gets infinity.
-    """
-    out = df if name in df.columns else df.withColumn(name, F.lit(None).cast("double"))
-    for names, matrix, ids in dense_blocks(side, cluster_col, side_vec, block_bytes=block_bytes, carry=id_col or cluster_col):
-        own = F.col(id_col) if id_col else F.lit(None).cast("bigint")
-        larger = _own_product(df, names, matrix, ids)
-        out = out.withColumn(name, larger(F.col(vec_col), F.col(cluster_col), own, F.col(name)))
-    return out
-
-
-def _own_product(df: DataFrame, names: np.ndarray, matrix: np.ndarray, ids: np.ndarray):
-    shared = df.sparkSession.sparkContext.broadcast((names, matrix, ids))
-
-    @F.pandas_udf("double")
-    def product(vec: pd.Series, cluster: pd.Series, row_id: pd.Series, before: pd.Series) -> pd.Series:
-        names, matrix, ids = shared.value
-        own = cluster.to_numpy()
-        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-        known = names[at] == own
-        found = np.where(known, (_stack(vec) * matrix[at]).sum(axis=1), np.nan)
-        found[known & (row_id.to_numpy(dtype=float, na_value=np.nan) == ids[at])] = np.inf
-        return pd.Series(np.fmax(found, before.to_numpy(dtype=float, na_value=np.nan))).astype(object).where(lambda x: x.notna(), None)
-
-    return product
+    """Add ``name``, the product of a row's vector with that of its cluster in ``side`` (one row per cluster)."""
+    size = side.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(side_vec)).alias("dim")).first()
+    known = dict(n=size["n"], dim=size["dim"] or 0, block_bytes=block_bytes)
+    small = small_side(side, cluster_col, side_vec, carry=cluster_col, **known)
+    if small is None:
+        return with_own(df, side, key=cluster_col, vec_col=vec_col, side_vec=side_vec, name=name, **known)
+    return df.withColumn(name, own_product(df, [small], vec_col=vec_col, cluster_col=cluster_col))
 
 
 def _nearest_udf(df: DataFrame, ids: np.ndarray, matrix: np.ndarray):
     shared = df.sparkSession.sparkContext.broadcast((ids, matrix))
 
     @F.pandas_udf("best int, sim double, own double")
-    def nearest(vec: pd.Series, own_id: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
-        names, centroids = shared.value
-        sims = np.round(_stack(vec) @ centroids.T, DIGITS)
-        at = sims.argmax(axis=1)
-        line = np.arange(len(sims))
-        mine = np.searchsorted(names, own_id.to_numpy())
-        known = (mine < len(names)) & (names[np.minimum(mine, len(names) - 1)] == own_id.to_numpy())
-        own = np.where(known, sims[line, np.minimum(mine, len(names) - 1)], np.nan)
-        had_sim = before["sim"].to_numpy(dtype=float, na_value=np.nan)
-        had_best = before["best"].to_numpy(dtype=float, na_value=np.nan)
-        had_own = before["own"].to_numpy(dtype=float, na_value=np.nan)
-        sim, best = sims[line, at], names[at].astype(float)
-        # Ties go to the smaller cluster id.
-        keep = (had_sim > sim) | ((had_sim == sim) & (had_best < best))
-        out = pd.DataFrame({"best": np.where(keep, had_best, best).astype(np.int32), "sim": np.where(keep, had_sim, sim)})
-        own = np.where(known, own, had_own)
+    def nearest(vec: pd.Series, own_id: pd.Series) -> pd.DataFrame:
+        best, sim, own = _nearest(own_id.to_numpy(), _stack(vec), [shared.value])
+        out = pd.DataFrame({"best": best.astype(np.int32), "sim": sim})
         out["own"] = pd.Series(own).astype(object).where(~np.isnan(own), None)
         return out
 
     return nearest
 
 
+def _nearest(own_id: np.ndarray, v: np.ndarray, side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest centroid, its similarity and that of the own one; the side's ids ascend, so ties go to the smaller."""
+    best, sim, own = np.full(len(v), NOISE), np.full(len(v), -np.inf), np.full(len(v), np.nan)
+    for names, centroids in side:
+        mine = np.minimum(np.searchsorted(names, own_id), len(names) - 1)
+        known = names[mine] == own_id
+        for s in strips(len(v)):
+            sims = np.round(v[s] @ centroids.T, DIGITS)
+            line, at = np.arange(len(sims)), sims.argmax(axis=1)
+            own[s] = np.where(known[s], sims[line, mine[s]], own[s])
+            better = sims[line, at] > sim[s]
+            best[s] = np.where(better, names[at], best[s])
+            sim[s] = np.where(better, sims[line, at], sim[s])
+    return best, sim, own
+
+
+def _nearest_of_all(keys, own_id, v, side) -> Iterator[pa.RecordBatch]:
+    best, sim, own = _nearest(own_id, v, side)
+    columns = [keys, pa.array(own_id, pa.int64()), pa.array(best, pa.int32()), pa.array(sim), pa.array(own, mask=np.isnan(own))]
+    yield pa.RecordBatch.from_arrays(columns, ["key", "cluster_id", "best", "sim", "own"])
+
+
 # --------------------------------------------------------------------------- projection
 
 
