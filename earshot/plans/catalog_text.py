@@ -51,22 +51,23 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- sources and sinks
 
 
-def scan_feedback_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scan_feedback_csv(spark: SparkSession, sf_dir: str, split: bool = False) -> DataFrame:
     names = {ours: theirs for theirs, ours in tables.COLUMN_NAMES.items()}
     export = fx.feedback(spark, sf_dir).select(
         F.col("row_id").alias("Unnamed: 0"), *[F.col(ours).alias(theirs) for ours, theirs in names.items()]
     )
     path = shared.new_path(spark, "export-csv")
     tables.write_csv(export, path)
-    return tables.scan_feedback_csv(spark, path)
+    return tables.scan_feedback_csv(spark, path, split=split)
 
 
-CATALOG.add(
-    "scan_feedback_csv",
-    scan_feedback_csv,
-    f"""WITH {fx.FEEDBACK_SQL}
-    SELECT row_id, topic, comment, contextual_subtopic, granular_subtopic, severity, sentiment FROM feedback""",
-)
+for _key, _split in {"scan_feedback_csv": False, "scan_feedback_csv_split": True}.items():
+    CATALOG.add(
+        _key,
+        lambda spark, sf_dir, split=_split: scan_feedback_csv(spark, sf_dir, split),
+        f"""WITH {fx.FEEDBACK_SQL}
+        SELECT row_id, topic, comment, contextual_subtopic, granular_subtopic, severity, sentiment FROM feedback""",
+    )
 
 
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earshot.functions import lexicons as lx
+from earshot.sources import splitcsv
 
 # Header names of the export, in order after the unnamed index column.
 EXPORT_COLUMNS = (
@@ -49,10 +50,10 @@ class ContractError(ValueError):
     """The export does not follow the agreed schema or value domains."""
 
 
-def scan_feedback_csv(spark: SparkSession, path: str, *, validate: bool = True) -> DataFrame:
+def scan_feedback_csv(spark: SparkSession, path: str, *, validate: bool = True, split: bool = False) -> DataFrame:
     """Scan an export: unnamed index column, text columns, blanks kept as ``""``.
 
-    Quoted cells may hold newlines, so one file is one task: split a large export into many files.
+    Quoted cells may hold newlines, so one file is one task, unless ``split`` asks for many: see ``splitcsv``.
     Extra columns of the export (a time column, for instance) are kept.
     """
     raw = (
@@ -62,6 +63,8 @@ def scan_feedback_csv(spark: SparkSession, path: str, *, validate: bool = True)
         .option("encoding", "UTF-8")
         .csv(path)
     )
+    if split:
+        raw = splitcsv.read_csv(spark, path)
     first = raw.columns[0] if raw.columns else None
     if first not in ("_c0", "Unnamed: 0"):
         raise ContractError(f"the first column must be the unnamed row index, found {first!r}")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from earshot.operators import filters, profile, rank
-from earshot.sources import shared, tables
+from earshot.sources import shared, splitcsv, tables
 
 HEADER = ",Topic,Feedback Comment,Contextual_Subtopic,Granular_Subtopic,Severity,Sentiment\n"
 
@@ -21,6 +21,32 @@ def test_csv_scan(spark, tmp_path):
     assert (got[1].topic, got[1].comment, got[1].contextual_subtopic, got[1].granular_subtopic) == ("", "NA", "null", "")
 
 
+@pytest.mark.parametrize("most_ranges", [splitcsv.MOST_RANGES, 1])
+def test_one_csv_file_in_many_tasks(spark, tmp_path, monkeypatch, most_ranges):
+    texts = ['a "quoted" word, and\n\n"more"\n' * (i % 4) + f"t{i}" for i in range(300)]
+    # Records of several ranges, and cells that look like records.
+    texts += ["0,T,x\n" * 900, '"\n' * 700, "", "last\n"]
+    frame = pd.DataFrame({"Topic": "T", "Feedback Comment": texts, "Contextual_Subtopic": "C"})
+    frame = frame.assign(Granular_Subtopic="G", Severity="Low", Sentiment="Neutral")
+    folder = tmp_path / "exports"
+    folder.mkdir()
+    frame[:150].to_csv(folder / "a.csv", lineterminator="\r\n")
+    frame[150:].to_csv(folder / "b.csv", lineterminator="\n")
+    (folder / "c.csv").write_text(HEADER.strip(), encoding="utf-8")
+    (folder / "d.csv").write_text("\ufeff" + HEADER + '\n900,T,"no end\nof it', encoding="utf-8")
+    monkeypatch.setattr(splitcsv, "MOST_RANGES", most_ranges)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 20
+        got = tables.scan_feedback_csv(spark, str(folder), split=True, validate=False).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {i: t for i, t in enumerate(texts)} | {900: "no end\nof it"}
+    assert len(got) == len(want) and {x.row_id: x.comment for x in got} == want
+    assert {x.topic for x in got} == {"T"} and {x.severity for x in got} <= {"Low", ""}
+
+
 def test_csv_contract(spark, tmp_path):
     with pytest.raises(tables.ContractError, match="Urgent"):
         tables.scan_feedback_csv(spark, write(tmp_path, "0,T,x,C,G,Urgent,Neutral\n"))
