@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import text as tx
 from earshot.functions import vectors as vx
-from earshot.operators import clusters, dedup, hierarchy, neighbors, profile, rank, vectors
+from earshot.operators import clusters, dedup, hierarchy, neighbors, profile, rank, spectral, vectors
 from earshot.plans import fixtures as fx
 from earshot.plans.catalog_text import SQL_CLEAN, SQL_COLLAPSE, fill, sql_clip
 from earshot.plans.registry import Catalog
@@ -366,6 +366,47 @@ def project(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
 
 CATALOG.add("project_2d", lambda spark, sf_dir: project(spark, sf_dir, 2))
 CATALOG.add("project_10d", lambda spark, sf_dir: project(spark, sf_dir, 10))
+
+SPECTRAL_K, SPECTRAL_ROUNDS = 15, 12
+
+
+def spectral_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spectral.spectral_map(fx.vectors(spark, sf_dir), dims=2, k=SPECTRAL_K, rounds=SPECTRAL_ROUNDS)
+    return r(p.select("row_id", *[F.col("reduced")[i].alias(f"c{i + 1}") for i in range(2)]))
+
+
+def _spectral_sql() -> str:
+    """The rounds one by one: the constant axis is taken out, then the axes are orthonormalised, then multiplied."""
+    centre = "y{a} - sqrt(deg) * (sum(y{a} * sqrt(deg)) OVER ()) / (sum(deg) OVER ())"
+    parts = []
+    for t in range(SPECTRAL_ROUNDS + 1):
+        parts.append(
+            f"""c{t} AS MATERIALIZED (SELECT id, deg, {centre.format(a=0)} AS y0, {centre.format(a=1)} AS y1 FROM y{t}),
+            u{t} AS MATERIALIZED (SELECT id, deg, y0 / sqrt(sum(y0 * y0) OVER ()) AS q0, y1 FROM c{t}),
+            v{t} AS MATERIALIZED (SELECT id, deg, q0, y1 - q0 * sum(q0 * y1) OVER () AS y1 FROM u{t}),
+            q{t} AS MATERIALIZED (SELECT id, deg, q0, y1 / sqrt(sum(y1 * y1) OVER ()) AS q1 FROM v{t})"""
+        )
+        if t < SPECTRAL_ROUNDS:
+            moved = [f"any_value(m.q{a}) * {t % 2} + sum(w * o.q{a} / sqrt(o.deg)) / sqrt(m.deg) AS y{a}" for a in (0, 1)]
+            parts.append(
+                f"""y{t + 1} AS MATERIALIZED (SELECT m.id, m.deg, {', '.join(moved)}
+                FROM q{t} m JOIN edges ON a = m.id JOIN q{t} o ON o.id = b GROUP BY m.id, m.deg)"""
+            )
+    start = [f"CAST(concat('0x', substr(md5(concat('{a}|', a)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE - 0.5 AS y{a}" for a in (0, 1)]
+    return f"""WITH {V}, s AS (SELECT a.row_id AS a, b.row_id AS b, round(list_dot_product(a.v, b.v)
+        / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 12) AS similarity
+      FROM vectors a JOIN vectors b ON a.row_id <> b.row_id),
+    near AS MATERIALIZED (SELECT a, b FROM (
+      SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS k FROM s) WHERE k <= {SPECTRAL_K}),
+    edges AS MATERIALIZED (SELECT a, b, count(*) / 2.0::DOUBLE AS w
+      FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) GROUP BY a, b),
+    y0 AS MATERIALIZED (SELECT a AS id, sum(w) AS deg, {', '.join(start)} FROM edges GROUP BY a),
+    {', '.join(parts)}
+    SELECT id AS row_id, round(q0 * sqrt((sum(deg) OVER ()) / deg), 6) AS c1,
+      round(q1 * sqrt((sum(deg) OVER ()) / deg), 6) AS c2 FROM q{SPECTRAL_ROUNDS}"""
+
+
+CATALOG.add("spectral_2d", spectral_2d, _spectral_sql())
 CATALOG.add(
     "embed_tfidf", lambda spark, sf_dir: vectors.embed_texts(_comments(spark, sf_dir), dim=256)
 )
