@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from earshot.functions import lexicons as lx
-from earshot.operators import explore, filters, profile, rank
+from earshot.operators import explore, filters, keywords, profile, rank
 from earshot.plans import fixtures as fx
 from earshot.plans.catalog_text import EVIDENCE_SQL, SQL_COLLAPSE, fill, sql_clip
 from earshot.plans.registry import Catalog
+from earshot.sources.shared import new_path
 
 CATALOG = Catalog()
 r = profile.rounded
@@ -101,6 +102,22 @@ _COMPOSED_SQL = (
     f"AND severity IN ('Low', 'Medium') AND {_any_tag('Performance Risk')}"
 )
 CATALOG.add("filtered_view", _view(_COMPOSED), _where(_COMPOSED_SQL))
+
+
+def _indexed(spec: filters.FilterSpec):
+    """The view through a keyword index written for the records."""
+
+    def query(spark, sf_dir):
+        index = keywords.build_index(
+            fx.records(spark, sf_dir), new_path(spark, "keywords"), blocks=64, order_by=["raw_topic", "topic", "record_id"]
+        )
+        return keywords.search(spark, index, spec).select(*IDS)
+
+    return query
+
+
+CATALOG.add("keyword_search_indexed", _indexed(filters.FilterSpec(keyword=" License ")), _where(_SEARCH.replace("{q}", "license")))
+CATALOG.add("filtered_view_indexed", _indexed(_COMPOSED), _where(_COMPOSED_SQL))
 CATALOG.add(
     "view_share",
     lambda spark, sf_dir: r(explore.view_share(fx.records(spark, sf_dir), _COMPOSED)),
