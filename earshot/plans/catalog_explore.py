@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from earshot.functions import lexicons as lx
-from earshot.operators import explore, filters, keywords, profile, rank
+from earshot.operators import explore, filters, keywords, profile, rank, sketches
 from earshot.plans import fixtures as fx
 from earshot.plans.catalog_text import EVIDENCE_SQL, SQL_COLLAPSE, fill, sql_clip
 from earshot.plans.registry import Catalog
@@ -362,3 +364,35 @@ CATALOG.add(
     f"""WITH {_RANKS_SQL} SELECT p.level AS pinned_level, p.value AS pinned_value, {', '.join(explore.EXPORT)}
     FROM pins p JOIN spread s ON s.level = p.level AND s.value = p.value""",
 )
+
+# --------------------------------------------------------------------------- estimates
+
+
+_SKETCHED = {"severity": ["Low", "Medium"], "risk_primary": ["Search & UX", "Performance Risk"]}
+
+
+def sketch_errors(spark, sf_dir):
+    """Estimates per topic of a filtered view, from sketches per cell, held against the exact values."""
+    rows = fx.records(spark, sf_dir).withColumn("chars", F.length("original_feedback"))
+    cells = sketches.category_sketches(rows, distinct=["original_feedback"], measures=["chars"])
+    found = sketches.sketch_summary(cells, drill=_SKETCHED, by=["topic"], quantiles=(0.5, 0.9)).withColumnRenamed("n", "n_rows")
+    view = rows.filter(filters.drill_predicate(_SKETCHED, rows.columns)).select("topic", "chars", F.xxhash64("original_feedback").alias("mark"))
+    n = F.count("chars")
+    off = []
+    for q in (50, 90):
+        value = F.first(f"chars_p{q}")
+        below, upto = F.count_if(F.col("chars") < F.col(f"chars_p{q}")) / n, F.count_if(F.col("chars") <= F.col(f"chars_p{q}")) / n
+        off.append((value.isNotNull() & (below <= q / 100 + 0.03) & (upto >= q / 100 - 0.03)).alias(f"p{q}_near"))
+    exact, guess = F.count_distinct("mark"), F.first("original_feedback_distinct")
+    return view.join(found, "topic").groupBy("topic").agg(
+        F.first("n_rows").alias("n_rows"), exact.alias("n_texts"), (F.abs(guess - exact) <= 0.06 * exact + 0.5).alias("distinct_near"), *off
+    )
+
+
+CATALOG.add(
+    "sketch_errors",
+    sketch_errors,
+    f"""WITH {R} SELECT topic, count(*) AS n_rows, count(DISTINCT original_feedback) AS n_texts, true AS distinct_near,
+      true AS p50_near, true AS p90_near
+    FROM records WHERE severity IN ('Low', 'Medium') AND {_any_tag('Search & UX', 'Performance Risk')} GROUP BY topic""",
+)
