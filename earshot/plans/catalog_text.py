@@ -185,6 +185,39 @@ CATALOG.add(
     FROM (VALUES ('first', false), ('second', true), ('third', false)) s(step, reused)""",
 )
 
+BUCKETS = 64
+
+
+def materialize_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lengths computed once, again without a change, and again after one text in a thousand grew."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = shared.new_path(spark, "buckets")
+
+    def compute(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", F.length("text").alias("chars"))
+
+    grown = docs.withColumn("text", F.when(F.col("doc_id") % 1000 == 7, F.concat("text", F.lit(" x"))).otherwise(F.col("text")))
+    out = None
+    for step, source in (("first", docs), ("same", docs), ("grown", grown)):
+        table, again = shared.materialize_buckets(source, compute, path, id_col="doc_id", buckets=BUCKETS)
+        one = table.agg(
+            F.lit(step).alias("step"), F.lit(len(again)).cast("bigint").alias("recomputed"), F.count("*").alias("n_rows"), F.sum("chars").alias("chars")
+        )
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+_BUCKET_SQL = f"CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % {BUCKETS}"
+CATALOG.add(
+    "materialize_buckets",
+    materialize_buckets,
+    f"""SELECT 'first' AS step, count(DISTINCT {_BUCKET_SQL}) AS recomputed, count(*) AS n_rows,
+      CAST(sum(length(text)) AS BIGINT) AS chars FROM documents
+    UNION ALL SELECT 'same', 0, count(*), CAST(sum(length(text)) AS BIGINT) FROM documents
+    UNION ALL SELECT 'grown', count(DISTINCT {_BUCKET_SQL}) FILTER (WHERE doc_id % 1000 = 7 AND text IS NOT NULL), count(*),
+      CAST(sum(length(text) + CASE WHEN doc_id % 1000 = 7 THEN 2 ELSE 0 END) AS BIGINT) FROM documents""",
+)
+
 # --------------------------------------------------------------------------- expressions
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -89,3 +91,80 @@ def _read_signature(spark: SparkSession, side: str):
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
     return spark.read.parquet(side).first()
+
+
+def bucket_of(row_id: Column, buckets: int) -> Column:
+    """The bucket of an id, the same on every run and system: the first 32 bits of its MD5, modulo ``buckets``."""
+    start = F.conv(F.substring(F.md5(F.coalesce(row_id.cast("string"), F.lit(""))), 1, 8), 16, 10)
+    return F.pmod(start.cast("bigint"), F.lit(buckets)).cast("int")
+
+
+def materialize_buckets(
+    source: DataFrame,
+    compute: Callable[[DataFrame], DataFrame],
+    path: str,
+    *,
+    id_col: str,
+    input_cols: Sequence[str] | None = None,
+    buckets: int = 256,
+    version: str = "",
+) -> tuple[DataFrame, list[int]]:
+    """``compute(source)``, recomputed only for the buckets of ids whose rows changed since the last call.
+
+    ``compute`` must work row by row and keep ``id_col``, so a bucket's result depends on its own rows alone; all rows
+    with one id share a bucket.  Every bucket has a digest of its ``input_cols`` (all by default); one pass over the
+    source makes them, and only rows of changed buckets are computed.  Another ``version`` or number of buckets
+    recomputes all.  Returns the whole result and the recomputed buckets, in order.
+
+    Results lie in one folder per call and bucket.  The list of valid ones (a row per bucket) is a new table each time
+    and counts once it is complete, so an interrupted call leaves the former state; folders it no longer names may be
+    deleted.  Buckets without rows leave the list.  One call at a time may write.
+    """
+    spark = source.sparkSession
+    columns = list(input_cols or source.columns)
+    bucket = bucket_of(F.col(id_col), buckets)
+    row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    digest = row_digest(F.col(id_col), row)
+    now = {
+        r["bucket"]: f"{version}|{buckets}|{r['n']}|{r['digest']}"
+        for r in source.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), digest.alias("digest")).collect()
+    }
+    step, known = _last_list(spark, path)
+    changed = sorted(b for b, d in now.items() if b not in known or known[b]["digest"] != d)
+    schema = compute(source).schema
+    lists = {b: (d, known[b]["run"]) for b, d in now.items() if b not in set(changed)}
+    run = uuid.uuid4().hex[:12]
+    if changed:
+        wanted = source if len(changed) == len(now) else source.filter(bucket.isin(changed))
+        made = compute(wanted).withColumn("_run", F.lit(run)).withColumn("_bucket", bucket)
+        made.repartition("_bucket").write.mode("append").partitionBy("_run", "_bucket").parquet(f"{path}/data")
+        lists |= {b: (now[b], run) for b in changed}
+    if changed or set(known) != set(now) or not step:
+        rows = [(b, d, at) for b, (d, at) in sorted(lists.items())]
+        table = spark.createDataFrame(rows, "bucket int, digest string, run string").coalesce(1)
+        table.write.parquet(f"{path}/lists/{step + 1:09d}")
+    if not lists:
+        return spark.createDataFrame([], schema), changed
+    runs: dict[str, list[int]] = {}
+    for b, (_, at) in lists.items():
+        runs.setdefault(at, []).append(b)
+    valid = F.lit(False)
+    for at, held in runs.items():
+        valid = valid | ((F.col("_run") == at) & F.col("_bucket").isin(held))
+    full = StructType([*schema, StructField("_run", StringType()), StructField("_bucket", IntegerType())])
+    return spark.read.schema(full).parquet(f"{path}/data").filter(valid).select(*schema.names), changed
+
+
+def _last_list(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """Number and rows of the newest complete list, 0 if there is none; incomplete ones keep their number."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/lists")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return 0, {}
+    steps = sorted((int(s.getPath().getName()) for s in files.listStatus(folder)), reverse=True)
+    for step in steps:
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/lists/{step:09d}/_SUCCESS")
+        if files.exists(done):
+            rows = spark.read.parquet(f"{path}/lists/{step:09d}").collect()
+            return steps[0], {r["bucket"]: r for r in rows}
+    return steps[0], {}

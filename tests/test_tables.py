@@ -146,3 +146,54 @@ def test_describe_matches_pandas(spark):
     pairs = {"mean": "mean", "std": "std", "p50": "50%", "p90": "90%", "p95": "95%", "p99": "99%", "max": "max"}
     for ours, theirs in pairs.items():
         assert got[ours] == pytest.approx(want[theirs])
+
+
+def test_only_changed_buckets_are_recomputed(spark):
+    rows = [(i, f"text {i}", None if i % 4 else i) for i in range(200)] + [(None, "no id", 1), (5, "text 5", None)]
+    schema = "id bigint, text string, other int"
+    path = shared.new_path(spark, "buckets")
+    computed = []
+
+    def compute(df):
+        return df.select("id", F.upper("text").alias("upper"), "other")
+
+    def run(rows, **options):
+        df = spark.createDataFrame(rows, schema).repartition(3)
+        out, again = shared.materialize_buckets(df, compute, path, id_col="id", buckets=16, **options)
+        want = sorted(map(str, ((i, t and t.upper(), o) for i, t, o in rows)))
+        assert sorted(str((r["id"], r["upper"], r["other"])) for r in out.collect()) == want
+        computed.append(len(again))
+        return out, again
+
+    first, _ = run(rows)
+    run(rows[::-1])
+    changed = [(i, "new" if i == 77 else t, o) for i, t, o in rows]
+    third, again = run(changed)
+    assert computed == [16, 0, 1]
+    home = spark.range(1).select(shared.bucket_of(F.lit(77), 16)).first()[0]
+    assert again == [home]
+    # The former result still reads what it read, and rows that go or come are changes of their buckets.
+    assert "TEXT 77" in {r.upper for r in first.collect()}
+    run(changed[:-1])
+    run([*changed[:-1], (1000, None, 3)])
+    assert computed[3:] == [1, 1]
+    run([*changed[:-1], (1000, None, 3)], version="2")
+    assert computed[-1] == 16
+    run([r for r in changed if r[0] == 77])
+    run([])
+    run(rows)
+    assert computed[-1] == 16
+
+
+def test_an_interrupted_call_leaves_the_former_state(spark, monkeypatch):
+    path = shared.new_path(spark, "buckets")
+    df = spark.range(50).withColumn("x", F.col("id") * 2)
+    shared.materialize_buckets(df, lambda d: d, path, id_col="id", buckets=4)
+
+    def broken(d):
+        return d.withColumn("x", F.when(F.col("id") == 3, F.raise_error(F.lit("lost")).cast("bigint")).otherwise(F.col("x")))
+
+    with pytest.raises(Exception, match="lost"):
+        shared.materialize_buckets(df.withColumn("x", F.col("x") + 1), broken, path, id_col="id", buckets=4)
+    out, again = shared.materialize_buckets(df, lambda d: d, path, id_col="id", buckets=4)
+    assert again == [] and sorted(map(tuple, out.collect())) == [(i, 2 * i) for i in range(50)]
