@@ -1,9 +1,9 @@
 """Chat formatting of reply trees.
 
-Iterative self-joins enumerate the root-to-leaf paths: each round joins a jump table with itself, which
-doubles its reach, and then every path is filled in from the leaf by halving jumps.  A tree of depth d
-takes about 2 log2(d) joins, whatever its shape.  Branches are ranked by the mean score of their messages
-(ties to the smaller leaf), and each chosen path becomes one conversation.
+Iterative self-joins follow all root-to-leaf paths: each round joins a jump table with itself, which doubles
+its reach and adds up the scores on the way.  Branches are ranked by the mean score of their messages (ties to
+the smaller leaf); each chosen path is filled in from the leaf by halving jumps and becomes one conversation.
+A tree of depth d takes about 2 log2(d) joins, whatever its shape, and rows grow with messages and chosen paths.
 
 Template, per turn: ``### role: text</turn>`` and a newline.  In texts and roles a backslash precedes
 every backslash, ``#`` and ``<``, in roles ``:`` as well, so no text can forge a marker and taking the
@@ -53,7 +53,8 @@ def format_turns(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int
     return "".join(out), mask
 
 
-_TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\<])*)</turn>\n", re.S)
+# Possessive, so nothing is kept for stepping back: a turn of any length takes no memory but its own.
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.)*+)</turn>\n", re.S)
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -68,50 +69,51 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def reply_paths(nodes: DataFrame) -> DataFrame:
-    """``(tree, leaf, node, up)`` of every root-to-leaf path, ``up`` counting from the leaf.
+def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``(tree, node, score, n)``, sum and number of the scores from a node to its root, and the jumps that led there.
 
-    ``nodes`` has ``tree, node, parent`` with non-null tree and node, each node once; parents that do not
-    exist are null.
+    ``nodes`` has ``tree, node, parent, score`` with non-null tree and node, each node once; parents that do not exist
+    are null, a null score counts as 0.  Jump k holds ``(tree, node, over)``, 2**k places up, for nodes that have one.
+    Every round joins the table with itself and doubles its reach; it ends when a round brings no further node to its
+    root, so nodes that hang from a cycle are absent.
     """
-    jump, seen = cut_measured(
-        nodes.filter("parent is not null").select("tree", "node", F.col("parent").alias("over")),
-        "jump-0",
-        n=F.count(F.lit(1)),
+    open_nodes = F.count_if(F.col("over").isNotNull())
+    state, seen = cut_measured(
+        nodes.select("tree", "node", F.col("parent").alias("over"), F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(1).cast("bigint").alias("n")),
+        "climb",
+        left=open_nodes,
     )
-    n, jumps = seen["n"], []
-    # A path is shorter than the number of links, so more rounds would only follow a cycle.
-    while seen["n"] and 1 << len(jumps) <= n:
-        jumps.append(jump)
-        ahead = jump.select("tree", F.col("node").alias("over"), F.col("over").alias("further"))
-        jump, seen = cut_measured(
-            jump.join(ahead, ["tree", "over"]).select("tree", "node", F.col("further").alias("over")),
-            f"jump-{len(jumps)}",
-            n=F.count(F.lit(1)),
+    jumps, before = [], None
+    while seen["left"] and seen["left"] != before:
+        before = seen["left"]
+        jumps.append(state.filter("over is not null").select("tree", "node", "over"))
+        ahead = state.select("tree", F.col("node").alias("over"), F.col("over").alias("further"), F.col("score").alias("more"), F.col("n").alias("m"))
+        there = state.filter("over is null")
+        moved = state.filter("over is not null").join(ahead, ["tree", "over"]).select(
+            "tree", "node", F.col("further").alias("over"), (F.col("score") + F.col("more")).alias("score"), (F.col("n") + F.col("m")).alias("n")
         )
-    inner = nodes.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = nodes.select("tree", "node").join(inner, ["tree", "node"], "left_anti")
-    paths = cut(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up")), "paths")
-    for k in reversed(range(len(jumps))):
-        further = paths.join(jumps[k], ["tree", "node"]).select(
-            "tree", "leaf", F.col("over").alias("node"), (F.col("up") + (1 << k)).alias("up")
-        )
-        paths = cut(paths.unionByName(further), "paths")
-    return paths
+        state, seen = cut_measured(there.unionByName(moved), "climb", left=open_nodes)
+    return state.filter("over is null").drop("over"), jumps
 
 
 def best_paths(nodes: DataFrame, *, branches: int = 1) -> DataFrame:
     """The ``branches`` best paths of each tree as ``(tree, leaf, node, up, place)``, place 1 the best.
 
-    ``nodes`` has ``tree, node, parent, score``; a null score counts as 0.
+    ``nodes`` as in ``climb``; ``up`` counts from the leaf.  Leaves are ranked by what the jumps added up, so only the
+    chosen paths become rows, filled in from the leaf by halving jumps.
     """
-    paths = reply_paths(nodes)
-    is_root = F.col("parent").isNull()
-    scored = paths.join(nodes.select("tree", "node", "score", is_root.alias("root")), ["tree", "node"])
-    marks = scored.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.max("root").alias("whole"))
+    totals, jumps = climb(nodes)
+    inner = nodes.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
+    leaves = totals.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), (F.col("score") / F.col("n")).alias("score"))
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    ranked = marks.filter("whole").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= branches)
-    return paths.join(ranked.select("tree", "leaf", "place"), ["tree", "leaf"])
+    ranked = leaves.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= branches)
+    paths = cut(ranked.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("up"), "place"), "paths")
+    for k in reversed(range(len(jumps))):
+        further = paths.join(jumps[k], ["tree", "node"]).select(
+            "tree", "leaf", F.col("over").alias("node"), (F.col("up") + (1 << k)).alias("up"), "place"
+        )
+        paths = cut(paths.unionByName(further), "paths")
+    return paths
 
 
 def format_conversations(

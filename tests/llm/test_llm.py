@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -212,6 +213,42 @@ def test_best_branch_of_a_tree(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_paths_against_recursion(spark):
+    """A comb, a random forest with ties and a cycle: best branches as by walking up from every leaf."""
+    rng = random.Random(5)
+    nodes = {("comb", i): (i - 1 if i % 2 else i - 2) if i else None for i in range(41)}
+    for i in range(150):
+        tree = f"t{i % 3}"
+        earlier = [n for t, n in nodes if t == tree]
+        nodes[tree, 1000 + i] = rng.choice(earlier) if earlier and rng.random() < 0.95 else None
+    score = {key: rng.choice([0.0, 1.0, 2.0]) for key in nodes}
+    rows = [(t, n, p, score[t, n]) for (t, n), p in nodes.items()] + [("t0", 1, 2, 9.0), ("t0", 2, 1, 9.0), ("t0", 3, 2, 9.0)]
+    df = spark.createDataFrame(rows, "tree string, node bigint, parent bigint, score double")
+    want = []
+    for tree in {t for t, _ in nodes}:
+        inner = {p for (t, _), p in nodes.items() if t == tree}
+        ranked = []
+        for leaf in [n for t, n in nodes if t == tree and n not in inner]:
+            path = [leaf]
+            while nodes[tree, path[-1]] is not None:
+                path.append(nodes[tree, path[-1]])
+            ranked.append((-sum(score[tree, n] for n in path) / len(path), leaf, path))
+        for place, (_, leaf, path) in enumerate(sorted(ranked)[:3]):
+            want += [(tree, leaf, n, up, place + 1) for up, n in enumerate(path)]
+    got = [tuple(r) for r in chat.best_paths(df, branches=3).select("tree", "leaf", "node", "up", "place").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_chat_reads_long_turns_in_little_memory():
+    turns = [("user", "ab\\ <c#" * 200_000), ("assistant", "\\")]
+    text, _ = chat.format_turns(turns)
+    tracemalloc.start()
+    assert chat.read_turns(text) == turns
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(text)
+
+
 # 5
 
 
