@@ -136,6 +136,8 @@ EXTRA_STOP_WORDS = (
     "for", "on", "this", "that", "be", "with", "should", "would", "could", "can", "may", "must", "have", "has",
     "had", "are", "was", "were",
 )
+# Description of a cluster: size, label, most frequent sentiment, most frequent severity.
+CLUSTER_DESCRIPTION = "Cluster of %d feedback comments centered on: %s. Top sentiment: %s; top severity: %s."
 # ---------------------------------------------------------------------------
 # End of fixed values.
 # ---------------------------------------------------------------------------

@@ -219,7 +219,7 @@ def term_labels(contexts: DataFrame, *, n_terms: int = 4) -> DataFrame:
         "cluster_id",
         "label",
         F.format_string(
-            "Cluster of %d feedback comments centered on: %s. Top sentiment: %s; top severity: %s.",
+            lx.CLUSTER_DESCRIPTION,
             "size",
             "label",
             top("sentiment_mix"),
