@@ -124,3 +124,38 @@ def test_far_blocks_are_not_compared(spark):
     gap = lambda a, b: np.sqrt(sum(max(0.0, min(x[k] for x in held[a]) - max(x[k] for x in held[b]), min(x[k] for x in held[b]) - max(x[k] for x in held[a])) ** 2 for k in range(2)))
     want = {(a, b) for a in held for b in held if a <= b and gap(a, b) <= 0.4 and (a != b or len(held[a]) > 1)}
     assert pairs == want and len(pairs) < len(held) ** 2 / 3
+
+
+def test_a_deep_tree_is_settled_in_few_rounds(spark, monkeypatch):
+    n = 60
+    chain = [(i, i + 1 if i < n else None, float(1 + i % 3)) for i in range(1, n + 1)]
+    tree = spark.createDataFrame(chain, "cluster bigint, parent bigint, stability double").repartition(3)
+    written = []
+    real = hierarchy.cut
+    monkeypatch.setattr(hierarchy, "cut", lambda df, name: written.append(name) or real(df, name))
+    got = {r.cluster: r.top for r in hierarchy.excess_of_mass(tree).collect()}
+    assert got == {i: max(j for j in range(1, n) if j % 3 == 2) if i <= 59 else None for i in range(1, 60)}
+    assert len(written) == 1
+
+
+def test_a_block_travels_once_for_each_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(rng.normal(size=(400, 8)))]
+    tree = boxes.box_tree(spark.createDataFrame(rows, "p bigint, v array<double>, weight bigint"), 20)
+    names = sorted(r.block for r in tree.points.select("block").distinct().collect())
+    every = spark.createDataFrame([(a, b) for a in names for b in names if a <= b], "left string, right string")
+
+    def kernel(own, blocks):
+        import pyarrow as pa
+
+        blocks = list(blocks)
+        sizes = [sum(len(b[0]) for b in side) for side in (own, blocks)]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*sizes, sum(sizes) * 8 * 8)], ["held", "met", "bytes"])
+
+    points = tree.points.select("block", "p", "v")
+    got = boxes.streamed(points, points, every, kernel, "held bigint, met bigint, bytes bigint", (), held_bytes=200 * 64).collect()
+    # Every point meets every point, though blocks hold 20 at most and meet more than 20 others.
+    assert sum(r.held * r.met for r in got) == 400 * 400
+    assert max(r.held for r in got) <= 200 and len(names) > 20
+    groups = len({r.held for r in got})
+    assert sum(r.met for r in got) <= 400 * max(groups, 4)
