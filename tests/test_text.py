@@ -1,12 +1,13 @@
 import unicodedata
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from earshot.functions import lexicons as lx
 from earshot.functions import scoring, text as tx
-from earshot.operators import issues, labels
+from earshot.operators import dedup, issues, labels, profile
 
 
 def column(spark, values, expr):
@@ -142,3 +143,28 @@ def test_terms_bridge_stop_words_and_single_cluster_is_empty(spark):
     got = {(r.cluster_id, r.term) for r in labels.cluster_terms(df).collect()}
     assert got == {(c, t) for c in (1, 2) for t in ("login", "button", "login button")}
     assert labels.cluster_terms(df.filter("cluster_id = 1")).count() == 0
+
+
+def test_histogram_computes_its_column_once_for_a_row(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def costly(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(50).select((F.col("id") % 7).cast("int").alias("x"))
+    got = {r.bin: r["count"] for r in profile.histogram(rows.select(costly("x").alias("y")), "y", cap=5, bins=2).collect()}
+    assert got == {1: 22, 2: 28} and seen.value == 50
+
+
+def test_signatures_of_many_texts_are_those_of_each(spark):
+    texts = ["", "ab", "abcdefgh", "x" * 300, "".join(chr(97 + i * i % 23) for i in range(900))]
+    sets = [g for g in (dedup._gram_hashes(t, 5) for t in texts) if len(g)]
+    a, b = dedup._permutations(16, 1)
+    want = [[int((((g >> np.uint64(32)).astype(np.uint32) * x + y).min())) for x, y in zip(a, b)] for g in sets]
+    for step in (50, 100, 65536):
+        assert dedup._signatures(sets, a, b, step).tolist() == want
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", dedup.minhash_signature(F.col("t"), permutations=16, seed=1).alias("s"))
+    got = {r.id: r.s for r in df.collect()}
+    assert got[0] is None and [got[i] for i in range(1, 5)] == want
