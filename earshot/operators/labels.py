@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,18 +28,19 @@ def cluster_terms(
     stop_words: Iterable[str] = lx.STOP_WORDS,
     extra_stop_words: Iterable[str] = lx.EXTRA_STOP_WORDS,
     min_clusters: int = 2,
+    n_clusters: Column | None = None,
 ) -> DataFrame:
     """``(cluster_id, rank, term, weight)``: the terms most characteristic of each cluster.
 
     Terms are words of three or more ASCII letters and pairs of neighbouring ones, after stop words are
     taken out.  A term has to occur in ``min_clusters`` clusters.  Weight is count times smoothed log inverse cluster frequency, scaled to unit
     length per cluster.  Terms containing an extra stop word are dropped at the end.  Word pairs do not
-    cross from one comment into the next.
+    cross from one comment into the next.  ``n_clusters``, their number without noise, is counted unless it is given.
     """
     live = df.filter(F.col(cluster_col) != NOISE).select(F.col(cluster_col).alias("cluster_id"), F.col(text_col).alias("t"))
     tf = cut(term_counts(live, stop_words), "terms")
     kept = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_clusters)
-    n = live.agg(F.count_distinct("cluster_id")).scalar()
+    n = live.agg(F.count_distinct("cluster_id")).scalar() if n_clusters is None else n_clusters
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     weighted = (
         tf.join(kept, "term")
@@ -183,10 +184,12 @@ def cluster_contexts(
     **term_options,
 ) -> DataFrame:
     """``(cluster_id, size, representatives, top_terms, sentiment_mix, severity_mix)`` per non-noise cluster."""
-    live = df.filter(F.col("cluster_id") != NOISE)
+    # What all but the terms and quotes need is written without texts, so that texts are read for those two alone.
+    names = list(dict.fromkeys([id_col, "cluster_id", "sentiment", "severity", vec_col]))
+    live = cut(df.filter(F.col("cluster_id") != NOISE).select(*names), "live")
     facts = cut(live.groupBy("cluster_id", "sentiment", "severity").agg(F.count("*").alias("n")), "facts")
     sizes = facts.groupBy("cluster_id").agg(F.sum("n").alias("size"))
-    picked = representatives(df, k=n_representatives, balance=balance, vec_col=vec_col, id_col=id_col)
+    picked = representatives(live, k=n_representatives, balance=balance, vec_col=vec_col, id_col=id_col)
     texts = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
     # At most n_representatives and n_terms entries per cluster.
     quotes = (
@@ -195,7 +198,7 @@ def cluster_contexts(
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda s: s.text).alias("representatives"))
     )
     terms = (
-        cluster_terms(df, text_col=clean_col, n_terms=n_terms, **term_options)
+        cluster_terms(df, text_col=clean_col, n_terms=n_terms, n_clusters=sizes.agg(F.count(F.lit(1))).scalar(), **term_options)
         .groupBy("cluster_id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s.term).alias("top_terms"))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import lexicons as lx
 from earshot.functions import scoring, text as tx
-from earshot.operators import dedup, issues, labels, profile
+from earshot.operators import dedup, issues, keywords, labels, profile, vectors
 
 
 def column(spark, values, expr):
@@ -168,3 +168,39 @@ def test_signatures_of_many_texts_are_those_of_each(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", dedup.minhash_signature(F.col("t"), permutations=16, seed=1).alias("s"))
     got = {r.id: r.s for r in df.collect()}
     assert got[0] is None and [got[i] for i in range(1, 5)] == want
+
+
+def counted(spark, kind):
+    """A function that gives its argument back, and how often it was called."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf(kind)
+    def same(x):
+        seen.add(1)
+        return x
+
+    return same, seen
+
+
+def test_tfidf_takes_texts_apart_once(spark):
+    same, seen = counted(spark, "string")
+    rows = spark.range(20).select(F.col("id").alias("row_id"), same(F.concat_ws(" ", F.lit("word"), F.col("id").cast("string"))).alias("text_clean"))
+    got = vectors.embed_texts(rows, dim=32).collect()
+    assert len(got) == 20 and all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in got) and seen.value == 20
+
+
+def test_index_computes_records_once(spark, tmp_path):
+    same, seen = counted(spark, "string")
+    rows = spark.range(40).select(F.col("id").alias("record_id"), same(F.concat(F.lit("topic "), (F.col("id") % 4).cast("string"))).alias("topic"))
+    index = keywords.build_index(rows, str(tmp_path / "index"), blocks=4, order_by=["topic", "record_id"], fields=("topic",), page_rows=4)
+    assert index.records(spark).count() == 40 and seen.value == 40
+
+
+def test_contexts_read_cleaned_texts_for_terms_alone(spark):
+    same, seen = counted(spark, "string")
+    words = ("alpha beta", "beta gamma", "gamma alpha")
+    rows = [(i, i % 3, words[i % 3], "Low", "Neutral", [float(i + 1), 1.0]) for i in range(12)]
+    df = spark.createDataFrame(rows, "row_id bigint, cluster_id int, comment string, severity string, sentiment string, embedding array<double>")
+    got = {r.cluster_id: r for r in labels.cluster_contexts(df.withColumn("text_clean", same("comment")), n_representatives=2).collect()}
+    assert sorted(got) == [0, 1, 2] and all(r.size == 4 and len(r.representatives) == 2 for r in got.values())
+    assert got[0].top_terms[:2] == ["alpha", "beta"] and seen.value == 12
