@@ -196,11 +196,20 @@ def test_index_computes_records_once(spark, tmp_path):
     assert index.records(spark).count() == 40 and seen.value == 40
 
 
-def test_contexts_read_cleaned_texts_for_terms_alone(spark):
-    same, seen = counted(spark, "string")
+def test_contexts_read_rows_three_times(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def scanned(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
     words = ("alpha beta", "beta gamma", "gamma alpha")
     rows = [(i, i % 3, words[i % 3], "Low", "Neutral", [float(i + 1), 1.0]) for i in range(12)]
     df = spark.createDataFrame(rows, "row_id bigint, cluster_id int, comment string, severity string, sentiment string, embedding array<double>")
-    got = {r.cluster_id: r for r in labels.cluster_contexts(df.withColumn("text_clean", same("comment")), n_representatives=2).collect()}
+    df = df.withColumn("text_clean", F.col("comment"))
+    got = {r.cluster_id: r for r in labels.cluster_contexts(df.mapInPandas(scanned, df.schema), n_representatives=2).collect()}
     assert sorted(got) == [0, 1, 2] and all(r.size == 4 and len(r.representatives) == 2 for r in got.values())
-    assert got[0].top_terms[:2] == ["alpha", "beta"] and seen.value == 12
+    assert got[0].top_terms[:2] == ["alpha", "beta"]
+    # Once without texts, once for terms and once for quotes.
+    assert seen.value == 3 * 12
