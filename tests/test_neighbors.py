@@ -1,6 +1,6 @@
 import numpy as np
 
-from earshot.operators import neighbors
+from earshot.operators import boxes, neighbors
 
 
 def plain(rows, k):
@@ -37,3 +37,23 @@ def test_few_rows(spark):
     assert found(spark, [(1, [1, 0])], k=3) == []
     rows = [(1, [1, 0]), (2, [0, 2]), (3, [5, 0])]
     assert found(spark, rows, k=3) == plain(rows, 3)
+
+
+def test_products_screen_in_single_precision(monkeypatch):
+    """Only a block's own bound takes products in doubles, unless the points are too near for single precision."""
+    rng = np.random.default_rng(6)
+    calls = []
+    real = boxes.squares
+    monkeypatch.setattr(boxes, "squares", lambda *a: calls.append(1) or real(*a))
+    for offset, doubled in ((0.0, False), (1e6, True)):
+        v = rng.normal(size=(320, 8)) + offset
+        blocks = [(np.arange(i, i + 40), v[i : i + 40]) for i in range(0, 320, 40)]
+        calls.clear()
+        (*got,) = boxes.nearest_points(5, False, 12)(blocks, iter(blocks))
+        assert (len(calls) > len(blocks)) == doubled
+        near = {}
+        for batch in got:
+            for p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                near.setdefault(p, set()).add(q)
+        d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+        assert [near[p] for p in range(320)] == [set(np.argsort(row, kind="stable")[:5].tolist()) for row in d]
