@@ -247,3 +247,26 @@ def test_a_crowd_of_near_copies_is_not_quadratic(spark, monkeypatch):
     assert dedup.group_table(linked).filter("duplicate_group_id <> 0").count() == 0
     assert dedup.first_links(linked).groupBy("a").count().collect()[0]["count"] == n - 1
     assert sum(verified) < 10 * n
+
+
+def test_density_kernels_stop_where_all_is_known(monkeypatch):
+    """Vectors without structure: points that are core and components that are joined are not compared again."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    asked = []
+    real = clusters.Near.pairs
+    monkeypatch.setattr(clusters.Near, "pairs", lambda self, i, rows: asked.append(len(rows)) or real(self, i, rows))
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= 3.0**2
+    ones, names = np.ones(400, np.int64), np.arange(400)
+    counted = [(names[i : i + 40], x[i : i + 40], ones[i : i + 40], names[i : i + 40], ones[i : i + 40] * 2) for i in range(0, 400, 40)]
+    found = {p: w for b in clusters._count_neighbours(3.0)(counted, iter(counted)) for p, w in zip(*(c.to_pylist() for c in b.columns))}
+    assert {p for p, w in found.items() if w >= 2} == {p for p in range(400) if near[p].sum() >= 3}
+    assert sum(asked) < 0.5 * 400 * 10
+    asked.clear()
+    blocks = [b[:2] + (b[3],) for b in counted]
+    (links,) = clusters._spanning_links(3.0)(blocks, iter(blocks))
+    pairs = list(zip(links.column(0).to_pylist(), links.column(1).to_pylist()))
+    want = components(list(range(400)), [(i, j) for i in range(400) for j in np.flatnonzero(near[i]) if i < j])
+    assert components(list(range(400)), pairs) == want
+    assert len(pairs) == 400 - len(set(want.values()))
+    assert sum(asked) < 0.5 * 400 * 10
