@@ -56,6 +56,32 @@ def test_char_ngrams(spark):
     assert [sorted(g) for g in got] == want
 
 
+def test_gram_summary(spark):
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))
+    given = ["abcabcabc ab", "abc", "", None, "aaaaaaa", "ab\U0001f600cde", "zé\uffee\U0001f600aéz", wide + wide[:9], wide[::-1]]
+    summary = F.struct(tx.gram_summary(F.col("t")).alias("s"), F.array_sort(tx.char_ngrams(F.col("t"))).alias("g"))
+    df = spark.createDataFrame([(t,) for t in given], "t string").select(F.coalesce("t", F.lit("")).alias("t"))
+    got = [r.x for r in df.select(summary.alias("x")).collect()]
+    assert [tuple(r.s) for r in got] == [(len(r.g), *((r.g[0], r.g[-1]) if r.g else (None, None))) for r in got]
+    # The same whether texts are worked on together or one by one.
+    texts = [t or "" for t in given] * 3
+    assert tx._summaries(texts, 5, 1) == tx._summaries(texts, 5) == [tuple(r.s) for r in got] * 3
+
+
+def test_char_ngrams_query_builds_no_gram_strings(spark):
+    from earshot.plans import catalog_vectors, fixtures
+
+    plan = catalog_vectors.char_ngrams(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract_all" not in plan and "array_distinct" not in plan
+
+
+def test_collapse_equals_runs(spark):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    given = ["a" + x + y + "b" + x + " c" for x in spaces for y in ("", " ", "  ", x, "\t\u3000 ")] + ["   ", "", None, "\x00\x7f\u200b a"]
+    want = [t if t is None else " ".join(t.split()) for t in given]
+    assert column(spark, given, tx.collapse) == want
+
+
 def test_ascii_words(spark):
     assert column(spark, ["The café naïve ab abc_d foo Bar9 baz"], tx.ascii_words) == [["the", "foo", "baz"]]
 
