@@ -15,6 +15,7 @@ dictionary is trained on a documented number of documents; everything else is do
 from __future__ import annotations
 
 import hashlib
+import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -49,15 +50,41 @@ _BYTE_UNITS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not
 _BLANK = chr(_BYTE_UNITS[0x20])
 
 
-def cut_pieces(text: str) -> list[str] | None:
-    """The text in pieces that encode on their own, or None if it has to be encoded at once.
+#: ASCII characters that are neither letters, digits nor white space; the apostrophe may join letters to a unit.
+_PUNCTUATION = "".join(c for c in string.punctuation if c != "'")
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(string.ascii_letters.encode())] = 1
+_KIND[list(_PUNCTUATION.encode())] = 2
+
+
+def even(text: str) -> bool:
+    """Whether the text's pieces encode on their own; if not, it has to be encoded at once.
 
     The vocabulary's pattern joins a blank to what follows it and never to what precedes it, and a single
     line end to nothing.
     """
-    if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _UNEVEN):
-        return None
-    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _UNEVEN)
+
+
+def cut_pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of even texts end to end, and at which piece each text begins, with the end of the last.
+
+    A piece begins with a text, at every blank, at and after every line end, and where ASCII letters and punctuation
+    meet, which the pattern never joins; apostrophes aside.
+    """
+    parts = [t.encode() for t in texts]
+    data = b"".join(parts)
+    raw = np.frombuffer(data, np.uint8)
+    bounds = np.cumsum([0, *map(len, parts)])
+    line_end = raw == 0x0A
+    begins = (raw == 0x20) | line_end
+    begins[1:] |= line_end[:-1]
+    kinds = _KIND[raw]
+    begins[1:] |= (kinds[1:] ^ kinds[:-1]) == 3
+    begins[bounds[:-1]] = True
+    offsets = np.append(np.flatnonzero(begins), len(raw)).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return pieces, np.searchsorted(offsets, bounds)
 
 
 class Pieces(dict):
@@ -68,7 +95,6 @@ class Pieces(dict):
         self.tokenizer, self.model, self.dtype, self.most = tokenizer, tokenizer.model, dtype, most
         self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"
         self.older: dict[str, bytes] = {}
-        self.stops = {x: self.encode([x])[0] for x in ".,"}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
@@ -87,9 +113,11 @@ class Pieces(dict):
                 units = piece.encode().decode("latin-1").translate(_BYTE_UNITS)
             ids = [t.id for t in self.model.tokenize(units)]
             return struct.pack(f"<{len(ids)}{self.code}", *ids)
-        if word[-1:] in self.stops and word[:-1].isalpha():
-            # A full stop or comma after a letter is a piece of its own.
-            return self[piece[:-1]] + self.stops[word[-1]]
+        head = word.rstrip(_PUNCTUATION)
+        if head != word and head.isalpha():
+            # Punctuation after a letter is a piece of its own.
+            end = len(piece) - len(word) + len(head)
+            return self[piece[:end]] + self[piece[end:]]
         return self.encode([piece])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -112,13 +140,26 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         self.pieces.age()
-        get = self.pieces.__getitem__
-        out = []
-        for text in texts:
-            pieces = cut_pieces(text)
-            out.append(self.pieces.encode([text])[0] if pieces is None else b"".join(map(get, pieces)))
+        out = [b""] * len(texts)
+        places = [i for i, text in enumerate(texts) if even(text)]
+        for i in set(range(len(texts))).difference(places):
+            out[i] = self.pieces.encode([texts[i]])[0]
+        if places:
+            for i, ids in zip(places, self._joined([texts[i] for i in places])):
+                out[i] = ids
         return out
 
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Each different piece of the texts is looked up once; Arrow lays the ids out."""
+        pieces, firsts = cut_pieces(texts)
+        coded = pieces.dictionary_encode()
+        known = pa.array(list(map(self.pieces.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False))), pa.large_binary())
+        ids = known.take(coded.indices)
+        offsets, data = ids.buffers()[1:]
+        ends = np.frombuffer(offsets, np.int64)[firsts].tolist()
+        view = memoryview(data)
+        return [bytes(view[a:b]) for a, b in zip(ends, ends[1:])]
+
 
 def encoder(path: str, dtype: str) -> Encoder:
     """One encoder per Python worker, so that tasks share what it remembers."""

@@ -10,6 +10,7 @@ import time
 from collections import defaultdict
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -417,6 +418,31 @@ def test_the_dictionary_sample_is_bounded(spark):
     assert kinds[0] and not kinds[1] and not kinds[2]
 
 
+def test_pieces_are_looked_up_once_and_encode_as_whole_texts():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    bits = ["it", "'s", "'", "'LL", "don't", "é", "Straße", "“", "”", "…", "12", "½", "漢", "_", "\u0301", *".,;:!?()[]<>|#%&*-/\\\"", " ", " ", " ", "\n", "a", "Zoo"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(40))) for _ in range(4000)]
+    texts += ["", " ", "a", "the cat. (cat), cat's cat%%%", "\u00e9." * 9, "x<|endoftext|>y"]
+    plain = Tokenizer.from_file(tokenizer_path())
+    encode = tokens.Encoder(tokenizer_path(), "<u2", 500)
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert encode(texts) == want
+    assert [ids for i in range(0, len(texts), 7) for ids in encode(texts[i : i + 7])] == want
+    # A word is one entry, whatever punctuation stands around it, and a call asks for it once.
+    asked = []
+
+    class Asked(tokens.Pieces):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    encode.pieces = Asked(plain, "<u2", 500)
+    encode(["the cat. the cat, the cat; the cat"] * 50)
+    assert sorted(asked) == sorted({"the", " the", " cat", ".", ",", ";"})
+
+
 def test_tiny_sources_come_near_their_targets(spark):
     rows = [(i, "w " * 400, "en", "big") for i in range(20)]
     rows += [(100 + i, "v " * (1 + i), "en", f"tiny{i}") for i in range(12)] + [(200, "", "en", "none")]
