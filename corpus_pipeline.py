@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from earshot.llm import decontaminate, mixing, neardup, tokens, toxicity
 from earshot.llm.common import crc_fold
 from earshot.llm.queries import table, tokenizer_path
-from earshot.sources.shared import new_path
+from earshot.sources.shared import bound_batches, new_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     model = toxicity.fit_toxicity(marked.join(labels, "doc_id"), mark_col="mark", learn=crc_fold("doc_id", 3) != 1)
@@ -29,19 +30,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return neardup.keep_one(docs, words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     # The operator's short blocks: with long ones the quota of a small source rounds to nothing.
     return mixing.mix(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     path = tokens.write_tokens(docs, tokens.token_folder(spark), tokenizer_path())
     return tokens.read_tokens(spark, path)
 

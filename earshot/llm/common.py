@@ -6,6 +6,8 @@ characters beyond ASCII are never separators.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -70,11 +72,22 @@ _KEPT: dict = {}
 def kept(key: tuple, make: Callable):
     """What tasks share in a Python worker.  Only what was asked for last is held, which bounds the memory."""
     if key not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            give_back()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its task, and Arrow and malloc keep what they once took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def word_hashes() -> WordHashes:
     return kept(("words",), WordHashes)
 

@@ -49,6 +49,8 @@ MAX_DEPTH = 6
 BRANCHES = 2
 #: Sets, and bytes of their texts, in a block of a component that is confirmed exactly.
 BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Members whose node sizes one task writes; fewer tasks write fewer files.
+TASK_MEMBERS = 200_000
 #: Parts of a join on a component that may hold a third of all sets.
 SALTS = 16
 
@@ -177,9 +179,11 @@ def candidate_links(sets: DataFrame, least: int, *, leaf: int = LEAF) -> DataFra
     """Links ``(src, dst)`` whose components hold every pair that may reach the similarity asked for."""
     light = sets.select("id", "digest", "sig")
     members = sets.select(F.explode("paths").alias("path"), "digest").withColumn("parent_n", F.lit(None).cast("bigint"))
+    n_members = sets.agg(F.sum(F.size("paths"))).first()[0] or 0
     found: list[DataFrame] = []
     for depth in range(MAX_DEPTH + 1):
-        sizes = cut(members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+        counted = members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sizes = cut(counted.coalesce(1 + n_members // TASK_MEMBERS), "sizes")
         small = members.join(sizes.filter(F.col("n") <= leaf), "path").join(light, "digest")
         cells = small.select("path", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), "id", "sig")
         found.append(_compare(cells, _by_signature(least)))
@@ -192,6 +196,7 @@ def candidate_links(sets: DataFrame, least: int, *, leaf: int = LEAF) -> DataFra
             found += _dense(large.filter("dense"), least, leaf)
         if seen["n"] == seen["n_dense"]:
             break
+        n_members = BRANCHES * (seen["n"] - seen["n_dense"])
         members = _branch(large.filter(~F.col("dense")).select("path", "digest", "n", "sig"))
     out = found[0]
     for more in found[1:]:

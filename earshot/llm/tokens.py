@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from earshot.llm.common import hash_limit, kept, slices
+from earshot.llm.common import give_back, hash_limit, kept, slices
 from earshot.sources.shared import cut, new_path
 
 END_ID = 0
@@ -289,6 +289,9 @@ def _block_writer(tokenizer_path: str, dictionary: bytes, digest: str, end_id: i
                         ids, counts, frames, held, seq = [], [], [], 0, seq + 1
         if ids:
             yield close()
+            ids, counts, frames = [], [], []
+        batch = part = found = None
+        give_back()
 
     return write
 
